@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitegraph.llm import packing
-from sitegraph.llm.common import table
+from sitegraph.llm import license_scan, packing, pii, quality_rules, substring_dedup, toxicity
+from sitegraph.llm.common import keep, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,8 +16,38 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.decompose(table(spark, sf_dir, "documents")))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.digest(toxicity.score(docs, model))
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(substring_dedup.remove_repeats(spark, table(spark, sf_dir, "documents")))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.digest(license_scan.scan(table(spark, sf_dir, "documents")))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = quality_rules.count_texts(table(spark, sf_dir, "documents"))
+    return quality_rules.digest(quality_rules.judge(keep(spark, counted)))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, sf_dir, "documents"), pii.train()))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_packing": op1_packing}
+    return {
+        "op1_packing": op1_packing,
+        "op4_toxicity": op4_toxicity,
+        "op5_substring_dedup": op5_substring_dedup,
+        "op6_license_scan": op6_license_scan,
+        "op9_quality_rules": op9_quality_rules,
+        "op10_pii": op10_pii,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
