@@ -18,9 +18,8 @@ components of links, named by their least doc_id.
    after merging - all candidates that still join different classes.
 
 Edge cases: null, empty and blank texts have no shingles and stay alone. Texts of one to four words have one shingle, their
-whole word sequence. Rows with a null doc_id have a null class. A doc_id names one document: rows
-that share it share its class (of several texts the one of least name is compared; equal texts are found for each), and
-``keep_first`` keeps one of them. An empty table gives an empty result. Ties are broken by the smaller doc_id. Only the two named columns are read.
+whole word sequence. Rows with a null doc_id have a null class. Of several
+texts under one doc_id, equal texts are found for each, and the one of least name is compared for near ones. An empty table gives an empty result. Ties are broken by the smaller doc_id. Only the two named columns are read.
 """
 
 from __future__ import annotations
@@ -37,7 +36,7 @@ from sitegraph.llm.common import WordHashes, keep, mix, pieces, window_hashes
 
 SHINGLE = 5
 BINS = 64
-SIGNED = "doc_id long, h1 long, h2 long, fp long, sketch binary, prefixes array<int>"
+SIGNED = "doc_id long, row long, h1 long, h2 long, fp long, sketch binary, prefixes array<int>"
 _U64 = np.uint64
 _BLOOM = 27  # log2 of the bits of the filter over candidate ids
 
@@ -109,13 +108,13 @@ def sign(docs: DataFrame, trees: int, depth: int) -> DataFrame:
                 name = np.stack(names) if names else np.zeros((0, 2), dtype=np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0), pa.array(name[:, 0]), pa.array(name[:, 1]), pa.array(fp.view(np.int64)), pa.array(sketches, pa.binary()),
+                        batch.column(0), batch.column(2), pa.array(name[:, 0]), pa.array(name[:, 1]), pa.array(fp.view(np.int64)), pa.array(sketches, pa.binary()),
                         pa.array([p if x else None for p, x in zip(found, live)], pa.list_(pa.int32())),
                     ],
                     names=[x.split()[0] for x in SIGNED.split(", ")],
                 )
 
-    return docs.mapInArrow(rows, SIGNED)
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("row")).mapInArrow(rows, SIGNED)
 
 
 def leaves(firsts: DataFrame, dense: int, hard: int, depth: int) -> DataFrame:
@@ -297,11 +296,14 @@ def components(spark: SparkSession, links: DataFrame, rounds: int = 60) -> DataF
     return labels
 
 
-def classes(
-    spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, recall: float = 0.99, dense: int = 2048, hard: int = 16_384
-) -> DataFrame:
+def classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """(doc_id, class_id), a row for each row of docs."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return _classes(spark, docs, **settings).select("doc_id", "class_id")
+
+
+def _classes(spark: SparkSession, docs: DataFrame, similarity: float = 0.8, recall: float = 0.99, dense: int = 2048, hard: int = 16_384) -> DataFrame:
+    """(doc_id, row, class_id); row: a hash of the text, for rows that share a doc_id."""
     depth, trees = plan(docs.count(), dense, similarity, recall)
     signed = keep(spark, sign(docs, trees, depth))
     named = signed.where("prefixes is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("first"))
@@ -329,11 +331,13 @@ def classes(
     final = final.join(upper, "label", "left").select(F.col("id").alias("first"), F.coalesce("top", "label").alias("class"))
 
     every = signed.join(named, ["h1", "h2"], "left").withColumn("first", F.when(F.col("prefixes").isNull(), F.col("doc_id")).otherwise(F.col("first")))
-    return every.join(final, "first", "left").select("doc_id", F.coalesce("class", "first").alias("class_id"))
+    return every.join(final, "first", "left").select("doc_id", "row", F.coalesce("class", "first").alias("class_id"))
 
 
 def keep_first(spark: SparkSession, docs: DataFrame, **settings) -> DataFrame:
-    """The rows, with all their columns, that stand first in their class (one row each); rows with a null id all stay."""
-    found = classes(spark, docs, **settings).where("doc_id = class_id").select("doc_id").distinct()
-    stays = docs.join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-    return stays.unionByName(docs.where("doc_id is null"))
+    """The rows, with all their columns, that stand first in their class (equal rows once); rows with a null id all stay."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = _classes(spark, texts, **settings).where("doc_id = class_id").select("doc_id", "row").distinct()
+    tagged = docs.withColumn("__row", F.xxhash64("text"))
+    stays = tagged.join(found.withColumnRenamed("row", "__row"), ["doc_id", "__row"], "left_semi").dropDuplicates(["doc_id", "__row"])
+    return stays.select(docs.columns).unionByName(docs.where("doc_id is null"))

@@ -11,7 +11,7 @@ least hash; a documented bound, enough for a model of ``max_features`` weights).
 driver gets the chosen features and, per training row, the numbers of those it has.
 
 Edge cases: null and empty texts get the model's base score. Null labels aren't learned from; of several labels of one
-document the highest counts. Without both labels among the training rows every score is their (smoothed) share. Rows with
+document the highest counts. Without both labels among the training rows nothing can be told: every score is 0.5. Rows with
 null or repeated doc_id are scored one by one (a null id isn't held out, nor learned from). An empty table gives an empty
 result. Only the named columns are read by ``score``; ``keep_clean`` passes all columns through.
 """
@@ -103,10 +103,10 @@ def fit(
     weight = np.array([w for *_, w in rows])
     label = np.array([y for _, _, y, _ in rows], dtype=float)
     total = weight.sum()
-    share = float((weight @ label + 0.5) / (total + 1)) if len(rows) else 0.5
-    bias = float(np.log(share / (1 - share)))
     if not len(rows) or not names or len(set(label.tolist())) < 2:
-        return Model({}, bias)
+        return Model({}, 0.0)
+    share = float((weight @ label + 0.5) / (total + 1))
+    bias = float(np.log(share / (1 - share)))
 
     def flat(which: int) -> tuple[np.ndarray, np.ndarray]:
         return (
@@ -174,7 +174,7 @@ def train(
     size = rows.agg(F.count("*").alias("n"), F.sum("y").alias("hits")).head()
     n, share = size["n"], (size["hits"] or 0) / max(size["n"], 1)
     if not n or not 0 < share < 1:
-        return fit([([], [], int(share > 0), float(max(n, 1)))], [])
+        return fit([], [])
     terms = sorted({t for family in IDENTITY for t in family})
     counted = rows.mapInArrow(count, "f string, n long, hits long").groupBy("f").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
     gain = (F.col("hits") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share))

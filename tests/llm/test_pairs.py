@@ -3,6 +3,7 @@
 import re
 import zlib
 from collections import Counter
+from html import unescape
 
 import pytest
 
@@ -50,7 +51,7 @@ def components(nodes, links):
 
     def root(d):
         while top[d] != d:
-            d = top[d] = top[top[d]]
+            d = top[d]
         return d
 
     for a, b in links:
@@ -87,7 +88,7 @@ def test_classes_on_odd_rows(spark, odd):
     docs = spark.read.parquet(f"{odd}/documents.parquet")
     kept = simhash_dedup.keep_first(spark, docs)
     assert kept.columns == docs.columns
-    assert Counter(r["doc_id"] for r in kept.collect()) == Counter([1, 2, 3, None, 4, 6, 7, 8, 9])
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter([1, 2, 3, None, 4, 5, 6, 7, 8, 9])
 
 
 def test_large_group_of_copies(spark):
@@ -242,7 +243,7 @@ def test_rendering_the_pages(spark):
     found = {r["page_id"]: r for r in queries()["op8_html_render"](spark, MID).collect()}
     for r in spark.read.parquet(f"{MID}/pages.parquet").collect():
         body = re.sub(r"<(script|style|title)>.*?</\1>|<!--.*?-->", " ", r["html"], flags=re.S)
-        words = re.sub(r"<[^>]*>", " ", body).replace("&quot;", '"').replace("&lt;", "<").replace("&gt;", ">").replace("&amp;", "&").split()
+        words = unescape(re.sub(r"<[^>]*>", " ", body)).split()
         assert [w for w in found[r["page_id"]]["text"].split() if w != "-"] == words
         assert found[r["page_id"]]["n_items"] == r["html"].count("<li>")
 
