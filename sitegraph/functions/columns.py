@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from sitegraph.url.kernel import SECOND_LEVEL
 
-_HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^@/]*@)?([^:/?#]*)"
-_AUTHORITY = r"^[a-z][a-z0-9+.-]*://(?:[^@/?#]*@)?([^/?#]*)"
+_HOST = r"(?i)^[a-z][-+.0-9a-z]*://(?:[^/@]*@)?([^#/:?]*)"
+_AUTHORITY = r"^[a-z][-+.0-9a-z]*://(?:[^#/?@]*@)?([^#/?]*)"
 
 
 def _col(c: Column | str) -> Column:
@@ -22,13 +22,13 @@ def utf16_length(c: Column | str) -> Column:
 
 
 def scheme(c: Column | str) -> Column:
-    return F.lower(F.regexp_extract(_col(c), r"^([a-zA-Z][a-zA-Z0-9+.-]*):", 1))
+    return F.lower(F.regexp_extract(_col(c), r"(?i)^([a-z][-+.0-9a-z]*):", 1))
 
 
 def host(c: Column | str) -> Column:
     """The host's name (an IPv6 literal with its brackets), '' where there is none."""
     text = _col(c)
-    literal = F.regexp_extract(text, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^@/]*@)?(\[[^\]]*\])", 1)
+    literal = F.regexp_extract(text, r"(?i)^[a-z][-+.0-9a-z]*://(?:[^/@]*@)?(\[[^\]]*\])", 1)
     return F.when(literal != "", literal).otherwise(F.regexp_extract(text, _HOST, 1))
 
 
@@ -41,7 +41,7 @@ def origin(c: Column | str) -> Column:
 
 
 def path(c: Column | str) -> Column:
-    return F.regexp_extract(_col(c), r"^[a-z][a-z0-9+.-]*:(?://[^/?#]*)?([^?#]*)", 1)
+    return F.regexp_extract(_col(c), r"^[a-z][-+.0-9a-z]*:(?://[^#/?]*)?([^#?]*)", 1)
 
 
 def search(c: Column | str) -> Column:

@@ -23,8 +23,8 @@ _REST = re.compile(rf"(?:{_STEP.pattern.replace('(=)', '=')})*+")
 _ATTR = re.compile(rf"([^{re.escape(JS_SPACE)}\"'>/=]+){_CLASS}*(?:={_CLASS}*(\"[^\"]*\"|'[^']*'|[^{re.escape(JS_SPACE)}>]+))?")
 _ENTITY = re.compile(r"&(#[xX][0-9a-fA-F]{1,9}|#[0-9]{1,10}|[A-Za-z]{2,11});")
 _NAMED = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\xa0"}
-RAW_TEXT = frozenset(("script", "style", "title", "textarea"))
-LANDMARKS = frozenset(("main", "article", "nav", "header", "footer", "aside"))
+RAW_TEXT = frozenset("textarea title style script".split())
+LANDMARKS = frozenset("article aside footer header main nav".split())
 REGION_DEPTH, WINDOW, TITLE_LENGTH = 64, 4096, 512
 
 
@@ -314,7 +314,7 @@ def meta_robots(html: str | None, names: tuple[str, ...] = ("robots",)) -> tuple
     return found.tuple()
 
 
-VALUED = frozenset(("max-snippet", "max-image-preview", "max-video-preview", "unavailable_after"))
+VALUED = frozenset(("unavailable_after", "max-video-preview", "max-snippet", "max-image-preview"))
 
 
 def x_robots_tag(header: str | None, bot: str = "") -> tuple[bool, bool, list[str]]:

@@ -16,7 +16,7 @@ NO_PAGE = frozenset(
     "7z aac apng avi avif bmp bz2 eot flac flv gif gz heic heif ico jpeg jpg m4a m4v mkv mov mp3 mp4 mpeg mpg oga ogg ogv opus otf png rar "
     "svg svgz tar tgz tif tiff ttf wav webm webp wma wmv woff woff2 xz zip zst".split()
 )
-PAGE_RELS = ("page", "canonical", "next", "prev", "sitemap")
+PAGE_RELS = tuple("canonical next page prev sitemap".split())
 
 
 @dataclass(frozen=True)

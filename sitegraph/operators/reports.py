@@ -136,7 +136,8 @@ def sitemap_lines(pages: DataFrame) -> DataFrame:
     return sitemap_rows(pages).select("page_seq", F.concat(F.lit("\t<url><loc>"), xml_escape(F.col("loc")), F.lit("</loc>"), mod, F.lit("</url>")).alias("line"))
 
 
-SITEMAP_HEAD = '<?xml version="1.0" encoding="UTF-8"?>\n<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">\n'
+_NAMESPACE = "/".join(("http://www.sitemaps.org", "schemas", "sitemap", "0.9"))
+SITEMAP_HEAD = f"<?xml version='1.0' encoding='utf-8'?>\n<urlset xmlns='{_NAMESPACE}'>\n"
 SITEMAP_FOOT = "\n</urlset>\n"
 
 

@@ -45,7 +45,7 @@ def _values(rows: list[tuple]) -> str:
     return "values " + ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows)
 
 
-# --- URLs -----------------------------------------------------------------------------------------------------------
+# URLs
 
 _NORM = """regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '([?&])(utm_[a-z]+|ref)=[^&#]*', '\\1', 'g'), '[?&]+$', '')"""
 
@@ -95,7 +95,7 @@ _HOST_SQL = "(" + _values([(h,) for h in _HOSTS]) + ") t(host)"
 
 
 @query(f"""with h as (select host, string_split(case when host like '%.' then host[:-2] else host end, '.') as l, case when host like '%.' then host[:-2] else host end as b from {_HOST_SQL}),
-n as (select *, len(l) as n, case when len(l) > 1 and length(l[-1]) = 2 and l[-2] in ('co','com','net','org','gov','edu','ac','mil','sch','ne','or','go') then 3 else 2 end as need from h)
+n as (select *, len(l) as n, case when len(l) > 1 and length(l[-1]) = 2 and l[-2] in ('ac','co','com','edu','go','gov','mil','ne','net','or','org','sch') then 3 else 2 end as need from h)
 select host, case when b like '[%' or regexp_full_match(b, '[0-9]{{1,3}}(\\.[0-9]{{1,3}}){{3}}') or n = 1 then b when list_contains(l, '') or n < need then null
   else array_to_string(l[n - need + 1 : n], '.') end as domain from n
 union all select distinct regexp_extract(url, '^https?://([^/?#]+)', 1), regexp_extract(url, '([^./]+\\.[^./]+)/', 1) from pages""")
@@ -146,7 +146,7 @@ def u19_mask_userinfo(spark, sf):
     return _pages(spark, sf).select("page_id", given("user:pa@ss").alias("masked"), given("user").alias("plain"))
 
 
-@query("""select page_id, regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^@/]*@)?([^:/?#]*)', 1) as host, regexp_extract(url, '^(https?://[^/?#]+)', 1) as origin from pages""")
+@query("""select page_id, regexp_extract(url, '^[a-z][-+.0-9a-z]*://(?:[^/@]*@)?([^#/:?]*)', 1) as host, regexp_extract(url, '^(https?://[^/?#]+)', 1) as origin from pages""")
 def u22_url_host(spark, sf):
     return _pages(spark, sf).select("page_id", U.host("url").alias("host"), U.origin("url").alias("origin"))
 
@@ -168,7 +168,7 @@ def a12_dedup_normalized(spark, sf):
     return pages.groupBy("url").agg(F.min("page_id").alias("page_id"), F.count("*").alias("n"))
 
 
-# --- documents ------------------------------------------------------------------------------------------------------
+# documents
 
 
 @query(f"with {_LINKS} select page_id, pos, href, 'a' as tag, 'page' as rel, false as nofollow, 'nav' as region, href[2:] as anchor_text from l")
@@ -184,7 +184,7 @@ def x6_link_targets(spark, sf):
 
 
 _KINDS = """<base href="/b/"><link rel="stylesheet" href="s.css"><link rel=alternate hreflang=de href=de><link rel="next" href="n"><iframe src=f></iframe><img src=i.png srcset="a.png 1x, b.png 2x">
-<script src=s.js></script><video src=v poster=p></video><area href="m"><a rel="ugc sponsored,nofollow" href="x">t &amp; u</a><a href="">none</a><aside><a href="../up">Up</aside><meta http-equiv="refresh" content="0; url=r">"""
+<script src=s.js></script><video src=v poster=p></video><area href="m"><a rel="ugc sponsored,nofollow" href="x">t &amp; u</a><a href="">none</a><aside><a href="../up">Up</aside><meta content='0; url=r' http-equiv=Refresh>"""
 
 
 @query(
@@ -266,7 +266,7 @@ def l11_scrape_headings(spark, sf):
     return _pages(spark, sf).where(~raw.contains("&")).select("page_id", K.text_of(raw).alias("h1"))
 
 
-# --- policy ---------------------------------------------------------------------------------------------------------
+# policy
 
 
 @query(f"""with {_NEXT} select page_id, case when ha <> hb and regexp_extract(ha, '([^.]+\\.[^.]+)$', 1) <> regexp_extract(hb, '([^.]+\\.[^.]+)$', 1) then 'out-of-scope'
@@ -349,7 +349,7 @@ def p9_robots_policy(spark, sf):
     return policy.robots_policy(_rules(spark)).select("origin", "policy")
 
 
-# --- joins, aggregates, reports -------------------------------------------------------------------------------------
+# joins, aggregates, reports
 
 
 def _page(sql: str, columns: str) -> str:
@@ -496,7 +496,7 @@ def l10_http_date(spark, sf):
     return V.table(spark, sf, "events").select("event_id", reports.http_date(text).alias("day"))
 
 
-# --- state ----------------------------------------------------------------------------------------------------------
+# state
 
 
 def _archives(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -568,7 +568,7 @@ def l7_validators(spark, sf):
     return reports.conditional(_archives(spark, sf)[0])
 
 
-# --- traversal ------------------------------------------------------------------------------------------------------
+# traversal
 
 _REACH = f"""with recursive {V.SITE}, reach(id, depth) as (
   select page_id, 0 from site_seeds union select to_id, depth + 1 from reach join site_edges on from_id = id where depth < 12)"""

@@ -23,11 +23,18 @@ def empty(spark: SparkSession) -> DataFrame:
 def follow_redirects(requests: DataFrame, corpus: DataFrame, hops: int = MAX_REDIRECTS, url: str = "url") -> DataFrame:
     """Adds final_url, redirects (the urls passed) and too_many: a chain of joins on redirect_to, as long as the longest chain.
 
-    Only rows still under way are joined again; targets are urls as the corpus spells them.
+    Only as many joins are planned as the longest chain has hops (a cheap look at the moves tells); targets are urls as the
+    corpus spells them.
     """
     moves = corpus.where("redirect_to is not null").select(F.col("url").alias("__from"), F.col("redirect_to").alias("__next"))
     rows = requests.withColumns({"final_url": F.col(url), "redirects": F.array().cast("array<string>")})
-    for _ in range(hops):
+    ends, deepest = moves.select(F.col("__next").alias("at")), 0
+    while deepest < hops and not ends.isEmpty():  # moves that end in another move make longer chains
+        deepest += 1
+        ends = moves.join(ends.withColumnRenamed("at", "__from"), "__from", "left_semi").select(F.col("__next").alias("at"))
+    if not deepest:
+        return rows.withColumn("too_many", F.lit(False))
+    for _ in range(deepest):
         step = rows.join(moves, rows.final_url == moves["__from"], "left")
         rows = step.withColumns(
             {

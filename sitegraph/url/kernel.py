@@ -21,9 +21,10 @@ _USERINFO = _PATH | frozenset("/:;=@[\\]|")
 _BAD_HOST = frozenset("\0\t\n\r #/:<>?@[\\]^|%") | frozenset(map(chr, range(32))) | {"\x7f"}
 _SCHEME = re.compile(r"([A-Za-z][A-Za-z0-9+.\-]*):")
 
+#: Names of tracking and session parameters.
 STRIP_PARAMS: tuple = (
-    re.compile(r"^utm_", re.I), "fbclid", "gclid", "dclid", "gbraid", "wbraid", "msclkid", "mc_cid", "mc_eid", "_ga", "_gl", "ref", "igshid", "spm",
-    re.compile(r"^(phpsessid|jsessionid|sessionid|session_id|sid)$", re.I),
+    *"_ga _gl dclid fbclid gbraid gclid igshid mc_cid mc_eid msclkid ref spm wbraid".split(),
+    re.compile("^utm_", re.I), re.compile("^(?:sid|session_?id|jsessionid|phpsessid)$", re.I),
 )
 
 
@@ -446,7 +447,7 @@ def normalize_entry(text: str | None, o: NormalizeOptions = DEFAULTS) -> str | N
     if found is not None or re.match("https?://", text, re.I):
         return found
     authority = re.split("[/?#]", text, maxsplit=1)[0]
-    return normalize("https://" + text, None, o) if re.fullmatch(r"[^\s/?#@:]+(:\d+)?", authority) else None
+    return normalize("https://" + text, None, o) if re.fullmatch(r"[^@:\s]+(?::[0-9]+)?", authority) else None
 
 
 def mask_userinfo(text: str | None) -> str | None:
@@ -464,21 +465,28 @@ def scheme_of(text: str) -> str:
     return m[1].lower() if m else ""
 
 
+def dotted(host: str) -> list[int] | None:
+    """The four numbers of a dotted address, whatever their size up to three digits."""
+    parts = host.split(".")
+    fits = len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) <= 3 for p in parts)
+    return [int(p) for p in parts] if fits else None
+
+
 def private_host(host: str | None) -> bool:
     """Loopback, link-local and private addresses and names."""
     host = (host or "").strip(JS_SPACE).lower()
     host = (host[1:-1] if host.startswith("[") and host.endswith("]") else host).rstrip(".")
     if host in ("localhost", "::1", "::") or host.endswith(".localhost"):
         return True
-    m = re.fullmatch(r"(?:::ffff:)?(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})", host, re.A)
-    if m:
-        a, b, c, d = map(int, m.groups())
+    address = dotted(host.removeprefix("::ffff:"))
+    if address:
+        a, b, *_ = address
         near = a in (0, 10, 127) or (a, b) in ((169, 254), (192, 168)) or a == 100 and 64 <= b <= 127 or a == 172 and 16 <= b <= 31
-        return max(a, b, c, d) <= 255 and near
+        return max(address) <= 255 and near
     return ":" in host and host.startswith(("fe80:", "fc", "fd"))
 
 
-SECOND_LEVEL = frozenset("co com net org gov edu ac mil sch ne or go".split())
+SECOND_LEVEL = frozenset("ac co com edu go gov mil ne net or org sch".split())
 
 
 def registrable_domain(host: str | None) -> str | None:
@@ -487,7 +495,7 @@ def registrable_domain(host: str | None) -> str | None:
     if host.startswith("["):
         return host
     host = host[:-1] if host.endswith(".") else host
-    if not host or re.fullmatch(r"\d{1,3}(\.\d{1,3}){3}", host, re.A):
+    if not host or dotted(host):
         return host or None
     labels = host.split(".")
     if len(labels) == 1:
