@@ -115,6 +115,19 @@ def soft_duplicates(pages: DataFrame, order: str, threshold: int = 10, counted:
     return rows.withColumn("soft_dup", F.col("content_hash").isNotNull() & (F.col("__n") > threshold)).drop("__n")
 
 
+def converged(claimed: DataFrame, fetched: DataFrame) -> DataFrame:
+    """Adds ``dup`` to claims (url, ord, final_key, hops): another page took this one's url or final url before it.
+
+    Earlier claims take their url, final url and hops; ``fetched`` (url) holds what earlier rounds took.
+    """
+    own = F.array_distinct(F.array("url", "final_key"))
+    keys = claimed.select("url", "ord", F.explode(own).alias("key"))
+    earlier = claimed.select("ord", F.explode(F.array_distinct(F.concat(own, "hops"))).alias("key")).groupBy("key").agg(F.min("ord").alias("first"))
+    old = fetched.select(F.col("url").alias("key"), F.lit(True).alias("old")).distinct()
+    hits = keys.join(earlier, "key").join(old, "key", "left").groupBy("url").agg(F.max(F.col("old").isNotNull() | (F.col("first") < F.col("ord"))).alias("dup"))
+    return claimed.join(hits, "url")
+
+
 def robots_policy(fetched: DataFrame, most: int = 512_000) -> DataFrame:
     """(origin, policy, text) from fetched robots.txt rows (origin, status, content_type, body): a server error forbids all,
     a missing, empty, HTML or failed answer allows all, otherwise the text rules."""

@@ -102,6 +102,7 @@ class Crawler:
         self.rules: DataFrame | None = None
         self.known_origins: DataFrame | None = None
         self._stop = False
+        self.depth = net.chain_depth(corpus)
 
     def stop(self) -> None:
         """The running crawl ends after its round; what is pending stays pending."""
@@ -163,7 +164,7 @@ class Crawler:
             return first.withColumn("n", F.row_number().over(Window.partitionBy("origin").orderBy("pos"))).where(F.col("n") <= SITEMAP_DOCS).drop("n")
 
         def load(rows: DataFrame) -> DataFrame:
-            got = net.fetch(rows.withColumnRenamed("doc", "url"), self.corpus).where("ok")
+            got = net.fetch(rows.withColumnRenamed("doc", "url"), self.corpus, depth=self.depth).where("ok")
             return got.select("origin", "pos", K.sitemap(F.col("body")).alias("s"))
 
         top = settled(load(same_origin(docs)))
@@ -181,7 +182,9 @@ class Crawler:
         if self.known_origins is not None:
             new = new.join(self.known_origins, "origin", "left_anti")
         new = settled(new)
-        got = net.fetch(new.withColumn("url", F.concat("origin", F.lit("/robots.txt"))), self.corpus)
+        if self.rules is not None and new.isEmpty():
+            return
+        got = net.fetch(new.withColumn("url", F.concat("origin", F.lit("/robots.txt"))), self.corpus, depth=self.depth)
         policies = settled(policy.robots_policy(got, self.o.robots_max))
         rules = settled(policy.robots_table(policies))
         texts = policies.select("origin", "text")
@@ -208,18 +211,13 @@ class Crawler:
         """Adds ``dup``: another page took this one's url, final url or one of its hops before."""
         if self.o.recrawl:
             return claimed.withColumn("dup", F.lit(False))
-        own = F.array_distinct(F.array("url", "final_key"))
-        keys = claimed.select("url", "ord", F.explode(own).alias("key"))
-        earlier = claimed.select("ord", F.explode(F.array_distinct(F.concat(own, "hops"))).alias("key")).groupBy("key").agg(F.min("ord").alias("first"))
-        old = s.fetched.select(F.col("url").alias("key"), F.lit(True).alias("old")).distinct()
-        hits = keys.join(earlier, "key").join(old, "key", "left").groupBy("url").agg(F.max(F.col("old").isNotNull() | (F.col("first") < F.col("ord"))).alias("dup"))
-        return claimed.join(hits, "url")
+        return policy.converged(claimed, s.fetched)
 
     def _round(self, s: State) -> tuple[DataFrame, DataFrame]:
         o = self.o
         claimed = self._claim(s).drop("status")
         conditional = None if self.archive is None else self._conditional()
-        got = net.fetch(claimed, self.corpus, conditional)
+        got = net.fetch(claimed, self.corpus, conditional, self.depth)
         got = got.withColumns({"final_key": F.coalesce(K.normalize_url(F.col("final_url"), o=o.normalize), "url"), "hops": F.transform("redirects", lambda u: u)})
         if conditional is not None:
             stored = self.archive.select("url", F.decode("body", "UTF-8").alias("stored"), F.col("content_hash").alias("stored_hash"))

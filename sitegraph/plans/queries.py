@@ -12,7 +12,9 @@ from sitegraph.functions import kernels as K
 from sitegraph.html.kernel import ExtractOptions
 from sitegraph.operators import archive, policy, reports, traversal
 from sitegraph.plans import views as V
+from sitegraph.plans.crawl import Options, crawl
 from sitegraph.sources import corpus as net
+from sitegraph.streaming import pages as stream
 from sitegraph.url.kernel import NormalizeOptions
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -630,3 +632,55 @@ def recrawl_304(spark, sf):
     stored = pages.select("url", F.concat(F.lit("e"), "page_seq").alias("if_none_match"), F.lit(None).cast("string").alias("if_modified_since"))
     return net.fetch(pages.select("page_seq", "url"), corpus, stored).select("page_seq", "status", "not_modified", "ok")
 
+
+@query("select o_orderkey as id, k > 1 or o_custkey % 9 = 0 as dup from (select *, row_number() over (partition by o_custkey order by o_orderkey) as k from orders)")
+def j11_redirect_convergence(spark, sf):
+    # Orders are claims that redirect to their customer's page; every ninth customer's was fetched before.
+    orders = V.table(spark, sf, "orders")
+    page = F.concat(F.lit("c"), "o_custkey")
+    claimed = orders.select(F.concat(F.lit("o"), "o_orderkey").alias("url"), F.col("o_orderkey").alias("ord"), page.alias("final_key"), F.array(F.concat(F.lit("o"), "o_orderkey")).alias("hops"))
+    old = orders.where("o_custkey % 9 = 0").select(page.alias("url")).distinct()
+    return policy.converged(claimed, old).select(F.col("ord").alias("id"), "dup")
+
+
+_SITE = {
+    "/": ("<title>Start</title><nav><a href=/one>1</a></nav><a href=/two>2</a><a href='/same?utm_source=q'>s</a><a href=/moved>m</a><a href=/hidden/x>h</a><a href=http://far.example/x>f</a>", None),
+    "/one": ("<title>One</title><a href=/two>two</a><a href=/>start</a><a rel=nofollow href=/no>n</a>", None),
+    "/two": ("<title>Two</title><a href=/one>one</a><a href=/same>same</a><a href=mailto:a@b.c>mail</a>", None),
+    "/same": ("<title>Same</title>", None),
+    "/moved": (None, "/target"),
+    "/target": ("<title>Target</title><a href=/deep/1>d</a>", None),
+    "/deep/1": ("<title>Deep</title>", None),
+    "/robots.txt": ("User-agent: *\nDisallow: /hidden/", None),
+}
+_SITE_ROWS = [
+    (0, "/", 0, "Start", 6, 4), (1, "/one", 1, "One", 3, 0), (2, "/two", 1, "Two", 3, 0), (3, "/same", 1, "Same", 0, 0), (4, "/moved", 1, "Target", 1, 1), (5, "/deep/1", 2, "Deep", 0, 0),
+]
+
+
+def _small_crawl(spark: SparkSession):
+    rows = [(f"http://small.example{u}", 200, "text/plain" if u.endswith("txt") else None, None, h, to and f"http://small.example{to}", None, None, None, None, None) for u, (h, to) in _SITE.items()]
+    return crawl(spark, _inline(spark, rows, net.CORPUS), "http://small.example", Options(max_depth=5))
+
+
+@query("select * from (" + _values(_SITE_ROWS) + ") t(page_seq, path, depth, title, n_links, n_followed)")
+def crawl_small_site(spark, sf):
+    report = _small_crawl(spark)
+    links = report.links.groupBy(F.col("from_url").alias("url")).agg(F.count("*").alias("n_links"), F.count_if("followed").alias("n_followed"))
+    pages = report.pages.join(links, "url", "left")
+    return pages.select("page_seq", U.path("url").alias("path"), "depth", "title", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_links", "n_followed")])
+
+
+@query("select * from (" + _values([("followed", 5), ("duplicate", 4), ("out-of-scope", 1), ("robots-disallow", 1), ("nofollow", 1), ("bad-scheme", 1)]) + ") t(reason, n)")
+def crawl_small_site_reasons(spark, sf):
+    return _small_crawl(spark).links.groupBy(F.coalesce("skip_reason", F.lit("followed")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query("select event_type as status, count(*) as n, cast(sum(event_id) as bigint) as bytes from events group by event_type")
+def stream_counts(spark, sf):
+    """The stream of events, counted as it comes; the result is that of the last trigger."""
+    schema = V.table(spark, sf, "events").schema
+    source = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").load(sf, format="parquet")
+    made = stream.counts(source.select(F.col("event_type").alias("status"), F.col("event_id").alias("size")))
+    made.writeStream.format("memory").queryName("stream_counts").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    return spark.table("stream_counts")

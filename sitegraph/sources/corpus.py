@@ -20,18 +20,25 @@ def empty(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], CORPUS)
 
 
-def follow_redirects(requests: DataFrame, corpus: DataFrame, hops: int = MAX_REDIRECTS, url: str = "url") -> DataFrame:
+def chain_depth(corpus: DataFrame, hops: int = MAX_REDIRECTS) -> int:
+    """How many joins the longest chain of redirects needs: moves that end in another move make longer chains."""
+    moves = corpus.where("redirect_to is not null").select(F.col("url").alias("__from"), F.col("redirect_to").alias("__next"))
+    ends, deepest = moves.select(F.col("__next").alias("at")), 0
+    while deepest < hops and not ends.isEmpty():
+        deepest += 1
+        ends = moves.join(ends.withColumnRenamed("at", "__from"), "__from", "left_semi").select(F.col("__next").alias("at"))
+    return deepest
+
+
+def follow_redirects(requests: DataFrame, corpus: DataFrame, hops: int = MAX_REDIRECTS, url: str = "url", depth: int | None = None) -> DataFrame:
     """Adds final_url, redirects (the urls passed) and too_many: a chain of joins on redirect_to, as long as the longest chain.
 
-    Only as many joins are planned as the longest chain has hops (a cheap look at the moves tells); targets are urls as the
-    corpus spells them.
+    Only as many joins are planned as the longest chain has hops (``depth``, or a look at the moves); targets are urls as
+    the corpus spells them.
     """
     moves = corpus.where("redirect_to is not null").select(F.col("url").alias("__from"), F.col("redirect_to").alias("__next"))
     rows = requests.withColumns({"final_url": F.col(url), "redirects": F.array().cast("array<string>")})
-    ends, deepest = moves.select(F.col("__next").alias("at")), 0
-    while deepest < hops and not ends.isEmpty():  # moves that end in another move make longer chains
-        deepest += 1
-        ends = moves.join(ends.withColumnRenamed("at", "__from"), "__from", "left_semi").select(F.col("__next").alias("at"))
+    deepest = chain_depth(corpus, hops) if depth is None else depth
     if not deepest:
         return rows.withColumn("too_many", F.lit(False))
     for _ in range(deepest):
@@ -46,13 +53,13 @@ def follow_redirects(requests: DataFrame, corpus: DataFrame, hops: int = MAX_RED
     return left.withColumns({"too_many": F.coalesce("too_many", F.lit(False)), "redirects": F.slice("redirects", 1, KEPT_HOPS)})
 
 
-def fetch(requests: DataFrame, corpus: DataFrame, conditional: DataFrame | None = None) -> DataFrame:
+def fetch(requests: DataFrame, corpus: DataFrame, conditional: DataFrame | None = None, depth: int | None = None) -> DataFrame:
     """Requests with their responses: a url that isn't in the corpus is a 404 with the body ``not found``.
 
     conditional: (url, if_none_match, if_modified_since); a page whose validator still holds answers 304 without a body.
     """
     answers = corpus.select(F.col("url").alias("final_url"), *[c for c in corpus.columns if c not in ("url", "redirect_to")], F.lit(True).alias("__known"))
-    rows = follow_redirects(requests, corpus).join(answers, "final_url", "left")
+    rows = follow_redirects(requests, corpus, depth=depth).join(answers, "final_url", "left")
     known = F.col("__known").isNotNull()
     rows = rows.withColumns(
         {
