@@ -3,9 +3,9 @@
 A window is ``size`` consecutive words of one document. A word goes if a window over it also starts in a document with a
 smaller doc_id; windows are judged on the input.
 
-1. Sketch. Every window is counted under its minimiser: the least hash among its runs of size // 2 words. Equal windows have
-   equal minimisers, so the number of documents with a minimiser never falls short of that of any window behind it, and
-   one minimiser stands for about thirteen neighbouring windows. Each task counts its documents' minimisers (once per
+1. Sketch. Every window is counted under its minimiser: the least hash among its runs of size * 4 // 5 words. Equal windows
+   have equal minimisers, so the number of documents with a minimiser never falls short of that of any window behind it, and
+   one minimiser stands for about six neighbouring windows. Each task counts its documents' minimisers (once per
    document) into partial count-min sketches whose counters stop at two; the partial sketches are merged segment by
    segment. The merged sketch overestimates and never underestimates. Its width follows the input up to ``max_bits``; a
    fuller sketch lets more windows through and changes no result.
@@ -43,10 +43,9 @@ PASSED = (
 
 
 def minimisers(words: np.ndarray, size: int) -> np.ndarray:
-    """For each window of ``size`` words, the least hash of its runs of size // 2 words."""
-    half = size // 2
-    low = window_hashes(words, half, 0xA24BAED4963EE407)
-    span, step, want = low, 1, size - half + 1
+    """For each window of ``size`` words, the least hash of its runs of size * 4 // 5 words."""
+    run = max(1, size * 4 // 5)
+    span, step, want = window_hashes(words, run, 0xA24BAED4963EE407), 1, size - run + 1
     while step * 2 <= want:
         span = np.minimum(span[: len(span) - step], span[step:])
         step *= 2
@@ -69,8 +68,8 @@ def _row(h1: int) -> int:
 
 
 def bits_for(characters: int, max_bits: int) -> int:
-    """log2 of the width of either row: four counters for each expected minimiser (one in about 80 characters)."""
-    want = max(1 << _SEGMENT, 4 * (characters // 80))
+    """log2 of the width of either row: four counters for each expected minimiser (one in about 36 characters)."""
+    want = max(1 << _SEGMENT, 4 * (characters // 36))
     return min(want - 1, max_bits // 2).bit_length() if want > 1 << _SEGMENT else _SEGMENT
 
 
@@ -240,7 +239,8 @@ def remove_repeats(
     classes = waiting.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"))
     named = keep(spark, waiting.select("doc_id", "h1", "h2", "n_words", "text").join(classes, ["h1", "h2"]))
     firsts = named.where("doc_id = first").dropDuplicates(["doc_id", "h1", "h2"])
-    windows = keep(spark, _exploded(passed.where("k1 is not null")).unionByName(_exploded(first_keys(firsts, bitmap, bits, size))))
+    of_firsts = keep(spark, first_keys(firsts, bitmap, bits, size))
+    windows = _exploded(passed.where("k1 is not null")).unionByName(_exploded(of_firsts))
 
     least = windows.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     gone = (
