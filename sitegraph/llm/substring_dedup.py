@@ -13,7 +13,8 @@ smaller doc_id; windows are judged on the input.
    (map-side combined), joined back to the windows (a shuffle join, which adaptive execution splits at hot keys).
    Texts whose whole word sequence is estimated repeated wait: of each class of equal sequences only the first
    document's windows are grouped, the others are removed outright, which changes no result either.
-3. The texts concerned are cut at the removed words; all others went through unchanged in the second scan.
+3. A last scan finishes texts that lose nothing on the spot; only those that a fixed-size filter over the ids of losers lets
+   through are carried to a join with their removed places. No text is carried before.
 
 Edge cases: a null or empty text has no words (hash of the empty string). Fewer than ``size`` words: nothing is removed.
 A null doc_id is neither smaller nor larger than any: such rows stay whole and remove nothing. Rows with equal doc_id don't
@@ -32,14 +33,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitegraph.llm.common import WordHashes, keep, pieces, window_hashes
+from sitegraph.llm.simhash_dedup import _place as filter_place
+from sitegraph.llm.simhash_dedup import id_filter
 
 SIZE = 50
 _SEGMENT = 22  # log2 of the counters of a segment
 _U64 = np.uint64
-PASSED = (
-    "doc_id long, n_words long, h1 long, h2 long, waits boolean, text string, kept_sha256 string, "
-    "k1 array<long>, k2 array<int>, at array<long>"
-)
+_ALL = (1 << 36) - 1  # the place that stands for all words
+KEYS = "doc_id long, h1 long, h2 long, k1 array<long>, k2 array<int>, at array<long>"
+CUT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
 
 
 def minimisers(words: np.ndarray, size: int) -> np.ndarray:
@@ -53,7 +55,7 @@ def minimisers(words: np.ndarray, size: int) -> np.ndarray:
     return np.minimum(span[:n], span[want - step : want - step + n])
 
 
-def _whole(words: np.ndarray, data: bytes) -> tuple[int, int]:
+def _whole(data: bytes) -> tuple[int, int]:
     """A 128-bit name of the word sequence, as two signed numbers."""
     import xxhash
 
@@ -108,7 +110,7 @@ def sketch(docs: DataFrame, bits: int, size: int = SIZE) -> DataFrame:
                     data = (text.as_py() or "").encode()
                     words = hashes(data.split())
                     if len(words) >= size:
-                        items = [np.unique(minimisers(words, size)), np.array([_whole(words, data)[0]], dtype=np.int64).view(_U64)]
+                        items = [np.unique(minimisers(words, size)), np.array([_whole(data)[0]], dtype=np.int64).view(_U64)]
                         held += items
                         many += len(items[0]) + 1
                 if many > 2_000_000:
@@ -166,60 +168,51 @@ def _sha(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
-def _table(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64()] * 4 + [pa.bool_(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64())]
-    columns = list(zip(*rows)) if rows else [()] * len(kinds)
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[x.split()[0] for x in PASSED.split(", ")])
+def _table(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "string": pa.string(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}
+    names, types = zip(*(x.split() for x in schema.split(", ")))
+    columns = list(zip(*rows)) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(columns, types)], names=list(names))
 
 
-def probe(docs: DataFrame, bitmap, bits: int, size: int = SIZE) -> DataFrame:
-    """The second scan (PASSED): texts without a window estimated repeated are finished; the rest carry text and keys."""
+def _inside(batch: pa.RecordBatch, bitmap: np.ndarray) -> np.ndarray:
+    """Which rows the filter over ids (places in column 2, null where the id is) lets through."""
+    place = np.nan_to_num(batch.column(2).to_numpy(zero_copy_only=False)).astype(np.int64)
+    at = np.maximum(place - 1, 0)
+    return (place > 0) & (bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
-    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, map_ = WordHashes(), bitmap.value
-        for whole in batches:
-            for batch in pieces(whole, 4 << 20):
-                out = []
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    data = (text.as_py() or "").encode()
-                    split = data.split()
-                    n = len(split)
-                    h1, h2, waits, none = 0, 0, False, (None, None, None)
-                    which = np.zeros(0, dtype=np.int64)
-                    if doc is not None and n >= size:
-                        words = hashes(split)
-                        h1, h2 = _whole(words, data)
-                        waits = bool(repeated(np.array([h1], dtype=np.int64).view(_U64), map_, bits)[0])
-                        if not waits:
-                            which = np.flatnonzero(repeated(minimisers(words, size), map_, bits))
-                    if waits:
-                        out.append((doc, n, h1, h2, True, data.decode(), None, *none))
-                    elif len(which):
-                        out.append((doc, n, h1, h2, False, data.decode(), None, *_keys(words, which, size), which + _row(h1)))
-                    else:
-                        out.append((doc, n, h1, h2, False, None, _sha(split), *none))
-                yield _table(out)
 
-    return docs.mapInArrow(rows, PASSED)
+def _named(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text", F.when(F.col("doc_id").isNotNull(), filter_place("doc_id")).alias("place"))
 
 
-def first_keys(docs: DataFrame, bitmap, bits: int, size: int = SIZE) -> DataFrame:
-    """Keys of the first documents of classes of equal texts (doc_id, k1, k2, at)."""
+def probe(docs: DataFrame, bitmap, bits: int, size: int = SIZE, only=None) -> DataFrame:
+    """KEYS: the windows estimated repeated of each text that has some. A text that waits has null keys, unless it is one of
+    ``only`` (a filter over ids), which then are the only ones looked at."""
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, map_ = WordHashes(), bitmap.value
-        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64())]
         for whole in batches:
+            if only is not None:
+                whole = whole.filter(pa.array(_inside(whole, only.value)))
             for batch in pieces(whole, 4 << 20):
                 out = []
-                for doc, h1, text in zip(*(c.to_pylist() for c in batch.columns)):
-                    words = hashes(text.encode().split())
+                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    data = (text.as_py() or "").encode()
+                    split = data.split()
+                    if doc is None or len(split) < size:
+                        continue
+                    words = hashes(split)
+                    h1, h2 = _whole(data)
+                    if only is None and repeated(np.array([h1], dtype=np.int64).view(_U64), map_, bits)[0]:
+                        out.append((doc, h1, h2, None, None, None))
+                        continue
                     which = np.flatnonzero(repeated(minimisers(words, size), map_, bits))
-                    out.append((doc, *_keys(words, which, size), which + _row(h1)))
-                columns = list(zip(*out)) if out else [()] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "k1", "k2", "at"])
+                    if len(which):
+                        out.append((doc, h1, h2, *_keys(words, which, size), which + _row(h1)))
+                yield _table(out, KEYS)
 
-    return docs.select("doc_id", "h1", "text").mapInArrow(rows, "doc_id long, k1 array<long>, k2 array<int>, at array<long>")
+    return _named(docs).mapInArrow(rows, KEYS)
 
 
 def _exploded(keys: DataFrame) -> DataFrame:
@@ -231,54 +224,67 @@ def remove_repeats(
 ) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept_text): kept_text is null where nothing was removed."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    context = spark.sparkContext
     bits = bits_for(docs.agg(F.sum(F.length("text"))).head()[0] or 0, max_bits)
-    bitmap = spark.sparkContext.broadcast(collected(sketch(docs, bits, size), bits))
+    bitmap = context.broadcast(collected(sketch(docs, bits, size), bits))
     passed = keep(spark, probe(docs, bitmap, bits, size))
 
-    waiting = passed.where("waits")
+    waiting = passed.where("k1 is null").select("doc_id", "h1", "h2")
     classes = waiting.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"))
-    named = keep(spark, waiting.select("doc_id", "h1", "h2", "n_words", "text").join(classes, ["h1", "h2"]))
-    firsts = named.where("doc_id = first").dropDuplicates(["doc_id", "h1", "h2"])
-    of_firsts = keep(spark, first_keys(firsts, bitmap, bits, size))
-    windows = _exploded(passed.where("k1 is not null")).unionByName(_exploded(of_firsts))
+    named = keep(spark, waiting.join(classes, ["h1", "h2"]))
+    firsts = named.where("doc_id = first").select("doc_id", "h1", "h2").distinct()
+    first_ids = context.broadcast(id_filter(firsts.select(F.col("doc_id").alias("id"))))
+    of_firsts = probe(docs, bitmap, bits, size, first_ids).dropDuplicates(["doc_id", "h1", "h2"]).join(firsts, ["doc_id", "h1", "h2"], "left_semi")
+    windows = _exploded(passed.where("k1 is not null")).unionByName(_exploded(keep(spark, of_firsts)))
 
     least = windows.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    gone = (
-        windows.join(least.drop("last"), ["k1", "k2"])
-        .where("doc_id > first")
-        .groupBy("doc_id")
-        .agg(F.collect_set("at").alias("gone"))
-    )
+    losers = windows.join(least.drop("last"), ["k1", "k2"]).where("doc_id > first").select("doc_id", "at")
+    tag = F.shiftleft(F.col("h1").bitwiseAND(F.lit(0x7FFFFFF)), 36)
+    copies = named.where("doc_id > first").select("doc_id", tag.bitwiseOR(F.lit(_ALL)).alias("at"))
+    gone = keep(spark, losers.unionByName(copies).groupBy("doc_id").agg(F.collect_set("at").alias("gone")))
+    lost = context.broadcast(id_filter(gone.select(F.col("doc_id").alias("id"))))
+
+    def finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            carried = _inside(whole, lost.value)
+            at = 0
+            for batch in pieces(whole, 4 << 20):
+                out = []
+                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    if carried[at]:
+                        out.append((doc, None, None, None, text.as_py() or ""))
+                    else:
+                        split = (text.as_py() or "").encode().split()
+                        out.append((doc, len(split), 0, _sha(split), None))
+                    at += 1
+                yield _table(out, CUT)
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"]
         for whole in batches:
             for batch in pieces(whole, 4 << 20):
                 out = []
-                for doc, h1, text, places in zip(*(c.to_pylist() for c in batch.columns)):
-                    split, tag = text.encode().split(), _row(h1)
+                for row in zip(*(c.to_pylist() for c in batch.columns)):
+                    *done, text, places = row
+                    if text is None:
+                        out.append((*done, None))
+                        continue
+                    data = text.encode()
+                    split = data.split()
+                    tag = _row(_whole(data)[0])
                     at = np.array([p - tag for p in places or () if p >> 36 == tag >> 36], dtype=np.int64)
                     cover = np.zeros(len(split) + 1, dtype=np.int64)
-                    np.add.at(cover, at, 1)
-                    np.add.at(cover, at + size, -1)
-                    lost = np.cumsum(cover[:-1]) > 0
-                    kept = [w for w, x in zip(split, lost) if not x]
-                    joined = b" ".join(kept)
-                    n = int(lost.sum())
-                    out.append((doc, len(split), n, hashlib.sha256(joined).hexdigest(), joined.decode() if n else None))
-                columns = list(zip(*out)) if out else [()] * 5
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
-
-    to_cut = passed.where("k1 is not null").select("doc_id", "h1", "text").unionByName(named.where("doc_id = first").select("doc_id", "h1", "text"))
-    parts = to_cut.join(gone, "doc_id", "left").select("doc_id", "h1", "text", "gone").mapInArrow(
-        cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
-    )
-    whole = passed.where("text is null").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", F.lit(None).cast("string").alias("kept_text"))
-    copies = named.where("doc_id > first").select(
-        "doc_id", "n_words", F.col("n_words").alias("n_removed"), F.sha2(F.lit(""), 256).alias("kept_sha256"), F.lit("").alias("kept_text")
-    )
-    return whole.unionByName(parts).unionByName(copies)
+                    if (at == _ALL).any():
+                        cover[0] = 1
+                    else:
+                        np.add.at(cover, at, 1)
+                        np.add.at(cover, at + size, -1)
+                    kept = [w for w, x in zip(split, np.cumsum(cover[:-1]) > 0) if not x]
+                    n = len(split) - len(kept)
+                    out.append((done[0], len(split), n, _sha(kept), b" ".join(kept).decode() if n else None))
+                yield _table(out, CUT)
+
+    scanned = _named(docs).mapInArrow(finish, CUT)
+    return scanned.join(gone, "doc_id", "left").select(*[x.split()[0] for x in CUT.split(", ")], "gone").mapInArrow(cut, CUT)
 
 
 def digest(cut: DataFrame) -> DataFrame:
