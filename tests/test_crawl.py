@@ -19,7 +19,7 @@ def corpus(spark, pages):
 
 
 SITE = {
-    f"{S}/": '<title>Start</title><nav><a href='/one'>1</a></nav><main><a href='/two'>2</a><a href="/same?utm_source=q">s</a><a href="/moved">m</a><a href="/hidden/x">h</a><a href="http://far.example/x">f</a><a href="/r/k/l/k/l/k/l/k">t</a></main>',
+    f"{S}/": '<title>Start</title><nav><a href=/one>1</a></nav><main><a href=/two>2</a><a href="/same?utm_source=q">s</a><a href="/moved">m</a><a href="/hidden/x">h</a><a href="http://far.example/x">f</a><a href="/r/k/l/k/l/k/l/k">t</a></main>',
     f"{S}/one": '<title>One</title><a href=/two>two</a><a href=/>start</a>',
     f"{S}/two": '<title>Two</title><a href="/one">one</a><a href="/same">same</a>',
     f"{S}/same": "<title>Same</title>",
