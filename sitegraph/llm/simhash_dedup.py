@@ -276,24 +276,29 @@ def verify(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.mapInArrow(rows, "a long, b long")
 
 
-def components(spark: SparkSession, links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(spark: SparkSession, links: DataFrame, rounds: int = 1000) -> DataFrame:
     """(id, label): the least id of each component of the links (a, b).
 
-    Each round takes the least label among neighbours and then the label's own label; every round's table is written to
-    the shared folder. The number of rounds grows with the logarithm of a component's width.
+    Alternating large-star and small-star (Kiveris et al. 2014): O(log^2 n) rounds for n ids, about log n in practice. Every
+    round's table is written to the shared folder; the last one is stars round the least ids. No label is returned before
+    nothing changes: an error if that takes more than ``rounds``.
     """
-    both = keep(spark, links.select("a", "b").union(links.select("b", "a")).distinct())
-    labels = keep(spark, both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
+    edges = keep(spark, links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    before = None
     for _ in range(rounds):
-        seen = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        lower = labels.join(seen, labels.id == seen.a).select("id", F.least("label", "near").alias("low"), F.col("label").alias("old"))
-        jump = labels.select(F.col("id").alias("low"), F.col("label").alias("far"))
-        new = keep(spark, lower.join(jump, "low").select("id", F.least("low", "far").alias("label"), "old"))
-        same = new.where("label <> old").isEmpty()
-        labels = new.select("id", "label")
-        if same:
-            break
-    return labels
+        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if now == before:
+            stars = edges.select(F.col("a").alias("id"), F.col("b").alias("label"))
+            return stars.union(edges.select("b", "b").distinct())
+        before = now
+        both = edges.union(edges.select("b", "a"))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = keep(spark, large)
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        edges = keep(spark, small.union(least.select("a", F.col("m").alias("b"))).distinct())
+    raise RuntimeError(f"components have not settled in {rounds} rounds")
 
 
 def classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:

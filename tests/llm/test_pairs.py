@@ -80,6 +80,18 @@ def test_forest_reaches_its_recall(spark):
     assert all(wanted[d] == wanted[c] for d, c in got.items())  # and never joins what isn't linked
 
 
+def test_components_of_a_long_chain(spark):
+    """1500 documents, each linked to the next alone, ids in random order: one component, as settled labels have it."""
+    import numpy as np
+
+    ids = np.random.default_rng(3).permutation(1500).tolist()
+    links = [*zip(ids, ids[1:]), (2001, 2000), (2001, 2002), (3000, 3000)]
+    got = {r["id"]: r["label"] for r in simhash_dedup.components(spark, spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys(range(1500), 0), **dict.fromkeys((2000, 2001, 2002), 2000)}
+    with pytest.raises(RuntimeError):
+        simhash_dedup.components(spark, spark.createDataFrame(links, "a long, b long"), rounds=2)
+
+
 def test_classes_on_odd_rows(spark, odd):
     found = queries()["op7_simhash_dedup"](spark, odd).collect()
     assert len(found) == len(texts(spark, odd))
