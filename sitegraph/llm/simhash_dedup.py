@@ -16,6 +16,8 @@ components of links, named by their least doc_id.
    leaf (clusters: single linkage by the sketches), so a leaf never emits the square of a group.
 4. Verification is exact, on whole shingle sets: first each document with its likeliest partner of smaller id, then -
    after merging - all candidates that still join different classes.
+5. The three places only set the order: members of a leaf that still have a likely partner of another class are compared
+   with one another in whole, by exact counts of shared shingles, so no link within a leaf is left out.
 
 Edge cases: null, empty and blank texts have no shingles and stay alone. Texts of one to four words have one shingle, their
 whole word sequence. Rows with a null doc_id have a null class. Of several
@@ -119,7 +121,8 @@ def sign(docs: DataFrame, trees: int, depth: int) -> DataFrame:
 
 def leaves(firsts: DataFrame, dense: int, hard: int, depth: int) -> DataFrame:
     """(tree, climb, prefix, salt, doc_id, fp, sketch): where each document stands in each trie."""
-    rows = firsts.select("doc_id", "fp", "sketch", F.posexplode("prefixes").alias("tree", "prefix"))
+    carried = [c for c in ("doc_id", "fp", "sketch", "class") if c in firsts.columns]
+    rows = firsts.select(*carried, F.posexplode("prefixes").alias("tree", "prefix"))
     sizes = rows.groupBy("tree", "prefix").agg(F.count("*").alias("n"))
     climb = F.lit(0)
     for k in range(1, min(depth, 6) + 1):
@@ -134,7 +137,7 @@ def leaves(firsts: DataFrame, dense: int, hard: int, depth: int) -> DataFrame:
     own = F.array(F.pmod(F.xxhash64("doc_id"), F.col("parts")))
     leads = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.greatest(F.floor(F.col("n") / 64), F.lit(1))) == 0
     salts = F.when((F.col("parts") > 1) & leads, F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(own)
-    return placed.select("tree", "climb", F.expr("shiftright(prefix, climb)").alias("node"), F.explode(salts).alias("salt"), "doc_id", "fp", "sketch")
+    return placed.select("tree", "climb", F.expr("shiftright(prefix, climb)").alias("node"), F.explode(salts).alias("salt"), *carried)
 
 
 def _clusters(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -276,6 +279,104 @@ def verify(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.mapInArrow(rows, "a long, b long")
 
 
+def _runs(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, pa.Table]]:
+    """The rows of each key (the first columns) of batches sorted by key, a run at a time."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        by = np.stack([batch.column(k).to_numpy() for k in range(keys)], axis=1)
+        cuts = np.flatnonzero((by[1:] != by[:-1]).any(axis=1)) + 1
+        for x, y in zip([0, *cuts], [*cuts, len(by)]):
+            key = tuple(by[x].tolist())
+            if key != now:
+                if held:
+                    yield now, pa.Table.from_batches(held)
+                held, now = [], key
+            held.append(batch.slice(x, y - x))
+    if held:
+        yield now, pa.Table.from_batches(held)
+
+
+def open_members(fp: np.ndarray, marks: np.ndarray, label: np.ndarray, radius: int, low: float) -> np.ndarray:
+    """Which members of a leaf have a likely partner of another class in it."""
+    n = len(fp)
+    live = np.zeros(n, dtype=bool)
+    if (label == label[0]).all():
+        return live
+    step = max(1, (1 << 21) // n)
+    for at in range(1, n, step):
+        stop = min(n, at + step)
+        near = (np.bitwise_count(fp[at:stop, None] ^ fp[None, :stop]) <= radius) & (label[at:stop, None] != label[None, :stop])
+        near &= ~(live[at:stop, None] & live[None, :stop])
+        i, j = np.nonzero(near)
+        i += at
+        i, j = i[j < i], j[j < i]
+        for k in range(0, len(i), 1 << 17):
+            x, y = marks[i[k : k + (1 << 17)]], marks[j[k : k + (1 << 17)]]
+            ok = ((x == y) & (x > 0)).sum(axis=1) >= low * np.maximum(((x > 0) | (y > 0)).sum(axis=1), 1)
+            live[i[k : k + (1 << 17)][ok]] = live[j[k : k + (1 << 17)][ok]] = True
+    return live
+
+
+def leaf_links(ids: np.ndarray, label: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links (larger id, smaller id) that join all classes of a leaf that are linked in it: all pairs are counted exactly."""
+    n, label = len(ids), label.copy()
+    sizes = np.array([len(x) for x in sets])
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    _, term, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    post = np.repeat(np.arange(n), sizes)[np.argsort(term, kind="stable")]
+    begin = np.cumsum(many) - many
+    found = []
+    for i in range(n):
+        own = term[at[i] : at[i + 1]]
+        own = own[many[own] > 1]
+        both = np.zeros(n, dtype=np.int64)
+        part = np.cumsum(many[own]) >> 22
+        for own in np.split(own, np.flatnonzero(part[1:] != part[:-1]) + 1):
+            size = many[own]
+            where = np.repeat(begin[own] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            both += np.bincount(post[where], minlength=n)
+        alike = (both >= similarity * (sizes[i] + sizes - both)) & (label != label[i])
+        for j in np.flatnonzero(alike).tolist():
+            if label[j] != label[i] and ids[i] != ids[j]:
+                found.append((int(max(ids[i], ids[j])), int(min(ids[i], ids[j]))))
+                label[label == label[j]] = label[i]
+    return found
+
+
+def unsettled(placed: DataFrame, radius: int = 22, low: float = 0.55) -> DataFrame:
+    """(tree, climb, node, salt, id, class): the open members of each leaf."""
+    by = ["tree", "climb", "node", "salt"]
+
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, leaf in _runs(batches, 4):
+            label = leaf["class"].to_numpy()
+            marks = np.frombuffer(b"".join(leaf["sketch"].to_pylist()), dtype=np.uint8).reshape(-1, BINS)
+            live = open_members(leaf["fp"].to_numpy().view(_U64), marks, label, radius, low)
+            ids = leaf["doc_id"].to_numpy()[live]
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(ids), k)) for k in key), pa.array(ids), pa.array(label[live])], names=[*by, "id", "class"])
+
+    dealt = placed.select(*[F.col(k).cast("long").alias(k) for k in by], "doc_id", "fp", "sketch", "class")
+    return dealt.repartition(*by).sortWithinPartitions(*by).mapInArrow(rows, ", ".join(f"{k} long" for k in [*by, "id", "class"]))
+
+
+def settle(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): the links among the open members of each leaf that join different classes; no cap."""
+    by = ["tree", "climb", "node", "salt"]
+
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, leaf in _runs(batches, 4):
+            items = [np.frombuffer(x.as_py(), dtype="<u4") for x in leaf["items"]]
+            found = leaf_links(leaf["id"].to_numpy(), leaf["class"].to_numpy(), items, similarity)
+            a, b = zip(*found) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    dealt = members.join(sets, "id").select(*by, "id", "class", "items").repartition(*by).sortWithinPartitions(*by)
+    return dealt.mapInArrow(rows, "a long, b long").distinct()
+
+
 def components(spark: SparkSession, links: DataFrame, rounds: int = 1000) -> DataFrame:
     """(id, label): the least id of each component of the links (a, b).
 
@@ -333,7 +434,24 @@ def _classes(spark: SparkSession, docs: DataFrame, similarity: float = 0.8, reca
     upper = components(spark, joined).select(F.col("id").alias("label"), F.col("label").alias("top"))
     others = more.select(F.col("a").alias("id")).union(more.select("b")).distinct().join(labels, "id", "left_anti")
     final = labels.unionByName(others.withColumn("label", F.col("id")))
-    final = final.join(upper, "label", "left").select(F.col("id").alias("first"), F.coalesce("top", "label").alias("class"))
+    final = keep(spark, final.join(upper, "label", "left").select(F.col("id").alias("first"), F.coalesce("top", "label").alias("class")))
+
+    # What the cap on partners left out: members with a likely partner of another class meet again, all pairs of a leaf.
+    classed = firsts.join(final.select(F.col("first").alias("doc_id"), "class"), "doc_id", "left").withColumn("class", F.coalesce("class", "doc_id"))
+    members = keep(spark, unsettled(leaves(keep(spark, classed), dense, hard, depth)))
+    lacking = members.select("id").distinct().join(sets, "id", "left_anti")
+    if not lacking.isEmpty():
+        lacking = keep(spark, lacking)
+        more = sets_of(docs, lacking).join(lacking, "id", "left_semi").groupBy("id").agg(F.min("items").alias("items"))
+        sets = sets.unionByName(keep(spark, more))
+    late = keep(spark, settle(members, sets, similarity))
+    if not late.isEmpty():
+        def top(column: str):
+            return classed.select(F.col("doc_id").alias(column), F.col("class").alias(f"class_{column}"))
+
+        joined = late.join(top("a"), "a").join(top("b"), "b").select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
+        upper = components(spark, joined).select(F.col("id").alias("class"), F.col("label").alias("top"))
+        final = classed.select(F.col("doc_id").alias("first"), "class").join(upper, "class", "left").select("first", F.coalesce("top", "class").alias("class"))
 
     every = signed.join(named, ["h1", "h2"], "left").withColumn("first", F.when(F.col("prefixes").isNull(), F.col("doc_id")).otherwise(F.col("first")))
     return every.join(final, "first", "left").select("doc_id", "row", F.coalesce("class", "first").alias("class_id"))

@@ -80,6 +80,37 @@ def test_forest_reaches_its_recall(spark):
     assert all(wanted[d] == wanted[c] for d, c in got.items())  # and never joins what isn't linked
 
 
+def templated(n, pairs, seed=5):
+    """Texts of one template (similarity just under the bound), and pairs of them over it, linked to nothing else."""
+    import random
+
+    dice = random.Random(seed)
+    base = [f"t{i}" for i in range(400)]
+
+    def edited(words, places, tag):
+        out = list(words)
+        for p in places:
+            out[p] = f"{tag}v{p}"
+        return out
+
+    docs = []
+    for i in range(n):
+        docs.append(edited(base, dice.sample(range(5, 390, 7), 7), f"d{i}"))
+    for k in range(pairs):
+        docs.append(edited(docs[k], dice.sample(range(8, 390, 7), 7), f"e{k}"))
+    dice.shuffle(docs)
+    return [(i, " ".join(w)) for i, w in enumerate(docs)]
+
+
+def test_template_texts_keep_their_links(spark):
+    """The three likeliest partners of most documents here fail verification; the true one must be found behind them."""
+    rows = templated(250, 80)
+    wanted, links = brute_classes(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in simhash_dedup.classes(spark, docs).collect()}
+    assert got == wanted and len(links) == 80
+
+
 def test_components_of_a_long_chain(spark):
     """1500 documents, each linked to the next alone, ids in random order: one component, as settled labels have it."""
     import numpy as np
