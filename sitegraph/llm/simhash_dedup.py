@@ -10,14 +10,15 @@ components of links, named by their least doc_id.
    prefix in some trie with probability ``recall``. Each trie node's size is counted, and a leaf climbs to shorter
    prefixes while the shorter node still holds no more than ``dense`` documents: sparse regions are searched wider.
    Nodes of more than ``hard`` documents (large groups of copies share every prefix) are dealt over several tasks,
-   each with the same sixty-odd leaders, so one task's share is bounded and members meet through leaders.
+   each with sixty-odd leaders, so one task's share is bounded and copies meet through leaders (others by step 5).
 3. In a leaf all fingerprints are compared; pairs within Hamming radius whose sketches agree well enough are candidates.
    Members of a group need not all be paired: a document keeps its three likeliest partners in each cluster of its
    leaf (clusters: single linkage by the sketches), so a leaf never emits the square of a group.
 4. Verification is exact, on whole shingle sets: first each document with its likeliest partner of smaller id, then -
    after merging - all candidates that still join different classes.
 5. The three places only set the order: members of a leaf that still have a likely partner of another class are compared
-   with one another in whole, by exact counts of shared shingles, so no link within a leaf is left out.
+   with one another in whole, by exact counts of shared shingles, so no link within a leaf is left out. For this, nodes of
+   more than ``dense`` documents are dealt as block pairs, in which every two members of different classes meet.
 
 Edge cases: null, empty and blank texts have no shingles and stay alone. Texts of one to four words have one shingle, their
 whole word sequence. Rows with a null doc_id have a null class. Of several
@@ -134,12 +135,33 @@ def leaves(firsts: DataFrame, dense: int, hard: int, depth: int) -> DataFrame:
     # About trees * rows / dense nodes: broadcast while they are known to be few, else joined by a shuffle.
     placed = rows.join(F.broadcast(nodes) if nodes.count() <= 500_000 else nodes, ["tree", "prefix"])
     # A node in several parts: each member goes to one part, leaders (about 64 of the node) to all.
-    own = F.array(F.pmod(F.xxhash64("doc_id"), F.col("parts")))
-    leads = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.greatest(F.floor(F.col("n") / 64), F.lit(1))) == 0
+    own = F.array(F.pmod(F.xxhash64("doc_id", "tree"), F.col("parts")))
+    leads = F.pmod(F.xxhash64("doc_id", "tree", F.lit(7)), F.greatest(F.floor(F.col("n") / 64), F.lit(1))) == 0
     salts = F.when((F.col("parts") > 1) & leads, F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(own)
     return placed.select("tree", "climb", F.expr("shiftright(prefix, climb)").alias("node"), F.explode(salts).alias("salt"), *carried)
 
 
+def meetings(firsts: DataFrame, dense: int, depth: int) -> DataFrame:
+    """As ``leaves``, with classes: nodes of more than ``dense`` rows are dealt as blocks of two parts each, so that every two
+    members of different classes share a block. Members of a node's largest class don't meet one another, only the others:
+    a large group of copies is read once for each ``dense`` others in its node, a node of one class not at all.
+    """
+    placed = leaves(firsts, dense, 1 << 62, depth).withColumn("key", F.struct("tree", "climb", "node"))
+    counts = placed.groupBy("key", "class").agg(F.count("*").alias("n"))
+    sizes = counts.groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("n_top"), F.max_by("class", F.struct("n", "class")).alias("top"))
+    mixed = keep(firsts.sparkSession, sizes.where("n > n_top"))
+    placed = placed.drop("salt").join(mixed, "key")
+    tops, others = F.ceil(F.col("n_top") / dense), F.ceil((F.col("n") - F.col("n_top")) / dense)
+    in_top, spread = F.col("class") == F.col("top"), F.xxhash64("doc_id", "tree")
+    q, none = F.pmod(spread, others), F.array().cast("array<bigint>")
+    with_others = F.transform(F.sequence(F.lit(0).cast("long"), others - 1), lambda k: F.pmod(spread, tops) * others + k)
+    with_tops = F.transform(F.sequence(F.lit(0).cast("long"), tops - 1), lambda k: k * others + q)
+    apart = F.filter(F.sequence(F.lit(0).cast("long"), others - 1), lambda k: k != q)
+    among = F.transform(apart, lambda k: -1 - (F.least(k, q) * others + F.greatest(k, q)))
+    blocks = F.when(F.col("n") <= dense, F.array(F.lit(0).cast("long"))).when(in_top, with_others).otherwise(F.concat(with_tops, F.when(others > 1, among).otherwise(none)))
+    return placed.select("tree", "climb", "node", F.explode(blocks).alias("salt"), "doc_id", "fp", "sketch", "class")
+
+
 def _clusters(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     label = np.arange(n)
     while True:
@@ -438,7 +460,7 @@ def _classes(spark: SparkSession, docs: DataFrame, similarity: float = 0.8, reca
 
     # What the cap on partners left out: members with a likely partner of another class meet again, all pairs of a leaf.
     classed = firsts.join(final.select(F.col("first").alias("doc_id"), "class"), "doc_id", "left").withColumn("class", F.coalesce("class", "doc_id"))
-    members = keep(spark, unsettled(leaves(keep(spark, classed), dense, hard, depth)))
+    members = keep(spark, unsettled(meetings(keep(spark, classed), dense, depth)))
     lacking = members.select("id").distinct().join(sets, "id", "left_anti")
     if not lacking.isEmpty():
         lacking = keep(spark, lacking)

@@ -111,6 +111,28 @@ def test_template_texts_keep_their_links(spark):
     assert got == wanted and len(links) == 80
 
 
+def test_members_of_parted_nodes_meet(spark):
+    """All texts under one prefix: in a node of many parts every two members of different classes share a block."""
+    from pyspark.sql import functions as F
+
+    rows = templated(150, 60)
+    wanted, _ = brute_classes(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    signed = simhash_dedup.sign(docs, 1, 1).withColumn("prefixes", F.array(F.lit(0)))
+    classed = signed.withColumn("class", F.when(F.col("doc_id") < 90, F.lit(0)).otherwise(F.col("doc_id")))
+    met = {}
+    for r in simhash_dedup.meetings(classed, 20, 1).collect():
+        met.setdefault((r["tree"], r["climb"], r["node"], r["salt"]), []).append(r["doc_id"])
+    pairs = {(a, b) for own in met.values() for a in own for b in own if a > b}
+    assert {(a, b) for a in range(len(rows)) for b in range(a) if a >= 90} <= pairs
+    assert max(map(len, met.values())) < 100
+    sets = simhash_dedup.sets_of(docs, docs.select(docs.doc_id.alias("id")))
+    alone = signed.withColumn("class", F.col("doc_id"))
+    links = simhash_dedup.settle(simhash_dedup.unsettled(simhash_dedup.meetings(alone, 20, 1)), sets, 0.8)
+    labels = {r["id"]: r["label"] for r in simhash_dedup.components(spark, links).collect()}
+    assert {d: labels.get(d, d) for d, _ in rows} == wanted
+
+
 def test_components_of_a_long_chain(spark):
     """1500 documents, each linked to the next alone, ids in random order: one component, as settled labels have it."""
     import numpy as np
