@@ -9,6 +9,8 @@ the weighted Jaccard similarity of the two shingle multisets (weights: occurrenc
 A window of that similarity has a shingle of the item, so only windows that hold one are fingerprinted at all (a bitmap over
 the benchmark's shingles finds them; nothing is lost by it).
 
+A document shorter than an item is one window as a whole, whatever its fingerprint: its shingles are compared with the item's.
+
 Words are lower-cased and stripped of marks at their ends; words of marks alone don't count. The benchmark is the stated
 query set: it is read in blocks of at most ``block_words`` words, each broadcast (so with a fixed bound) and searched in all
 documents.
@@ -139,6 +141,7 @@ class Index:
         for n, places in near.items():
             m = n - SHINGLE + 1
             if len(own) < m:
+                found += self._whole(own, n)
                 continue
             live = np.zeros(len(own) + 1, dtype=np.int32)
             for p in places:
@@ -148,6 +151,20 @@ class Index:
             found += self._compare(own, starts, n, m)
         return sorted(found, key=lambda f: (f[0] is None, f[0] or 0, f[1]))
 
+    def _whole(self, own: np.ndarray, n: int) -> list[tuple]:
+        """A text shorter than the items of n words is one window as a whole; all such items are compared with it."""
+        m, out, bag, fp = n - SHINGLE + 1, [], None, None
+        if len(own) < self.similarity * m:
+            return out
+        for k in self.sizes[n]:
+            bag = bag or Counter(own.tolist())
+            both = sum((bag & self.bags[k]).values())
+            alike = both / (len(own) + m - both)
+            if alike >= self.similarity:
+                fp = simhash(signs(own).sum(axis=0, keepdims=True))[0] if fp is None else fp
+                out.append((self.ids[k], 0, len(own) + SHINGLE - 1, int(np.bitwise_count(fp ^ self.fps[k])), alike))
+        return out
+
     def _compare(self, own: np.ndarray, starts: np.ndarray, n: int, m: int) -> list[tuple]:
         best: dict[int, tuple] = {}
         for a in range(0, len(starts), 4096):

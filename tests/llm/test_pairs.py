@@ -218,6 +218,24 @@ def test_leaks_equal_brute_force(spark):
     assert {r["doc_id"] for r in clean.collect()} == {d for d, _ in [*docs, *edited]} - {d for d, *_ in wanted}
 
 
+def test_documents_shorter_than_the_item(spark):
+    """Brute force with the whole document as the one window: an item without its last words is a leak, half of it isn't."""
+    item = [f"w{i}" for i in range(40)]
+    docs = [(n, " ".join(item[:n])) for n in (4, 5, 20, 32, 33, 34, 39, 40)] + [(100, " ".join([*item[:19], "other", *item[20:39]]))]
+    wanted = {(d, 7, 0, n, round(a, 6)) for d, t in docs for n, a in [brute_whole(t.split(), item)] if a >= 0.8}
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    got = decontaminate.digest(decontaminate.leaks(frame, bench)).collect()
+    assert {(r["doc_id"], r["item_id"], r["start_word"], r["n_words"], r["similarity"]) for r in got} == wanted
+    assert {d for d, *_ in wanted} == {33, 34, 39, 40}
+    assert {r["doc_id"] for r in decontaminate.keep_clean(frame, bench).collect()} == {4, 5, 20, 32, 100}
+
+
+def brute_whole(words, item):
+    own, bag = (Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for w in (words, item))
+    return len(words), (own & bag).total() / (own | bag).total()
+
+
 def test_blocks_guarantee_the_radius():
     """Any fingerprint within the radius passes some block table."""
     import numpy as np
