@@ -61,8 +61,10 @@ ENDS = {
 }
 TABLE_PARTS = frozenset("caption colgroup col tbody thead tfoot tr td th script style template form input".split())
 
-_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
-_ATTR = re.compile(r"([^\s=/\"'>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?")
+# A quote opens a value only right after the equals sign; elsewhere it's part of a name or of an unquoted value.
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+|(?=>))|(?!\s*+=)))*+)>")
+_ATTR = re.compile(r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>\"'][^\s>]*+))?)?")
+_COMMENT = re.compile(r"<!--(?:-?>|(?s:.*?)--!?>)")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _RULE = re.compile(r"([^{}]++)\{([^{}]*+)\}")
 _GONE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
@@ -89,11 +91,11 @@ def tokens(html: str) -> Iterator[tuple[str, str, str]]:
             yield "text", html[at:lt], ""
         after = html[lt + 1 : lt + 2]
         if after == "!" or after == "?" or html.startswith("</", lt) and not html[lt + 2 : lt + 3].isalpha():
-            mark = "-->" if html.startswith("<!--", lt) else ">"
-            end = html.find(mark, lt + (4 if mark == "-->" else 2))
-            if end < 0:
-                return
-            at = end + len(mark)
+            if html.startswith("<!--", lt):
+                m = _COMMENT.match(html, lt)
+                at = m.end() if m else size
+            else:
+                at = html.find(">", lt + 2) + 1 or size
             continue
         if not (after.isascii() and after.isalpha() or after == "/"):
             yield "text", "<", ""
@@ -147,7 +149,7 @@ def build(html: str) -> tuple[Node, list[str]]:
 
     def place(item) -> None:
         top = stack[-1]
-        if top.tag in ("table", "tbody", "thead", "tfoot", "tr") and not (isinstance(item, Node) and item.tag in TABLE_PARTS):
+        if top.tag in ("table", "tbody", "thead", "tfoot", "tr") and not (isinstance(item, Node) and item.tag in TABLE_PARTS and (item.tag != "input" or item.attrs.get("type", "").lower() == "hidden")):
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == "table":
                     up = stack[i - 1].children
@@ -198,6 +200,8 @@ def build(html: str) -> tuple[Node, list[str]]:
                     stack.append(node)
                 continue
             place(node)
+            if name == "form" and stack[-1].tag in ("table", *SECTION, "tr"):  # closed at once: cells stay the row's
+                continue
             if name not in VOID and (len(stack) < MAX_DEPTH or name in RAW) and not (rest.endswith("/") and name in ("path", "circle", "rect", "use", "g", "line")):
                 stack.append(node)
         elif name == "br":

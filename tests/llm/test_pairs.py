@@ -312,6 +312,25 @@ def test_rendering(html, text):
     assert html_render.render(html)[0] == text
 
 
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<p title=it's>one<p>two", "one\n\ntwo"),
+        ("<p title=it's>one<p>it's two", "one\n\nit's two"),
+        ("<div class=\"a\"\">one</div><div>two</div>", "one\ntwo"),
+        ("<p x\"hidden>one", "one"),
+        ("<p a= >one<p b = 'x>y' hidden>no<p>two", "one\n\ntwo"),
+        ("<!-->one<!--->two<!--x--!>three<!-- > -->", "onetwothree"),
+        ("<table><tr><form><td>a<td>b</form></tr></table>", "a  b"),
+        ("<table><form>stray<tr><td>a<td><input type=submit value=Go></form></table>", "stray\n\na  Go"),
+        ("<table><tr><input type=submit value=Go><td>a</table>", "Go\n\na"),
+        ("<form><table><tr><td>a</table>b</form>", "a\n\nb"),
+    ],
+)
+def test_rendering_of_stray_marks(html, text):
+    assert html_render.render(html)[0] == text
+
+
 def test_rendering_keeps_all_words_and_is_linear():
     import time
 
