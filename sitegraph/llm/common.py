@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _U64 = np.uint64
 #: Bytes that separate words: tab, line feed, vertical tab, form feed, carriage return, space.
@@ -62,6 +63,21 @@ def map_arrow(df: DataFrame, rows: Callable[[Iterable[pa.RecordBatch]], Iterator
     return df.mapInArrow(rows, schema)
 
 
+def counted_join(left: DataFrame, right: DataFrame, on: list[str], n: str, total: int | None = None, how: str = "inner") -> DataFrame:
+    """left joined with right, whose keys are unique and whose column n counts the rows of left with that key.
+
+    Keys of more rows than a ten-thousandth of all (and than 1000) are hot; they number fewer than 10,000, so they are joined by
+    broadcast, where no task gets all rows of one. The others meet by a shuffle. right should be a written table; total is
+    the sum of n, or a bound that is not much larger (reckoned if not given). n is dropped.
+    """
+    if total is None:
+        total = right.agg(F.sum(n)).first()[0] or 0
+    limit = max(1000, total // 10_000)
+    hot = F.broadcast(right.where(F.col(n) > limit))
+    rest = left.join(hot.select(on), on, "left_anti").join(right.where(F.col(n) <= limit), on, how)
+    return left.join(hot, on).unionByName(rest).drop(n)
+
+
 def pieces(batch: pa.RecordBatch, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """A batch cut so that each part holds about ``most_bytes`` (at least one row, however long)."""
     rows = max(1, int(batch.num_rows * most_bytes / max(batch.nbytes, 1)))

@@ -3,43 +3,50 @@
 Links join documents whose sets of five-word shingles have a Jaccard similarity of at least 0.8; classes are the
 components of links, named by their least doc_id.
 
-1. One scan gives each document a 128-bit name of its word sequence (equal sequences are one class at once; only the
-   first of them goes on), a 64-bit SimHash of its shingles and a 64-byte one-permutation min-hash sketch.
+1. One scan gives each row a 128-bit name of its word sequence, a 64-bit SimHash of its shingles and a 64-byte
+   one-permutation min-hash sketch. Rows of one name are one text: names are aggregated (combined on the map side), and
+   only distinct texts, each with a number of its own, go on.
 2. The forest has ``trees`` tries; each orders the fingerprint's bits by a random permutation of its own. ``plan`` sets the
-   deepest prefix and the number of tries from the number of documents, so that pairs at the similarity bound share a
-   prefix in some trie with probability ``recall``. Each trie node's size is counted, and a leaf climbs to shorter
-   prefixes while the shorter node still holds no more than ``dense`` documents: sparse regions are searched wider.
-   Nodes of more than ``hard`` documents (large groups of copies share every prefix) are dealt over several tasks,
-   each with sixty-odd leaders, so one task's share is bounded and copies meet through leaders (others by step 5).
-3. In a leaf all fingerprints are compared; pairs within Hamming radius whose sketches agree well enough are candidates.
-   Members of a group need not all be paired: a document keeps its three likeliest partners in each cluster of its
-   leaf (clusters: single linkage by the sketches), so a leaf never emits the square of a group.
-4. Verification is exact, on whole shingle sets: first each document with its likeliest partner of smaller id, then -
-   after merging - all candidates that still join different classes.
-5. The three places only set the order: members of a leaf that still have a likely partner of another class are compared
-   with one another in whole, by exact counts of shared shingles, so no link within a leaf is left out. For this, nodes of
-   more than ``dense`` documents are dealt as block pairs, in which every two members of different classes meet.
+   deepest prefix from the number of documents, and then as many tries as give pairs at the similarity bound a common
+   prefix of that depth in some trie with probability ``recall``. Shorter prefixes only raise it, so a leaf climbs while the
+   shorter node still holds no more than ``dense`` texts: sparse regions are searched wider, and no leaf ends deeper than
+   the target allows.
+3. First pass, over the first ``first_tries`` tries: every text is verified against its likeliest partner in its leaf (large
+   nodes are dealt into parts at random, in other ways in each trie). It only saves work: it folds groups of near copies
+   into classes, at a cost in proportion to the rows.
+4. Second pass, over all tries: every two texts of a leaf that are in different classes are compared (fingerprints within the
+   Hamming radius, then sketches). Nodes of more than ``dense`` texts are dealt as block pairs in which every two members of
+   different classes meet; members of a node's largest class needn't meet one another. Pairs that remain are verified on
+   whole shingle sets, all of them. A leaf with more than ``per_member`` such pairs a member hands on its open members
+   instead, and all their pairs are counted exactly in one task. There is no cap on partners, rounds or group sizes.
+
+Shingle sets are compared as sets of 32-bit hashes. What a task holds is bounded by ``dense`` rows of sketches, or by two
+chunks of shingle sets of about four million entries (or two single documents, if longer).
 
 Edge cases: null, empty and blank texts have no shingles and stay alone. Texts of one to four words have one shingle, their
-whole word sequence. Rows with a null doc_id have a null class. Of several
-texts under one doc_id, equal texts are found for each, and the one of least name is compared for near ones. An empty table gives an empty result. Ties are broken by the smaller doc_id. Only the two named columns are read.
+whole word sequence. Rows with a null doc_id have a null class. Several texts under one doc_id are compared each on its own
+and each row has the class of its own text. An empty table gives an empty result. Ties are broken by hashes of the pair.
+Only the two named columns are read.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sitegraph.llm.common import WordHashes, keep, mix, pieces, window_hashes
+from sitegraph.llm.common import WordHashes, counted_join, keep, mix, pieces, window_hashes
 
 SHINGLE = 5
-BINS = 64
-SIGNED = "doc_id long, row long, h1 long, h2 long, fp long, sketch binary, prefixes array<int>"
+BINS = 128
+MARKS = [f"s{k}" for k in range(8)]  # the sketch: 128 half bytes
+SIGNED = f"doc_id long, row long, h1 long, h2 long, fp long, {', '.join(m + ' long' for m in MARKS)}"
+LEAF = ["tree", "climb", "leaf", "salt"]
 _U64 = np.uint64
 _BLOOM = 27  # log2 of the bits of the filter over candidate ids
 
@@ -60,13 +67,28 @@ def fingerprint(items: np.ndarray) -> int:
     return int(np.packbits(2 * total > len(items), bitorder="little").view("<u8")[0])
 
 
-def sketch(items: np.ndarray) -> bytes:
-    """One-permutation min-hash: for each of 64 ranges of mixed hashes, a byte of its least member (0: none)."""
+def sketch(items: np.ndarray) -> np.ndarray:
+    """One-permutation min-hash: for each of 128 ranges of mixed hashes, four bits of its least member (0: none)."""
     out = np.zeros(BINS, dtype=np.uint8)
     mixed = np.sort(mix(items ^ _U64(0x5851F42D4C957F2D)))
-    bins, at = np.unique((mixed >> _U64(58)).astype(np.int64), return_index=True)
-    out[bins] = 1 + (mix(mixed[at]) % _U64(255)).astype(np.uint8)
-    return out.tobytes()
+    bins, at = np.unique((mixed >> _U64(57)).astype(np.int64), return_index=True)
+    out[bins] = 1 + (mix(mixed[at]) % _U64(15)).astype(np.uint8)
+    return (out[::2] | out[1::2] << 4).view("<i8")
+
+
+def marks_of(columns: list[np.ndarray]) -> np.ndarray:
+    """The sketches' 128 marks, a row a text, from the eight packed columns."""
+    packed = np.ascontiguousarray(np.stack(columns, axis=1)).view(np.uint8)
+    out = np.empty((len(packed), BINS), dtype=np.uint8)
+    out[:, ::2], out[:, 1::2] = packed & 15, packed >> 4
+    return out
+
+
+def estimate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Similarity of sketches, row by row: agreeing ranges, less those that agree by chance (one in 15)."""
+    both = ((x == y) & (x > 0)).sum(axis=1)
+    used = np.maximum(((x | y) > 0).sum(axis=1), 1)
+    return (both / used - 1 / 15) * (15 / 14)
 
 
 def agreement(similarity: float) -> float:
@@ -76,7 +98,7 @@ def agreement(similarity: float) -> float:
 
 def plan(rows: int, dense: int = 2048, similarity: float = 0.8, recall: float = 0.99) -> tuple[int, int]:
     """(deepest prefix, number of tries): prefixes deep enough for nodes of ``dense`` rows, tries enough for the recall."""
-    depth = max(0, math.ceil(math.log2(max(rows, 1) / dense)))
+    depth = min(30, max(0, math.ceil(math.log2(max(rows, 1) / dense))))
     if depth == 0:
         return 0, 1
     return depth, math.ceil(math.log(1 - recall) / math.log(1 - agreement(similarity) ** depth))
@@ -87,165 +109,215 @@ def _orders(trees: int, depth: int) -> np.ndarray:
     return np.stack([dice.permutation(64)[:depth] for _ in range(trees)]) if depth else np.zeros((trees, 0), dtype=np.int64)
 
 
-def sign(docs: DataFrame, trees: int, depth: int) -> DataFrame:
-    """SIGNED: name, fingerprint, sketch and prefixes of each text; prefixes are null where there is no word."""
-    orders = _orders(trees, depth)
+def name_of(split: list[bytes]) -> tuple[int, int]:
+    """A 128-bit name of a word sequence, as two signed numbers."""
+    import xxhash
 
-    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+    a, b = np.frombuffer(xxhash.xxh3_128_digest(b" ".join(split)), dtype="<i8")
+    return int(a), int(b)
+
+
+def sign(docs: DataFrame) -> DataFrame:
+    """SIGNED: name, fingerprint and sketch of each text; the fingerprint is null where there is no word or no doc_id."""
+    names = [x.split()[0] for x in SIGNED.split(", ")]
 
-        hashes, weight = WordHashes(), 1 << np.arange(depth)[::-1]
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, none = WordHashes(), np.zeros(8, dtype=np.int64)
         for whole in batches:
             for batch in pieces(whole):
-                names, fps, sketches, live = [], [], [], []
+                named, fps, marks = [], [], []
                 for doc, text in zip(batch.column(0), batch.column(1)):
                     split = (text.as_py() or "").encode().split()
-                    live.append(doc.is_valid and bool(split))
-                    names.append(np.frombuffer(xxhash.xxh3_128_digest(b" ".join(split)), dtype="<i8"))
-                    items = shingles(hashes(split)) if live[-1] else np.zeros(0, dtype=_U64)
-                    fps.append(fingerprint(items) if live[-1] else 0)
-                    sketches.append(sketch(items) if live[-1] else b"")
-                fp = np.array(fps, dtype=_U64)
-                bits = np.unpackbits(fp.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                found = np.stack([bits[:, o].astype(np.int64) @ weight for o in orders], axis=1).astype(np.int32)
-                name = np.stack(names) if names else np.zeros((0, 2), dtype=np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0), batch.column(2), pa.array(name[:, 0]), pa.array(name[:, 1]), pa.array(fp.view(np.int64)), pa.array(sketches, pa.binary()),
-                        pa.array([p if x else None for p, x in zip(found, live)], pa.list_(pa.int32())),
-                    ],
-                    names=[x.split()[0] for x in SIGNED.split(", ")],
-                )
+                    named.append(name_of(split))
+                    if doc.is_valid and split:
+                        items = shingles(hashes(split))
+                        fps.append(fingerprint(items))
+                        marks.append(sketch(items))
+                    else:
+                        fps.append(None)
+                        marks.append(none)
+                h1, h2 = zip(*named) if named else ((), ())
+                fp = pa.array([None if x is None else x - (1 << 64) * (x >> 63) for x in fps], pa.int64())
+                table = np.stack(marks) if marks else np.zeros((0, 8), dtype=np.int64)
+                columns = [batch.column(0), batch.column(2), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), fp, *(pa.array(table[:, k]) for k in range(8))]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return docs.select("doc_id", "text", F.xxhash64("text").alias("row")).mapInArrow(rows, SIGNED)
 
 
-def leaves(firsts: DataFrame, dense: int, hard: int, depth: int) -> DataFrame:
-    """(tree, climb, prefix, salt, doc_id, fp, sketch): where each document stands in each trie."""
-    carried = [c for c in ("doc_id", "fp", "sketch", "class") if c in firsts.columns]
-    rows = firsts.select(*carried, F.posexplode("prefixes").alias("tree", "prefix"))
-    sizes = rows.groupBy("tree", "prefix").agg(F.count("*").alias("n"))
-    climb = F.lit(0)
-    for k in range(1, min(depth, 6) + 1):
-        above = F.shiftright("prefix", k)
-        sizes = sizes.withColumn(f"n{k}", F.sum("n").over(Window.partitionBy("tree", above)))
+def distinct_texts(signed: DataFrame, trees: int, depth: int) -> DataFrame:
+    """(h1, h2, first, n, node, fp, sketch, prefixes): a row for each name; node numbers them once the table is written."""
+    orders = _orders(trees, depth)
+    same = [F.first(c).alias(c) for c in ("fp", *MARKS)]  # equal for equal names
+    named = signed.where("fp is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), *same)
+    named = named.withColumn("node", F.monotonically_increasing_id())
+    schema = ", ".join(f"{c} long" for c in named.columns) + ", prefixes array<int>"
+
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight = 1 << np.arange(depth)[::-1]
+        for batch in batches:
+            fp = np.ascontiguousarray(batch.column("fp").to_numpy())
+            bits = np.unpackbits(fp.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            found = np.stack([bits[:, o].astype(np.int64) @ weight for o in orders], axis=1).astype(np.int32)
+            at = np.arange(0, found.size + 1, len(orders), dtype=np.int32)
+            prefixes = pa.ListArray.from_arrays(pa.array(at), pa.array(found.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, prefixes], names=[*batch.schema.names, "prefixes"])
+
+    return named.mapInArrow(rows, schema)
+
+
+def placed(members: DataFrame, depth: int, dense: int) -> DataFrame:
+    """(tree, prefix, climb, leaf, n, node, class, fp, sketch): where each text stands in each trie, n: texts of its leaf."""
+    rows = members.select("node", "class", "many", "fp", *MARKS, F.posexplode("prefixes").alias("tree", "prefix"))
+    up = min(depth, 6)
+    sizes = rows.groupBy("tree", "prefix").agg(F.count("*").alias("n")).withColumn("head", F.shiftright("prefix", up))
+    sizes, climb = sizes.repartition("tree", "head"), F.lit(0)  # one shuffle serves all windows below
+    for k in range(1, up + 1):
+        over = Window.partitionBy("tree", "head", F.shiftright("prefix", k))
+        sizes = sizes.withColumn(f"n{k}", F.sum("n").over(over))
         climb = F.when(F.col(f"n{k}") <= dense, F.lit(k)).otherwise(climb)
-    parts = F.greatest(F.ceil(F.col("n") / hard), F.lit(1))
-    nodes = keep(firsts.sparkSession, sizes.select("tree", "prefix", "n", climb.alias("climb"), parts.alias("parts")))
-    # About trees * rows / dense nodes: broadcast while they are known to be few, else joined by a shuffle.
-    placed = rows.join(F.broadcast(nodes) if nodes.count() <= 500_000 else nodes, ["tree", "prefix"])
-    # A node in several parts: each member goes to one part, leaders (about 64 of the node) to all.
-    own = F.array(F.pmod(F.xxhash64("doc_id", "tree"), F.col("parts")))
-    leads = F.pmod(F.xxhash64("doc_id", "tree", F.lit(7)), F.greatest(F.floor(F.col("n") / 64), F.lit(1))) == 0
-    salts = F.when((F.col("parts") > 1) & leads, F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(own)
-    return placed.select("tree", "climb", F.expr("shiftright(prefix, climb)").alias("node"), F.explode(salts).alias("salt"), *carried)
-
-
-def meetings(firsts: DataFrame, dense: int, depth: int) -> DataFrame:
-    """As ``leaves``, with classes: nodes of more than ``dense`` rows are dealt as blocks of two parts each, so that every two
-    members of different classes share a block. Members of a node's largest class don't meet one another, only the others:
-    a large group of copies is read once for each ``dense`` others in its node, a node of one class not at all.
+    sizes = sizes.withColumn("climb", climb).withColumn("leaf", F.expr("shiftright(prefix, climb)"))
+    total = F.sum("n").over(Window.partitionBy("tree", "head", "climb", "leaf"))
+    nodes = keep(members.sparkSession, sizes.select("tree", "prefix", "climb", "leaf", total.alias("n")))
+    # About trees * texts / dense nodes: broadcast while they are counted to be few, else joined by a shuffle.
+    return rows.join(F.broadcast(nodes) if nodes.count() <= 500_000 else nodes, ["tree", "prefix"])
+
+
+def parts(rows: DataFrame, dense: int) -> DataFrame:
+    """First pass: large leaves dealt at random into parts of about ``dense`` texts."""
+    return rows.withColumn("salt", F.pmod(F.xxhash64("node", "tree"), F.ceil(F.col("n") / dense)))
+
+
+def meetings(rows: DataFrame, dense: int) -> DataFrame:
+    """Second pass: leaves of more than ``dense`` texts dealt as blocks of two parts each, so that every two members of
+    different classes share a block. Members of a leaf's largest class don't meet one another, only the others: a large
+    class is read once for each ``dense`` others in its leaf, a leaf of one class not at all.
     """
-    placed = leaves(firsts, dense, 1 << 62, depth).withColumn("key", F.struct("tree", "climb", "node"))
-    counts = placed.groupBy("key", "class").agg(F.count("*").alias("n"))
-    sizes = counts.groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("n_top"), F.max_by("class", F.struct("n", "class")).alias("top"))
-    mixed = keep(firsts.sparkSession, sizes.where("n > n_top"))
-    placed = placed.drop("salt").join(mixed, "key")
-    tops, others = F.ceil(F.col("n_top") / dense), F.ceil((F.col("n") - F.col("n_top")) / dense)
-    in_top, spread = F.col("class") == F.col("top"), F.xxhash64("doc_id", "tree")
-    q, none = F.pmod(spread, others), F.array().cast("array<bigint>")
-    with_others = F.transform(F.sequence(F.lit(0).cast("long"), others - 1), lambda k: F.pmod(spread, tops) * others + k)
-    with_tops = F.transform(F.sequence(F.lit(0).cast("long"), tops - 1), lambda k: k * others + q)
-    apart = F.filter(F.sequence(F.lit(0).cast("long"), others - 1), lambda k: k != q)
-    among = F.transform(apart, lambda k: -1 - (F.least(k, q) * others + F.greatest(k, q)))
-    blocks = F.when(F.col("n") <= dense, F.array(F.lit(0).cast("long"))).when(in_top, with_others).otherwise(F.concat(with_tops, F.when(others > 1, among).otherwise(none)))
-    return placed.select("tree", "climb", "node", F.explode(blocks).alias("salt"), "doc_id", "fp", "sketch", "class")
-
-
-def _clusters(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
-def leaf_pairs(ids: np.ndarray, fp: np.ndarray, marks: np.ndarray, radius: int, low: float, close: float, best: int = 3) -> tuple[np.ndarray, ...]:
-    """Candidates of one leaf: (larger id, smaller id, estimated similarity)."""
-    order = np.argsort(ids, kind="stable")
-    ids, fp, marks = ids[order], fp[order], marks[order]
-    n = len(ids)
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    step = max(1, (1 << 21) // max(n, 1))
+    spark = rows.sparkSession
+    few, large = rows.where(F.col("n") <= dense).withColumn("salt", F.lit(0).cast("long")), rows.where(F.col("n") > dense)
+    classes = large.where("many").groupBy("tree", "leaf", "class").agg(F.count("*").alias("c"))
+    tops = classes.groupBy("tree", "leaf").agg(F.max("c").alias("n_top"), F.max_by("class", F.struct("c", "class")).alias("top"))
+    tops = keep(spark, tops)  # one row a large leaf at most
+    large = large.join(F.broadcast(tops) if tops.count() <= 500_000 else tops, ["tree", "leaf"], "left")
+    large = large.withColumn("n_top", F.coalesce("n_top", F.lit(0))).where("n > n_top")
+    top_parts = F.greatest(F.ceil(F.col("n_top") / dense), F.lit(1))
+    others, spread = F.ceil((F.col("n") - F.col("n_top")) / dense), F.xxhash64("node", "tree")
+    q, zero, none = F.pmod(spread, others), F.lit(0).cast("long"), F.array().cast("array<bigint>")
+    with_others = F.transform(F.sequence(zero, others - 1), lambda k: F.pmod(spread, top_parts) * others + k)
+    with_tops = F.when(F.col("n_top") > 0, F.transform(F.sequence(zero, top_parts - 1), lambda k: k * others + q)).otherwise(none)
+    among = F.transform(F.filter(F.sequence(zero, others - 1), lambda k: k != q), lambda k: -1 - (F.least(k, q) * others + F.greatest(k, q)))
+    blocks = F.when(F.col("class") == F.col("top"), with_others).otherwise(F.concat(with_tops, among))
+    return few.unionByName(large.withColumn("salt", F.explode(blocks)).select(few.columns))
+
+
+def runs(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, pa.Table]]:
+    """The rows of each key (the first columns) of batches sorted by key, a run at a time."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        by = np.stack([batch.column(k).to_numpy() for k in range(keys)], axis=1)
+        cuts = np.flatnonzero((by[1:] != by[:-1]).any(axis=1)) + 1
+        for x, y in zip([0, *cuts], [*cuts, len(by)]):
+            key = tuple(by[x].tolist())
+            if key != now:
+                if held:
+                    yield now, pa.Table.from_batches(held)
+                held, now = [], key
+            held.append(batch.slice(x, y - x))
+    if held:
+        yield now, pa.Table.from_batches(held)
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """Each leaf (or block) a run of rows in a sorted partition."""
+    keys = [F.col(k).cast("long").alias(k) for k in LEAF]
+    return rows.select(*keys, "node", "class", "fp", *MARKS).repartition(*LEAF).sortWithinPartitions(*LEAF)
+
+
+def near_pairs(fp: np.ndarray, marks: np.ndarray, label: np.ndarray, radius: int, low: float) -> Iterator[tuple[np.ndarray, ...]]:
+    """(row, smaller row, estimated similarity) of a leaf's pairs of different labels, some thousand rows' pairs at a time."""
+    n = len(fp)
+    step = max(1, (1 << 20) // max(n, 1))
     for at in range(1, n, step):
         stop = min(n, at + step)
         near = np.bitwise_count(fp[at:stop, None] ^ fp[None, :stop]) <= radius
+        near &= label[at:stop, None] != label[None, :stop]
         i, j = np.nonzero(near)
         i += at
-        later = j < i
-        i, j = i[later], j[later]
-        for k in range(0, len(i), 1 << 17):
-            x, y = marks[i[k : k + (1 << 17)]], marks[j[k : k + (1 << 17)]]
-            both = ((x == y) & (x > 0)).sum(axis=1)
-            used = ((x > 0) | (y > 0)).sum(axis=1)
-            guess = both / np.maximum(used, 1)
+        before = j < i
+        i, j = i[before], j[before]
+        for k in range(0, len(i), 1 << 16):
+            x, y = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
+            guess = estimate(marks[x], marks[y])
             ok = guess >= low
-            found.append((i[k : k + (1 << 17)][ok], j[k : k + (1 << 17)][ok], guess[ok]))
-    if not found:
-        none = np.zeros(0, dtype=np.int64)
-        return none, none, np.zeros(0)
-    i, j, guess = (np.concatenate(x) for x in zip(*found))
-    sure = guess >= close
-    cluster = _clusters(n, i[sure], j[sure])
-    way = np.lexsort((j, -guess, cluster[j], i))
-    i, j, guess = i[way], j[way], guess[way]
-    key = i * n + cluster[j]
-    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, dtype=np.int64)
-    rank = np.arange(len(key)) - np.repeat(start, np.diff(np.append(start, len(key))))
-    stays = (rank < best) & (ids[i] != ids[j])
-    return ids[i[stays]], ids[j[stays]], guess[stays]
-
-
-def candidates(placed: DataFrame, radius: int = 22, low: float = 0.55, close: float = 0.8) -> DataFrame:
-    """(a, b, guess) with a > b: a leaf is one run of rows in a sorted partition; it's held alone."""
+            if ok.any():
+                yield x[ok], y[ok], guess[ok]
 
-    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        now = None
 
-        def done() -> pa.RecordBatch:
-            ids, fp, marks = (np.concatenate(x) for x in zip(*held))
-            a, b, guess = leaf_pairs(ids, fp, marks, radius, low, close)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(guess)], names=["a", "b", "guess"])
+def _leaf(table: pa.Table) -> tuple[np.ndarray, ...]:
+    fp = table["fp"].to_numpy().view(_U64)
+    return table["node"].to_numpy(), table["class"].to_numpy(), fp, marks_of([table[m].to_numpy() for m in MARKS])
 
-        for batch in batches:
-            if not batch.num_rows:
+
+def likeliest(rows: DataFrame, radius: int, low: float) -> DataFrame:
+    """(a, b): the likeliest partner of each text over its leaves (of two texts that choose each other, one pair)."""
+
+    def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, table in runs(batches, 4):
+            node, _, fp, marks = _leaf(table)
+            n = len(node)
+            best, mate, dice = np.full(n, -1.0), np.full(n, -1), np.zeros(n, dtype=_U64)
+            for i, j, guess in near_pairs(fp, marks, np.arange(n), radius, low):
+                toss = mix((node[i] ^ node[j]).view(_U64))
+                for x, y in ((i, j), (j, i)):
+                    order = np.lexsort((toss, guess, x))
+                    last = np.append(x[order][1:] != x[order][:-1], True)
+                    x, y, g, t = x[order][last], y[order][last], guess[order][last], toss[order][last]
+                    wins = (g > best[x]) | (g == best[x]) & (t > dice[x])
+                    best[x[wins]], mate[x[wins]], dice[x[wins]] = g[wins], y[wins], t[wins]
+            has = np.flatnonzero(mate >= 0)
+            yield pa.RecordBatch.from_arrays([pa.array(node[has]), pa.array(node[mate[has]]), pa.array(best[has])], names=["a", "b", "guess"])
+
+    found = dealt(rows).mapInArrow(find, "a long, b long, guess double")
+    one = found.groupBy("a").agg(F.max_by("b", F.struct("guess", F.xxhash64(F.col("a").bitwiseXOR(F.col("b"))))).alias("b"))
+    return one.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+OPEN = f"{', '.join(k + ' long' for k in LEAF)}, a long, b long, ca long, cb long"
+
+
+def open_pairs(rows: DataFrame, radius: int, low: float, per_member: int) -> DataFrame:
+    """OPEN: pairs of different classes to verify (leaf columns null), or the open members of a leaf with very many (b null)."""
+    names = [x.split()[0] for x in OPEN.split(", ")]
+
+    def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, table in runs(batches, 4):
+            node, label, fp, marks = _leaf(table)
+            n = len(node)
+            if (label == label[0]).all():
+                continue
+            most, held, many, live = per_member * n, [], 0, np.zeros(n, dtype=bool)
+            for i, j, _ in near_pairs(fp, marks, label, radius, low):
+                live[i] = live[j] = True
+                many += len(i)
+                held = [*held, (i, j)] if many <= most else []
+            if not many:
                 continue
-            keys = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(4)], axis=1)
-            ids = batch.column(4).to_numpy()
-            fp = batch.column(5).to_numpy().view(_U64)
-            marks = np.frombuffer(b"".join(batch.column(6).to_pylist()), dtype=np.uint8).reshape(-1, BINS)
-            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
-            for x, y in zip([0, *cuts], [*cuts, len(keys)]):
-                key = tuple(keys[x])
-                if key != now:
-                    if held:
-                        yield done()
-                    held, now = [], key
-                held.append((ids[x:y], fp[x:y], marks[x:y]))
-        if held:
-            yield done()
-
-    by = ["tree", "climb", "node", "salt"]
-    columns = [F.col(k).cast("long").alias(k) for k in by]
-    dealt = placed.select(*columns, "doc_id", "fp", "sketch").repartition(*by).sortWithinPartitions(*by)
-    pairs = dealt.mapInArrow(rows, "a long, b long, guess double")
-    return pairs.groupBy("a", "b").agg(F.max("guess").alias("guess"))
+            if many <= most:
+                i, j = (np.concatenate(x) for x in zip(*held))
+                up = node[i] > node[j]
+                i, j = np.where(up, i, j), np.where(up, j, i)
+                where = [pa.nulls(many, pa.int64())] * 4
+                columns = [*where, pa.array(node[i]), pa.array(node[j]), pa.array(label[i]), pa.array(label[j])]
+            else:
+                where = [pa.array(np.full(live.sum(), k)) for k in key]
+                nulls = pa.nulls(int(live.sum()), pa.int64())
+                columns = [*where, pa.array(node[live]), nulls, pa.array(label[live]), nulls]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return dealt(rows).mapInArrow(find, OPEN)
 
 
 def _place(column: str):
@@ -264,8 +336,8 @@ def id_filter(ids: DataFrame) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, items): shingle sets as sorted 32-bit hashes, of the documents in ``wanted`` (column id) and few others."""
-    bits = docs.sparkSession.sparkContext.broadcast(id_filter(wanted))
+    """(node, items): shingle sets, as sorted 32-bit hashes, of the texts in ``wanted`` (node, first, h1, h2)."""
+    bits = docs.sparkSession.sparkContext.broadcast(id_filter(wanted.select(F.col("first").alias("id"))))
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, bitmap = WordHashes(), bits.value
@@ -273,84 +345,50 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             place = whole.column(2).to_numpy() - 1
             inside = whole.filter(pa.array((bitmap[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)))
             for batch in pieces(inside):
-                items = []
+                named, items = [], []
                 for text in batch.column(1):
-                    found = shingles(hashes((text.as_py() or "").encode().split()))
-                    items.append(np.unique((found >> _U64(32)).astype("<u4")).tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(items, pa.binary())], names=["id", "items"])
+                    split = (text.as_py() or "").encode().split()
+                    named.append(name_of(split))
+                    items.append(np.unique((shingles(hashes(split)) >> _U64(32)).astype("<u4")).tobytes())
+                h1, h2 = zip(*named) if named else ((), ())
+                columns = [batch.column(0), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(items, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["first", "h1", "h2", "items"])
 
     named = docs.where("doc_id is not null").select("doc_id", "text", _place("doc_id").alias("place"))
-    return named.mapInArrow(rows, "id long, items binary")
+    found = named.mapInArrow(rows, "first long, h1 long, h2 long, items binary")
+    return found.join(wanted, ["first", "h1", "h2"]).dropDuplicates(["node"]).select("node", "items")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) whose shingle sets are at least so similar."""
+    """Those of the pairs (a, b and more) whose shingle sets are at least so similar."""
+    columns = pairs.columns
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
-            for x, y in zip(batch.column(2), batch.column(3)):
+            for x, y in zip(batch.column("x"), batch.column("y")):
                 x, y = (np.frombuffer(v.as_py(), dtype="<u4") for v in (x, y))
+                if min(len(x), len(y)) < similarity * max(len(x), len(y)):
+                    ok.append(False)
+                    continue
                 both = len(x) + len(y) - len(np.union1d(x, y))
                 ok.append(both >= similarity * (len(x) + len(y) - both))
-            yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
-
-    left = sets.select(F.col("id").alias("a"), F.col("items").alias("x"))
-    right = sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return both.mapInArrow(rows, "a long, b long")
-
-
-def _runs(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, pa.Table]]:
-    """The rows of each key (the first columns) of batches sorted by key, a run at a time."""
-    held: list[pa.RecordBatch] = []
-    now = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        by = np.stack([batch.column(k).to_numpy() for k in range(keys)], axis=1)
-        cuts = np.flatnonzero((by[1:] != by[:-1]).any(axis=1)) + 1
-        for x, y in zip([0, *cuts], [*cuts, len(by)]):
-            key = tuple(by[x].tolist())
-            if key != now:
-                if held:
-                    yield now, pa.Table.from_batches(held)
-                held, now = [], key
-            held.append(batch.slice(x, y - x))
-    if held:
-        yield now, pa.Table.from_batches(held)
+            yield batch.filter(pa.array(ok, pa.bool_())).select(columns)
 
-
-def open_members(fp: np.ndarray, marks: np.ndarray, label: np.ndarray, radius: int, low: float) -> np.ndarray:
-    """Which members of a leaf have a likely partner of another class in it."""
-    n = len(fp)
-    live = np.zeros(n, dtype=bool)
-    if (label == label[0]).all():
-        return live
-    step = max(1, (1 << 21) // n)
-    for at in range(1, n, step):
-        stop = min(n, at + step)
-        near = (np.bitwise_count(fp[at:stop, None] ^ fp[None, :stop]) <= radius) & (label[at:stop, None] != label[None, :stop])
-        near &= ~(live[at:stop, None] & live[None, :stop])
-        i, j = np.nonzero(near)
-        i += at
-        i, j = i[j < i], j[j < i]
-        for k in range(0, len(i), 1 << 17):
-            x, y = marks[i[k : k + (1 << 17)]], marks[j[k : k + (1 << 17)]]
-            ok = ((x == y) & (x > 0)).sum(axis=1) >= low * np.maximum(((x > 0) | (y > 0)).sum(axis=1), 1)
-            live[i[k : k + (1 << 17)][ok]] = live[j[k : k + (1 << 17)][ok]] = True
-    return live
+    left = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
+    right = sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
+    both = pairs.join(left, "a").join(right, "b").select(*columns, "x", "y")
+    return both.mapInArrow(rows, pairs.schema)
 
 
-def leaf_links(ids: np.ndarray, label: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Links (larger id, smaller id) that join all classes of a leaf that are linked in it: all pairs are counted exactly."""
-    n, label = len(ids), label.copy()
+def leaf_links(label: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links that join all labels that are linked (label is updated): all pairs are counted exactly."""
+    n, found = len(label), []
     sizes = np.array([len(x) for x in sets])
     at = np.concatenate([[0], np.cumsum(sizes)])
     _, term, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    post = np.repeat(np.arange(n), sizes)[np.argsort(term, kind="stable")]
+    post = np.repeat(np.arange(n, dtype=np.int32), sizes)[np.argsort(term, kind="stable")]
     begin = np.cumsum(many) - many
-    found = []
     for i in range(n):
         own = term[at[i] : at[i + 1]]
         own = own[many[own] > 1]
@@ -362,64 +400,57 @@ def leaf_links(ids: np.ndarray, label: np.ndarray, sets: list[np.ndarray], simil
             both += np.bincount(post[where], minlength=n)
         alike = (both >= similarity * (sizes[i] + sizes - both)) & (label != label[i])
         for j in np.flatnonzero(alike).tolist():
-            if label[j] != label[i] and ids[i] != ids[j]:
-                found.append((int(max(ids[i], ids[j])), int(min(ids[i], ids[j]))))
+            if label[j] != label[i]:
+                found.append((i, j))
                 label[label == label[j]] = label[i]
     return found
 
 
-def unsettled(placed: DataFrame, radius: int = 22, low: float = 0.55) -> DataFrame:
-    """(tree, climb, node, salt, id, class): the open members of each leaf."""
-    by = ["tree", "climb", "node", "salt"]
-
-    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, leaf in _runs(batches, 4):
-            label = leaf["class"].to_numpy()
-            marks = np.frombuffer(b"".join(leaf["sketch"].to_pylist()), dtype=np.uint8).reshape(-1, BINS)
-            live = open_members(leaf["fp"].to_numpy().view(_U64), marks, label, radius, low)
-            ids = leaf["doc_id"].to_numpy()[live]
-            yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(ids), k)) for k in key), pa.array(ids), pa.array(label[live])], names=[*by, "id", "class"])
-
-    dealt = placed.select(*[F.col(k).cast("long").alias(k) for k in by], "doc_id", "fp", "sketch", "class")
-    return dealt.repartition(*by).sortWithinPartitions(*by).mapInArrow(rows, ", ".join(f"{k} long" for k in [*by, "id", "class"]))
-
-
-def settle(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): the links among the open members of each leaf that join different classes; no cap."""
-    by = ["tree", "climb", "node", "salt"]
+def settle(members: DataFrame, sets: DataFrame, similarity: float, most: int = 2_000_000) -> DataFrame:
+    """(ca, cb): the links among the open members of each leaf that join different classes; sets are met in chunks of
+    about ``most`` entries, two chunks at a time."""
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, leaf in _runs(batches, 4):
-            items = [np.frombuffer(x.as_py(), dtype="<u4") for x in leaf["items"]]
-            found = leaf_links(leaf["id"].to_numpy(), leaf["class"].to_numpy(), items, similarity)
+        for _, leaf in runs(batches, 4):
+            label, items = leaf["ca"].to_numpy().copy(), leaf["items"]
+            first, found = label.copy(), []
+            sizes = np.array([len(x.as_buffer()) // 4 for x in items])
+            chunk = np.cumsum(sizes) // most
+            groups = [np.flatnonzero(chunk == c) for c in np.unique(chunk)]
+            for own in groups if len(groups) == 1 else map(np.concatenate, combinations(groups, 2)):
+                links = leaf_links(label[own], [np.frombuffer(items[int(k)].as_py(), dtype="<u4") for k in own], similarity)
+                for i, j in links:
+                    a, b = int(own[i]), int(own[j])
+                    found.append((int(first[a]), int(first[b])))
+                    label[label == label[b]] = label[a]
             a, b = zip(*found) if found else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["ca", "cb"])
 
-    dealt = members.join(sets, "id").select(*by, "id", "class", "items").repartition(*by).sortWithinPartitions(*by)
-    return dealt.mapInArrow(rows, "a long, b long").distinct()
+    whole = members.select(*LEAF, F.col("a").alias("node"), "ca").join(sets, "node").select(*LEAF, "ca", "items")
+    return whole.repartition(*LEAF).sortWithinPartitions(*LEAF).mapInArrow(rows, "ca long, cb long").distinct()
 
 
 def components(spark: SparkSession, links: DataFrame, rounds: int = 1000) -> DataFrame:
     """(id, label): the least id of each component of the links (a, b).
 
     Alternating large-star and small-star (Kiveris et al. 2014): O(log^2 n) rounds for n ids, about log n in practice. Every
-    round's table is written to the shared folder; the last one is stars round the least ids. No label is returned before
-    nothing changes: an error if that takes more than ``rounds``.
+    round's table is written to the shared folder. No label is returned before the links are stars round the least ids: an
+    error if that takes more than ``rounds``. Ids with very many links are joined by broadcast.
     """
     edges = keep(spark, links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
     for _ in range(rounds):
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == before:
+        ends = edges.select(F.col("a").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("b", F.lit(0), F.lit(1)))
+        ends = ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        size, open_ = ends.agg(F.coalesce(F.sum("up"), F.lit(0)), F.count_if((F.col("up") > 1) | (F.col("up") == 1) & (F.col("down") == 1))).first()
+        if not open_:  # every id hangs on one that hangs on none: stars
             stars = edges.select(F.col("a").alias("id"), F.col("b").alias("label"))
             return stars.union(edges.select("b", "b").distinct())
-        before = now
         both = edges.union(edges.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = keep(spark, both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n"))
+        large = counted_join(both, least, ["a"], "n", 2 * size).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = keep(spark, large)
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = keep(spark, large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")))
+        small = counted_join(large, least, ["a"], "n", size).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = keep(spark, small.union(least.select("a", F.col("m").alias("b"))).distinct())
     raise RuntimeError(f"components have not settled in {rounds} rounds")
 
@@ -430,59 +461,65 @@ def classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_c
     return _classes(spark, docs, **settings).select("doc_id", "class_id")
 
 
-def _classes(spark: SparkSession, docs: DataFrame, similarity: float = 0.8, recall: float = 0.99, dense: int = 2048, hard: int = 16_384) -> DataFrame:
-    """(doc_id, row, class_id); row: a hash of the text, for rows that share a doc_id."""
+def joined_texts(
+    spark: SparkSession, docs: DataFrame, texts: DataFrame, depth: int, similarity: float, dense: int, first_tries: int, radius: int, low: float, per_member: int
+) -> DataFrame:
+    """(node, class): the class (its least node) of every distinct text."""
+
+    def sets_for(nodes: DataFrame) -> DataFrame:
+        wanted = texts.select("node", "first", "h1", "h2").join(nodes.distinct(), "node", "left_semi")
+        return keep(spark, sets_of(docs, keep(spark, wanted)))
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("node")).union(pairs.where("b is not null").select("b"))
+
+    alone = texts.select("node", F.col("node").alias("class"), F.lit(False).alias("many"), "fp", *MARKS, F.slice("prefixes", 1, first_tries).alias("prefixes"))
+    likely = keep(spark, likeliest(parts(placed(alone, depth, dense), dense), radius, low))
+    labels = components(spark, verify(likely, sets_for(ends(likely)), similarity))
+    found = labels.select(F.col("id").alias("node"), F.col("label").alias("class"))
+    classed = texts.select("node", "fp", *MARKS, "prefixes").join(found, "node", "left")
+    classed = keep(spark, classed.withColumn("many", F.col("class").isNotNull()).withColumn("class", F.coalesce("class", "node")))
+
+    opened = keep(spark, open_pairs(meetings(placed(classed, depth, dense), dense), radius, low, per_member))
+    pairs = keep(spark, opened.where("b is not null").select("a", "b", "ca", "cb").distinct())
+    members = opened.where("b is null")
+    sets = sets_for(ends(pairs.select("a", "b")).union(members.select("a")))
+    late = verify(pairs, sets, similarity).select("ca", "cb").union(settle(members, sets, similarity))
+    upper = components(spark, late.toDF("a", "b")).select(F.col("id").alias("class"), F.col("label").alias("top"))
+    own = classed.select("node", "class")
+    sizes = keep(spark, upper.join(own.groupBy("class").agg(F.count("*").alias("n")), "class"))
+    return keep(spark, counted_join(own, sizes, ["class"], "n", how="left").select("node", F.coalesce("top", "class").alias("class")))
+
+
+def _classes(
+    spark: SparkSession, docs: DataFrame, similarity: float = 0.8, recall: float = 0.99, dense: int = 2048, first_tries: int = 3, radius: int = 22, low: float = 0.62, per_member: int = 8
+) -> DataFrame:
+    """(doc_id, row, node, class_id, stands): row is a hash of the text, node the number of its words (null where there are
+    none); stands marks the text that names its class."""
     depth, trees = plan(docs.count(), dense, similarity, recall)
-    signed = keep(spark, sign(docs, trees, depth))
-    named = signed.where("prefixes is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("first"))
-    firsts = signed.join(named, ["h1", "h2"]).where("doc_id = first").dropDuplicates(["doc_id", "h1", "h2"])
-    # Two texts under one doc_id: the row of the smaller name speaks for the id in links; both keep their class by name.
-    firsts = keep(spark, firsts.groupBy("doc_id").agg(F.min_by(F.struct("h1", "h2", "fp", "sketch", "prefixes"), F.struct("h1", "h2")).alias("s")).select("doc_id", "s.*"))
-    pairs = keep(spark, candidates(leaves(firsts, dense, hard, depth)))
-
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
-    sets = keep(spark, sets_of(docs, wanted).groupBy("id").agg(F.min("items").alias("items")))
-    likely = pairs.groupBy("a").agg(F.max_by("b", F.struct("guess", -F.col("b"))).alias("b"))
-    links = keep(spark, verify(likely, sets, similarity))
-    labels = components(spark, links)
-
-    def labelled(frame: DataFrame, column: str) -> DataFrame:
-        of = labels.select(F.col("id").alias(column), F.col("label").alias(f"label_{column}"))
-        return frame.join(of, column, "left").withColumn(f"label_{column}", F.coalesce(f"label_{column}", column))
-
-    rest = labelled(labelled(pairs.join(likely, ["a", "b"], "left_anti"), "a"), "b").where("label_a <> label_b")
-    more = keep(spark, verify(rest, sets, similarity))
-    joined = labelled(labelled(more, "a"), "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
-    upper = components(spark, joined).select(F.col("id").alias("label"), F.col("label").alias("top"))
-    others = more.select(F.col("a").alias("id")).union(more.select("b")).distinct().join(labels, "id", "left_anti")
-    final = labels.unionByName(others.withColumn("label", F.col("id")))
-    final = keep(spark, final.join(upper, "label", "left").select(F.col("id").alias("first"), F.coalesce("top", "label").alias("class")))
-
-    # What the cap on partners left out: members with a likely partner of another class meet again, all pairs of a leaf.
-    classed = firsts.join(final.select(F.col("first").alias("doc_id"), "class"), "doc_id", "left").withColumn("class", F.coalesce("class", "doc_id"))
-    members = keep(spark, unsettled(meetings(keep(spark, classed), dense, depth)))
-    lacking = members.select("id").distinct().join(sets, "id", "left_anti")
-    if not lacking.isEmpty():
-        lacking = keep(spark, lacking)
-        more = sets_of(docs, lacking).join(lacking, "id", "left_semi").groupBy("id").agg(F.min("items").alias("items"))
-        sets = sets.unionByName(keep(spark, more))
-    late = keep(spark, settle(members, sets, similarity))
-    if not late.isEmpty():
-        def top(column: str):
-            return classed.select(F.col("doc_id").alias(column), F.col("class").alias(f"class_{column}"))
-
-        joined = late.join(top("a"), "a").join(top("b"), "b").select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
-        upper = components(spark, joined).select(F.col("id").alias("class"), F.col("label").alias("top"))
-        final = classed.select(F.col("doc_id").alias("first"), "class").join(upper, "class", "left").select("first", F.coalesce("top", "class").alias("class"))
-
-    every = signed.join(named, ["h1", "h2"], "left").withColumn("first", F.when(F.col("prefixes").isNull(), F.col("doc_id")).otherwise(F.col("first")))
-    return every.join(final, "first", "left").select("doc_id", "row", F.coalesce("class", "first").alias("class_id"))
+    signed = keep(spark, sign(docs))
+    texts = keep(spark, distinct_texts(signed, trees, depth))
+    of = joined_texts(spark, docs, texts, depth, similarity, dense, first_tries, radius, low, per_member)
+    own = keep(spark, texts.select("node", "first", "h1", "h2", "n").join(of, "node"))
+    sizes = own.groupBy("class").agg(F.min("first").alias("class_id"), F.count("*").alias("members"))
+    named = counted_join(own, keep(spark, sizes), ["class"], "members")
+    # Of several texts of the least doc_id the least number stands for the class.
+    firsts = named.where("first = class_id").groupBy("class").agg(F.min("node").alias("stand"))
+    stands = F.coalesce(F.col("node") == F.col("stand"), F.lit(False)).alias("stands")
+    named = keep(spark, named.select("node", "h1", "h2", "n", "class_id").join(firsts.select("stand"), F.col("node") == F.col("stand"), "left").select("node", "h1", "h2", "n", "class_id", stands))
+    rows = signed.select("doc_id", "row", "h1", "h2", F.col("fp").isNull().alias("bare"))
+    columns = ["doc_id", "row", "node", "class_id", "stands"]
+    told = counted_join(rows.where("not bare"), named, ["h1", "h2"], "n").select(columns)
+    alone = rows.where("bare").select("doc_id", "row", F.lit(None).cast("long").alias("node"), F.col("doc_id").alias("class_id"), F.lit(True).alias("stands"))
+    return told.unionByName(alone)
 
 
 def keep_first(spark: SparkSession, docs: DataFrame, **settings) -> DataFrame:
-    """The rows, with all their columns, that stand first in their class (equal rows once); rows with a null id all stay."""
+    """The rows, with all their columns, that stand first in their class; rows with a null id all stay. Of several rows of one
+    doc_id and one word sequence one stays, and of rows without words one for each doc_id and text."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = _classes(spark, texts, **settings).where("doc_id = class_id").select("doc_id", "row").distinct()
+    found = _classes(spark, texts, **settings).where("stands and doc_id = class_id")
+    stays = found.groupBy("doc_id", "node", F.when(F.col("node").isNull(), F.col("row")).alias("bare")).agg(F.min("row").alias("__row"))
     tagged = docs.withColumn("__row", F.xxhash64("text"))
-    stays = tagged.join(found.withColumnRenamed("row", "__row"), ["doc_id", "__row"], "left_semi").dropDuplicates(["doc_id", "__row"])
-    return stays.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    kept = tagged.join(stays.select("doc_id", "__row"), ["doc_id", "__row"], "left_semi").dropDuplicates(["doc_id", "__row"])
+    return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))

@@ -67,17 +67,51 @@ def test_classes_equal_brute_force(spark):
     assert sum(k != v for k, v in wanted.items()) > 20
 
 
+def plain_links(docs, bound=0.8):
+    """Links between distinct texts, by counts of shared shingles (exact, without pairs that share none)."""
+    import numpy as np
+
+    first = {}
+    for d, t in docs:
+        if (t or "").split():
+            key = " ".join(re.findall(r"[^\x20\x09-\x0D]+", t))
+            first[key] = min(d, first.get(key, d))
+    number, sets, ids = {}, [], []
+    for text, d in sorted(first.items(), key=lambda x: x[1]):
+        sets.append(np.array(sorted(number.setdefault(x, len(number)) for x in shingles(text))))
+        ids.append(d)
+    sizes = np.array([len(x) for x in sets])
+    post = np.repeat(np.arange(len(sets)), sizes)[np.argsort(np.concatenate(sets), kind="stable")]
+    ends = np.cumsum(np.bincount(np.concatenate(sets), minlength=len(number)))
+    begins = np.concatenate([[0], ends[:-1]])
+    links = set()
+    for i, own in enumerate(sets):
+        met = np.concatenate([post[begins[x] : ends[x]] for x in own])
+        both = np.bincount(met[met < i], minlength=i)[:i]
+        links.update((ids[i], ids[j]) for j in np.flatnonzero(both >= bound * (sizes[i] + sizes[:i] - both)).tolist() if both[j])
+    return links
+
+
 def test_forest_reaches_its_recall(spark):
-    """Small nodes force deep prefixes, climbs and nodes in several parts; links between different texts are counted."""
-    docs = texts(spark, MID)
-    _, links = brute_classes(docs)
-    frame = spark.read.parquet(f"{MID}/documents.parquet")
-    depth, trees = simhash_dedup.plan(len(docs), 64)
-    assert depth > 3 and trees > 4
-    got = {r["doc_id"]: r["class_id"] for r in simhash_dedup.classes(spark, frame, dense=64, hard=40).collect()}
-    assert sum(got[a] == got[b] for a, b in links) >= 0.95 * len(links)
-    wanted, _ = brute_classes(docs)
-    assert all(wanted[d] == wanted[c] for d, c in got.items())  # and never joins what isn't linked
+    """Real depths: 10,000 documents under prefixes of 5 to 8 bits, leaves that climb and leaves in parts. Links between
+    different texts are counted against brute force."""
+    path = "/root/testdata/sf0.1"
+    docs = texts(spark, path)
+    links = plain_links(docs)
+    assert len(links) > 40
+    frame = spark.read.parquet(f"{path}/documents.parquet")
+    for dense, deep in ((320, 5), (48, 8)):
+        depth, trees = simhash_dedup.plan(len(docs), dense)
+        assert depth == deep and trees > 7
+        got = {r["doc_id"]: r["class_id"] for r in simhash_dedup.classes(spark, frame, dense=dense).collect()}
+        assert sum(got[a] == got[b] for a, b in links) >= 0.95 * len(links)
+        top = components(got, links)
+        assert all(got[a] == got[b] for a, b in got.items())
+        by_text = {}
+        for d, t in docs:  # and never joins what isn't linked
+            by_text.setdefault(" ".join((t or "").split()), []).append(top[d])
+        copies = components(got, [(a, b) for own in by_text.values() if own for a, b in zip(own, own[1:])])
+        assert all(copies[top[d]] == copies[top[c]] for d, c in got.items())
 
 
 def templated(n, pairs, seed=5):
@@ -112,25 +146,30 @@ def test_template_texts_keep_their_links(spark):
 
 
 def test_members_of_parted_nodes_meet(spark):
-    """All texts under one prefix: in a node of many parts every two members of different classes share a block."""
+    """All texts under one prefix: in a leaf of many parts every two members of different classes share a block."""
     from pyspark.sql import functions as F
 
     rows = templated(150, 60)
     wanted, _ = brute_classes(rows)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    signed = simhash_dedup.sign(docs, 1, 1).withColumn("prefixes", F.array(F.lit(0)))
-    classed = signed.withColumn("class", F.when(F.col("doc_id") < 90, F.lit(0)).otherwise(F.col("doc_id")))
+    texts_ = simhash_dedup.distinct_texts(simhash_dedup.sign(docs), 1, 0).withColumn("node", F.col("first")).withColumn("prefixes", F.array(F.lit(0)))
+    classed = texts_.withColumn("class", F.when(F.col("node") < 90, F.lit(0)).otherwise(F.col("node"))).withColumn("many", F.col("node") < 90)
     met = {}
-    for r in simhash_dedup.meetings(classed, 20, 1).collect():
-        met.setdefault((r["tree"], r["climb"], r["node"], r["salt"]), []).append(r["doc_id"])
+    for r in simhash_dedup.meetings(simhash_dedup.placed(classed, 0, 20), 20).collect():
+        met.setdefault((r["tree"], r["climb"], r["leaf"], r["salt"]), []).append(r["node"])
     pairs = {(a, b) for own in met.values() for a in own for b in own if a > b}
     assert {(a, b) for a in range(len(rows)) for b in range(a) if a >= 90} <= pairs
     assert max(map(len, met.values())) < 100
-    sets = simhash_dedup.sets_of(docs, docs.select(docs.doc_id.alias("id")))
-    alone = signed.withColumn("class", F.col("doc_id"))
-    links = simhash_dedup.settle(simhash_dedup.unsettled(simhash_dedup.meetings(alone, 20, 1)), sets, 0.8)
-    labels = {r["id"]: r["label"] for r in simhash_dedup.components(spark, links).collect()}
-    assert {d: labels.get(d, d) for d, _ in rows} == wanted
+    alone = texts_.withColumn("class", F.col("node")).withColumn("many", F.lit(False))
+    placed = simhash_dedup.meetings(simhash_dedup.placed(alone, 0, 20), 20)
+    sets = simhash_dedup.sets_of(docs, texts_.select("node", "first", "h1", "h2"))
+    for per_member in (1 << 30, 0):  # all as pairs, all as members
+        opened = simhash_dedup.open_pairs(placed, 22, 0.62, per_member)
+        assert opened.where("b is null" if per_member else "b is not null").count() == 0
+        links = simhash_dedup.verify(opened.where("b is not null"), sets, 0.8).select("ca", "cb")
+        links = links.union(simhash_dedup.settle(opened.where("b is null"), sets, 0.8, most=5000)).toDF("a", "b")
+        labels = {r["id"]: r["label"] for r in simhash_dedup.components(spark, links).collect()}
+        assert {d: labels.get(d, d) for d, _ in rows} == wanted
 
 
 def test_components_of_a_long_chain(spark):
@@ -148,25 +187,56 @@ def test_components_of_a_long_chain(spark):
 def test_classes_on_odd_rows(spark, odd):
     found = queries()["op7_simhash_dedup"](spark, odd).collect()
     assert len(found) == len(texts(spark, odd))
-    got = {r["doc_id"]: r["class_id"] for r in found}
-    assert got[5] == 4 and got[4] == 4 and got[None] is None and got[1] == 1 and got[2] == 2 and got[3] == 3
+    got = Counter((r["doc_id"], r["class_id"]) for r in found)
+    alone = (1, 2, 3, None, 5, 6, 7, 8, 9)  # the other text under id 5 is a class of its own
+    assert got == Counter({(4, 4): 1, (5, 4): 2, **{(d, d): 1 for d in alone}})
     docs = spark.read.parquet(f"{odd}/documents.parquet")
     kept = simhash_dedup.keep_first(spark, docs)
     assert kept.columns == docs.columns
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter([1, 2, 3, None, 4, 5, 6, 7, 8, 9])
 
 
+def test_texts_that_share_an_id(spark):
+    """Each text is compared on its own, whatever else stands under its doc_id."""
+    base = [f"w{i}" for i in range(100)]
+    near = " ".join([*base[:50], "other", *base[51:]])
+    rows = [(1, " ".join(base)), (2, near), (2, ""), (2, " ".join(base[::-1])), (2, "six other words stand here too"), (3, "  ".join(base[::-1])), (2, near + " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r["doc_id"], r["class_id"]) for r in simhash_dedup.classes(spark, docs).collect())
+    assert got == Counter({(1, 1): 1, (2, 1): 2, (2, 2): 3, (3, 2): 1})
+    assert sorted(r["text"] for r in simhash_dedup.keep_first(spark, docs).collect()) == sorted([rows[0][1], "", rows[3][1], rows[4][1]])
+
+
 def test_large_group_of_copies(spark):
-    """Hundreds of near copies of one text and hundreds of another: two classes, and candidates in proportion."""
+    """Hundreds of near copies of one text and hundreds of another: two classes, and pairs in proportion to the rows."""
+    from pyspark.sql import functions as F
+
     base = " ".join(f"w{i}" for i in range(200)).split()
     rows = [(i, " ".join([*base[: i % 190], f"edit{i}", *base[i % 190 + 1 :]])) for i in range(300)]
     rows += [(1000 + i, " ".join([*base[::-1][: i % 190], f"edit{i}", *base[::-1][i % 190 + 1 :]])) for i in range(100)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: r["class_id"] for r in simhash_dedup.classes(spark, docs, dense=64, hard=100).collect()}
+    got = {r["doc_id"]: r["class_id"] for r in simhash_dedup.classes(spark, docs, dense=64).collect()}
     assert set(got.values()) == {0, 1000}
-    signed = simhash_dedup.sign(docs, 1, 0)
-    pairs = simhash_dedup.candidates(simhash_dedup.leaves(signed, 2048, 16_384, 0)).count()
-    assert pairs <= 3 * 2 * len(rows)
+    texts_ = simhash_dedup.distinct_texts(simhash_dedup.sign(docs), 1, 0)
+    alone = texts_.withColumn("class", F.col("node")).withColumn("many", F.lit(False))
+    pairs = simhash_dedup.likeliest(simhash_dedup.parts(simhash_dedup.placed(alone, 0, 64), 64), 22, 0.62).count()
+    assert pairs <= len(rows)
+
+
+def test_leaf_memory_is_linear():
+    """Twenty thousand near copies in one leaf: pairs come in portions, none are held."""
+    import tracemalloc
+
+    import numpy as np
+
+    dice = np.random.default_rng(2)
+    fp = np.full(20_000, 12345, dtype=np.uint64) ^ (np.uint64(1) << dice.integers(0, 63, 20_000).astype(np.uint64))
+    marks = np.tile(dice.integers(1, 16, simhash_dedup.BINS).astype(np.uint8), (20_000, 1))
+    tracemalloc.start()
+    portions = simhash_dedup.near_pairs(fp, marks, np.arange(20_000), 22, 0.62)
+    for _ in range(200):
+        next(portions)
+    assert tracemalloc.get_traced_memory()[1] < 150 << 20
 
 
 def brute_leaks(docs, items, bound=0.8):
