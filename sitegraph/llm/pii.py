@@ -1,10 +1,14 @@
 """Personal data: base patterns, and a linear-chain conditional random field over word-shape features.
 
 The field is trained on the driver from a small labelled table (``pii_labels``, a few hundred rows, or rows of the same form
-given by the caller) by gradient ascent on the exact conditional likelihood (forward-backward). A word's features are its
+given by the caller) by gradient ascent on the exact conditional likelihood (forward-backward). Labels tell an entity's first
+word from its later ones, so neighbouring entities part and an entity may have any number of words. A word's features are its
 shape, its length, its marks and whether it is a cue word; those of its neighbours count too. Words with equal features share
-a class, so decoding needs a class number per word. Texts are cut into chains at line ends (and after ``CHAIN`` words);
-chains of similar length are decoded together by Viterbi in numpy batches.
+a class, so decoding needs a class number per word.
+
+A line is one chain, however long. Words that are outside any entity whatever their neighbours' labels (their score for
+"outside" leads by more than all label pairs round them could make good) are settled at once; what remains between
+them is decoded by Viterbi in numpy batches, with the settled words as its ends. This is the best path of the whole line.
 
 Base patterns (email, ip, card, phone) are matched leftmost and non-overlapping per kind over the whole text; matches that
 fail their test are dropped without another try. The field's spans are added where they overlap no base span.
@@ -26,9 +30,8 @@ from pyspark.sql import functions as F
 from sitegraph.llm.common import pieces
 from sitegraph.llm.pii_labels import labelled_table
 
-CHAIN = 64
-#: Words of an entity at most; longer runs of one label are no entity (lists of capitalised words, tables of figures).
-LONGEST = 5
+#: Neighbours whose features count, by their distance.
+NEAR = (-1, 1, -2)
 BASE_KINDS = ("email", "ip", "card", "phone")
 SPANS = "array<struct<kind:string,start:long,end:long,base:boolean>>"
 CUES = frozenset(
@@ -147,36 +150,51 @@ class Field:
                     c = self._classes.get((own, lent))
                     if c is None:
                         c = self._classes[own, lent] = len(self._own)
-                        self._own.append(
-                            np.stack([self._sum(["0:" + f for f in own]), self._sum(["-1:" + f for f in lent]), self._sum(["1:" + f for f in lent])]).astype(np.float32)
-                        )
+                        lent_to = [self._sum([f"{k}:{f}" for f in lent]) for k in NEAR]
+                        self._own.append(np.stack([self._sum(["0:" + f for f in own]), *lent_to]).astype(np.float32))
                     known[words[i]] = c
                 out[i] = c
         return np.array(out, dtype=np.int64)
 
-    def emissions(self, classes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """Scores (words x labels); first and last mark the ends of chains, over which no neighbour counts."""
+    def emissions(self, classes: np.ndarray, line: np.ndarray) -> np.ndarray:
+        """Scores (words x labels); line: the number of each word's line, over whose ends no neighbour counts."""
         table = np.stack(self._own)
         out = table[classes, 0]
-        inner = np.flatnonzero(~first)
-        out[inner] += table[classes[inner - 1], 1]
-        inner = np.flatnonzero(~last)
-        out[inner] += table[classes[inner + 1], 2]
+        for k, shift in enumerate(NEAR, 1):
+            to, of = (slice(-shift, None), slice(None, shift)) if shift < 0 else (slice(None, -shift), slice(shift, None))
+            same = np.flatnonzero(line[to] == line[of])
+            lent = np.ascontiguousarray(table[:, k])
+            used = lent[classes[of][same]]
+            out[to][same] += used
         return out
 
-    def decode(self, scores: np.ndarray, begins: np.ndarray, sizes: np.ndarray, rows: int = 4096) -> np.ndarray:
-        """The best label of each word: Viterbi over chains, those of similar length together."""
+    def settled(self, scores: np.ndarray) -> np.ndarray:
+        """Which words are outside whatever stands beside them."""
+        step = self.step
+        before = np.vstack([step, self.start])  # also as a line's first word
+        after = np.hstack([step, np.zeros((len(step), 1))])  # also as its last
+        gain = (before - before[:, :1]).max(axis=0) + (after - after[:1]).max(axis=1)
+        lead = scores[:, :1] - scores[:, 1:]
+        return (lead > (gain[1:] + 1e-3).astype(np.float32)).all(axis=1)
+
+    def decode(self, scores: np.ndarray, begins: np.ndarray, sizes: np.ndarray, head: np.ndarray | None = None, tail: np.ndarray | None = None, cells: int = 1 << 20) -> np.ndarray:
+        """The best label of each word of the chains: Viterbi, chains of similar length together, about ``cells`` words at a
+        time (or one chain). head and tail: what each chain's first and last label score beside its words."""
         out = np.zeros(len(scores), dtype=np.int16)
-        step, start = self.step.astype(np.float32), self.start.astype(np.float32)
+        n, step = len(self.labels), self.step.astype(np.float32)
+        head = np.tile(self.start, (len(begins), 1)) if head is None else head
+        tail = np.zeros((len(begins), n)) if tail is None else tail
         order = np.argsort(sizes, kind="stable")
-        for a in range(0, len(order), rows):
-            own = order[a : a + rows]
+        a = 0
+        while a < len(order):
+            room = np.maximum.accumulate(sizes[order[a : a + 4096]]) * np.arange(1, len(order[a : a + 4096]) + 1)
+            own = order[a : a + max(1, int(np.searchsorted(room, cells, side="right")))]
+            a += len(own)
             begin, size = begins[own], sizes[own]
-            most = int(size.max())
-            n = len(self.labels)
+            most, ends = int(size.max()), tail[own].T.astype(np.float32)
             back = np.zeros((most, n, len(own)), dtype=np.int8)
-            best = (scores[begin] + start).T.copy()
-            ends = best.copy()
+            best = (scores[begin] + head[own].astype(np.float32)).T.copy()
+            final = best + ends
             for t in range(1, most):
                 at = int(np.searchsorted(size, t, side="right"))  # sizes rise: chains that go on are the tail
                 best = best[:, best.shape[1] - (len(own) - at) :]
@@ -187,8 +205,8 @@ class Field:
                     np.copyto(new, way, where=better)
                     np.copyto(from_, np.int8(k), where=better)
                 best = new + scores[begin[at:] + t].T
-                ends[:, at:] = best
-            label = ends.argmax(axis=0)
+                final[:, at:] = best + ends[:, at:]
+            label = final.argmax(axis=0)
             for t in range(most - 1, -1, -1):
                 at = int(np.searchsorted(size, t, side="right"))
                 live = label[at:]
@@ -204,42 +222,47 @@ class Field:
     def spans_of(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
         found: list[list[tuple[int, int, str]]] = [[] for _ in texts]
         words: list[str] = []
-        begins, sizes, owners = [], [], []
+        sizes, owners = [], []
         for i, text in enumerate(texts):
             for line in text.split("\n"):
                 own = line.split()
-                for a in range(0, len(own), CHAIN):
-                    part = own[a : a + CHAIN]
-                    begins.append(len(words))
-                    sizes.append(len(part))
+                if own:
+                    sizes.append(len(own))
                     owners.append(i)
-                    words += part
+                    words += own
         if not words:
             return found
-        begins_, sizes_ = np.array(begins), np.array(sizes)
-        first = np.zeros(len(words), dtype=bool)
-        last = first.copy()
-        first[begins_] = last[begins_ + sizes_ - 1] = True
-        scores = self.emissions(self.classes(words), first, last)
-        labels = self.decode(scores, begins_, sizes_)
-        hits = np.flatnonzero(labels)
-        if not len(hits):
+        line = np.repeat(np.arange(len(sizes)), sizes)
+        scores = self.emissions(self.classes(words), line)
+        edge = np.diff(line, prepend=-1, append=len(sizes)) > 0
+        first, last = edge[:-1], edge[1:]
+        outside = self.settled(scores)
+        beside = np.concatenate([[False], outside, [False]])
+        begins = np.flatnonzero(~outside & (first | beside[:-2]))
+        ends = np.flatnonzero(~outside & (last | beside[2:]))
+        if not len(begins):
             return found
-        owner = np.array(owners)[np.searchsorted(begins_, hits, side="right") - 1]
-        base = {}
-        for i in np.unique(owner).tolist():
-            base[i] = (int(begins_[np.searchsorted(owners, i)]), [(m.start(), m.end()) for m in re.finditer(r"\S+", texts[i])])
-        open_: tuple | None = None
-        for at, i in zip(hits.tolist(), owner.tolist()):
-            kind = self.labels[labels[at]]
-            begin, where = base[i]
-            a, b = where[at - begin]
-            if open_ == (i, at - 1, kind) and not first[at]:
+        head = np.where(first[begins, None], self.start, self.step[0])
+        tail = np.where(last[ends, None], 0, self.step[:, 0])
+        labels = self.decode(scores, begins, ends - begins + 1, head, tail)
+        hits = np.flatnonzero(labels)
+        places: dict[int, list[tuple[int, int]]] = {}
+        starts = np.cumsum(np.bincount(owners, sizes, len(texts)).astype(np.int64))
+        kinds = [x[2:] for x in self.labels]
+        open_ = (-2, -1, "")
+        for at, k in zip(hits.tolist(), line[hits].tolist()):
+            i = owners[k]
+            if i not in places:
+                places[i] = [(m.start(), m.end()) for m in re.finditer(r"\S+", texts[i])]
+            a, b = places[i][at - int(starts[i]) + len(places[i])]
+            label = self.labels[labels[at]]
+            kind = kinds[labels[at]]
+            if open_ == (at - 1, k, kind) and label[0] == "I":
                 found[i][-1] = found[i][-1][0], b, kind
             else:
                 found[i].append((a, b, kind))
-            open_ = i, at, kind
-        return [[_trim(texts[i], *s) for s in own if len(texts[i][s[0] : s[1]].split()) <= LONGEST] for i, own in enumerate(found)]
+            open_ = at, k, kind
+        return [[_trim(texts[i], *s) for s in own] for i, own in enumerate(found)]
 
 
 def _trim(text: str, a: int, b: int, kind: str) -> tuple[int, int, str]:
@@ -265,8 +288,7 @@ def train(table: list[tuple[int, list[str], list[str]]] | None = None, rounds: i
         own = []
         for i in range(len(words)):
             x = ["0:" + f for f in feats[i][0]]
-            x += ["-1:" + f for f in feats[i - 1][1]] if i else []
-            x += ["1:" + f for f in feats[i + 1][1]] if i + 1 < len(words) else []
+            x += [f"{k}:{f}" for k in NEAR if 0 <= i + k < len(words) for f in feats[i + k][1]]
             own.append([names.setdefault(f, len(names)) for f in x])
         used.append(own)
     flat = [(r, t, f) for r, own in enumerate(used) for t, fs in enumerate(own) for f in fs]
