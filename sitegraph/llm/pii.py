@@ -6,9 +6,9 @@ word from its later ones, so neighbouring entities part and an entity may have a
 shape, its length, its marks and whether it is a cue word; those of its neighbours count too. Words with equal features share
 a class, so decoding needs a class number per word.
 
-A line is one chain, however long. Words that are outside any entity whatever their neighbours' labels (their score for
-"outside" leads by more than all label pairs round them could make good) are settled at once; what remains between
-them is decoded by Viterbi in numpy batches, with the settled words as its ends. This is the best path of the whole line.
+A line is one chain, however long. Words that are outside any entity on every best path (any other label there loses against
+putting the words round it outside too, whatever labels stand farther off) are settled at once; what remains between them is
+decoded by Viterbi in numpy batches, with the settled words as its ends. This is the best path of the whole line.
 
 Base patterns (email, ip, card, phone) are matched leftmost and non-overlapping per kind over the whole text; matches that
 fail their test are dropped without another try. The field's spans are added where they overlap no base span.
@@ -168,14 +168,29 @@ class Field:
             out[to][same] += used
         return out
 
-    def settled(self, scores: np.ndarray) -> np.ndarray:
-        """Which words are outside whatever stands beside them."""
-        step = self.step
-        before = np.vstack([step, self.start])  # also as a line's first word
-        after = np.hstack([step, np.zeros((len(step), 1))])  # also as its last
-        gain = (before - before[:, :1]).max(axis=0) + (after - after[:1]).max(axis=1)
-        lead = scores[:, :1] - scores[:, 1:]
-        return (lead > (gain[1:] + 1e-3).astype(np.float32)).all(axis=1)
+    def settled(self, scores: np.ndarray, line: np.ndarray, turns: int = 2) -> np.ndarray:
+        """Which words are outside on every best path: with any other label there, putting all words up to ``turns`` away
+        outside scores more, whatever labels stand beyond them."""
+        step, start = self.step.astype(np.float32), self.start.astype(np.float32)
+        n, lead = len(step), (scores - scores[:, :1]).T.copy()
+        edge = np.diff(line, prepend=-1, append=line[-1] + 1) > 0
+        before = np.vstack([step, start])  # also as a line's first word
+        after = np.hstack([step, np.zeros((n, 1), dtype=np.float32)])  # also as its last
+        # What a label at a word can gain over "outside" by the labels before it, and by those after it.
+        left = np.repeat((before - before[:, :1]).max(axis=0)[:, None], len(scores), axis=1)
+        right = np.repeat((after - after[:1]).max(axis=1)[:, None], len(scores), axis=1)
+        for _ in range(turns):
+            for gain, to, of, pair, at, end in (
+                (left, slice(1, None), slice(None, -1), step, edge[:-1], start - start[0]),
+                (right, slice(None, -1), slice(1, None), step.T, edge[1:], np.zeros(n, dtype=np.float32)),
+            ):
+                wide = (gain + lead)[:, of]
+                new = np.full_like(gain, -np.inf)
+                for k in range(n):
+                    np.maximum(new[:, to], wide[k] + (pair[k] - step[0, 0])[:, None], out=new[:, to])
+                new[:, at] = end[:, None]
+                np.minimum(gain, new, out=gain)
+        return ((lead + left + right)[1:] < -1e-3).all(axis=0)
 
     def decode(self, scores: np.ndarray, begins: np.ndarray, sizes: np.ndarray, head: np.ndarray | None = None, tail: np.ndarray | None = None, cells: int = 1 << 20) -> np.ndarray:
         """The best label of each word of the chains: Viterbi, chains of similar length together, about ``cells`` words at a
@@ -236,7 +251,7 @@ class Field:
         scores = self.emissions(self.classes(words), line)
         edge = np.diff(line, prepend=-1, append=len(sizes)) > 0
         first, last = edge[:-1], edge[1:]
-        outside = self.settled(scores)
+        outside = self.settled(scores, line)
         beside = np.concatenate([[False], outside, [False]])
         begins = np.flatnonzero(~outside & (first | beside[:-2]))
         ends = np.flatnonzero(~outside & (last | beside[2:]))
