@@ -9,8 +9,9 @@ line breaks, comment signs and punctuation don't count as edits.
 Exact places of the four base phrases are counted on their own and never lost.
 
 Edge cases: null or empty texts have no words and no spans (score 0). Rows are judged one by one, so null and repeated ids
-are harmless. An empty table gives an empty result. Only the two named columns are read. Matches of one notice don't
-overlap each other; of overlapping ones the one with fewer edits, then the earlier one, stays.
+are harmless. An empty table gives an empty result. Only the two named columns are read. Matches begin and end at word ends;
+those of one notice are taken from the left and don't overlap, each improved in place to its fewest edits: the same as the
+pattern run over the whole text. The phrase "cc by" is too short for an edit and is found exactly, as a base phrase.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ BASE = {
 #: Short notices (lower case words) and what they license.
 NOTICES = {
     "gnu general public license": "gpl",
+    "apache license": "apache",
+    "mit license": "mit",
     "gnu lesser general public license": "lgpl",
     "gnu affero general public license": "agpl",
     "licensed under the apache license version 2 0": "apache",
@@ -78,7 +81,7 @@ class Scanner:
         import regex
 
         self.notices = [(n, label, max_edits(n)) for n, label in notices.items()]
-        self.patterns = [regex.compile(f"(?b)(?:{regex.escape(n)}){{e<={k}}}") for n, _, k in self.notices]
+        self.patterns = [regex.compile(f"(?e)(?<![^ ])(?:{regex.escape(n)}){{e<={k}}}(?![^ ])") for n, _, k in self.notices]
         places: dict[str, list[tuple[int, int]]] = {}
         for i, (n, _, k) in enumerate(self.notices):
             for at, part in split(n, k + 1):
@@ -89,43 +92,27 @@ class Scanner:
         self.automaton.make_automaton()
 
     def candidates(self, text: str) -> dict[int, list[tuple[int, int]]]:
-        """For each notice, the merged regions in which it could stand."""
-        found: dict[int, list[list[int]]] = {}
+        """For each notice, the merged regions in which it could stand (with some characters beyond its ends)."""
+        found: dict[int, set[tuple[int, int]]] = {}
         for end, (size, where) in self.automaton.iter(text):
             for i, at in where:
                 n, _, k = self.notices[i]
                 begin = end + 1 - size - at
-                a, b = max(0, begin - k), min(len(text), begin + len(n) + 2 * k)
-                regions = found.setdefault(i, [])
-                if regions and a <= regions[-1][1]:
-                    regions[-1][0], regions[-1][1] = min(a, regions[-1][0]), max(b, regions[-1][1])
+                found.setdefault(i, set()).add((max(0, begin - k - 2), min(len(text), begin + len(n) + 2 * k + 2)))
+        merged: dict[int, list[tuple[int, int]]] = {}
+        for i, regions in found.items():
+            own = merged[i] = []
+            for a, b in sorted(regions):
+                if own and a <= own[-1][1]:
+                    own[-1] = own[-1][0], max(b, own[-1][1])
                 else:
-                    regions.append([a, b])
-        return {i: [(a, b) for a, b in x] for i, x in found.items()}
+                    own.append((a, b))
+        return merged
 
     def matches(self, text: str) -> list[tuple[int, int, int, int]]:
         """(start, end, edits, notice) of the verified places, by start."""
-        out = []
-        for i, regions in self.candidates(text).items():
-            n, _, k = self.notices[i]
-            own = []
-            for a, b in regions:
-                # A region is cut into steps in which a match is sought, so that it costs no more than its length.
-                at = a
-                while at < b:
-                    stop = min(b, at + 2 * (len(n) + 2 * k))
-                    hit = self.patterns[i].search(text, at, stop)
-                    if hit is None:
-                        at = stop if stop == b else stop - len(n) - k
-                        continue
-                    own.append((hit.start(), hit.end(), sum(hit.fuzzy_counts), i))
-                    at = max(hit.end(), at + 1)
-            taken: list[tuple[int, int, int, int]] = []
-            for m in sorted(set(own), key=lambda m: (m[2], m[0])):
-                if all(m[1] <= x[0] or m[0] >= x[1] for x in taken):
-                    taken.append(m)
-            out += taken
-        return sorted(out)
+        regions = ((i, a, b) for i, own in self.candidates(text).items() for a, b in own)
+        return sorted((m.start(), m.end(), sum(m.fuzzy_counts), i) for i, a, b in regions for m in self.patterns[i].finditer(text, a, b))
 
 
 def words_of(data: bytes) -> tuple[np.ndarray, np.ndarray, str, np.ndarray]:

@@ -112,24 +112,48 @@ def test_licenses(spark, odd):
             assert set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) | {""} and 0 <= r["score"] <= 1
 
 
+def edited(notice, most, dice):
+    chars = list(notice)
+    for _ in range(dice.randint(0, most)):
+        i = dice.randrange(len(chars))
+        dice.choice([lambda: chars.__setitem__(i, "q"), lambda: chars.insert(i, "q"), lambda: chars.pop(i)])()
+    return "".join(chars)
+
+
 def test_fuzzy_notices_lose_none():
-    """Every notice with up to its number of edits is found; the brute version slides the same bound over the whole text."""
+    """Every notice with up to its number of edits is found where it stands alone."""
     import random
 
     dice, scanner = random.Random(3), license_scan.Scanner()
     for notice, label, most in scanner.notices:
         for _ in range(5):
-            chars = list(notice)
-            for _ in range(dice.randint(0, most)):
-                i = dice.randrange(len(chars))
-                dice.choice([lambda: chars.__setitem__(i, "q"), lambda: chars.insert(i, "q"), lambda: chars.pop(i)])()
-            text = "Some words. " + "".join(chars) + ", more"
+            text = "Some words. " + edited(notice, most, dice) + ", more"
             spans = license_scan.scan_text(text, scanner)[5]
             assert any(s["label"] == label for s in spans), (notice, text)
             for s in spans:
                 assert 0 <= s["start"] < s["end"] <= len(text) and s["edits"] <= license_scan.max_edits(s["notice"])
 
 
+def test_spans_equal_the_patterns_over_whole_texts(spark):
+    """Brute force: each bounded-error pattern over the whole text, without seeds or regions."""
+    import random
+
+    dice, scanner = random.Random(11), license_scan.Scanner()
+    names = [n for n, _, _ in scanner.notices]
+    made = [" ".join(edited(n, 5, dice) if dice.random() < 0.7 else "lorem permit ipsum" for n in dice.choices(names, k=dice.randint(1, 9))) for _ in range(300)]
+    made += ["mit " * 500 + "license", "licensed under the mit licence licensed under the mit license", "permit license", "license" * 300]
+    made += [license_scan.words_of((t or "").encode())[2] for _, t in texts(spark, SF)]
+    many = 0
+    for text in made:
+        wanted = sorted((m.start(), m.end(), sum(m.fuzzy_counts), i) for i, p in enumerate(scanner.patterns) for m in p.finditer(text))
+        assert scanner.matches(text) == wanted, text[:200]
+        many += len(wanted)
+    assert many > 500
+    spans = license_scan.scan_text("Licensed under the MIT licence; licensed under the MIT license", scanner)[5]
+    assert [(s["start"], s["end"], s["edits"]) for s in spans if s["notice"].startswith("licensed")] == [(0, 30, 1), (32, 62, 0)]
+    assert license_scan.scan_text("a permit license", scanner)[5] == []
+
+
 def plain_counts(text):
     text = text or ""
     words = WORD.findall(text)
