@@ -2,12 +2,16 @@
 
 A text is the set of its words; a word has features (itself and its beginnings of 3 to 6 letters, so that inflected forms
 share evidence). Counts over the training rows pick the features that tell labels apart, and a sparse logistic model is
-fitted to them. Each training text has a counterfactual twin in which identity terms (names of groups) are exchanged for
-other terms of their family; the loss adds ``penalty`` times the squared change of the logit between twins. So a group's
-name can't carry weight of its own, and neutral mentions of a group aren't taken for abuse.
+fitted to them. Each training text has a counterfactual pair: where it names groups, itself and its twin with each identity
+term exchanged for the next of its family; where it names none, a mention of a group is put in, and the pair is the text with
+that term and with the next of its family (or, for every other text, without the mention). The loss adds ``penalty`` times the
+squared change of the logit within pairs. So a group's name, and what it shares with other words (their beginnings), can't
+carry weight of its own, and neutral mentions of a group aren't taken for abuse. Labels are never invented: a pair enters the
+penalty alone.
 
 Training rows: the labelled documents whose crc32(doc_id as text) mod 3 is not 1, at most ``sample_rows`` of them (those of
-least hash; a documented bound, enough for a model of ``max_features`` weights). Features are counted on executors; the
+least hash; a documented bound, enough for a model of ``max_features`` weights; of several texts under one doc_id the one of
+least hash). Features are counted on executors; the
 driver gets the chosen features and, per training row, the numbers of those it has.
 
 Edge cases: null and empty texts get the model's base score. Null labels aren't learned from; of several labels of one
@@ -62,6 +66,17 @@ def twin(words: set[str], families: tuple = IDENTITY) -> set[str]:
     return {swap.get(w, w) for w in words}
 
 
+def counterfactual(words: set[str], families: tuple = IDENTITY) -> tuple[set[str], set[str]]:
+    """Two texts that differ in the groups named alone: the penalty is on the difference of their scores."""
+    other = twin(words, families)
+    if other != words:
+        return words, other
+    terms = [(f[i], f[(i + 1) % len(f)]) for f in families for i in range(len(f))]
+    way, at = divmod(zlib.crc32(_marks(words).encode()), len(terms))
+    term, swapped = terms[at]
+    return words | {term}, words | {swapped} if way % 2 else words
+
+
 def held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 3 == 1
 
@@ -97,9 +112,10 @@ class Model:
 
 
 def fit(
-    rows: list[tuple[list[int], list[int], int, float]], names: list[str], penalty: float = 1.0, decay: float = 2e-5, rounds: int = 400, rate: float = 0.1
+    rows: list[tuple[list[int], tuple[list[int], list[int]], int, float]], names: list[str], penalty: float = 1.0, decay: float = 2e-5, rounds: int = 400, rate: float = 0.1
 ) -> Model:
-    """Fit to (feature numbers, the twin's feature numbers, label, weight) rows: log loss + penalty x squared logit change."""
+    """Fit to (feature numbers, those of the counterfactual pair, label, weight) rows: log loss + penalty x squared change of
+    the logit within pairs."""
     weight = np.array([w for *_, w in rows])
     label = np.array([y for _, _, y, _ in rows], dtype=float)
     total = weight.sum()
@@ -108,21 +124,19 @@ def fit(
     share = float((weight @ label + 0.5) / (total + 1))
     bias = float(np.log(share / (1 - share)))
 
-    def flat(which: int) -> tuple[np.ndarray, np.ndarray]:
-        return (
-            np.repeat(np.arange(len(rows)), [len(r[which]) for r in rows]),
-            np.fromiter((f for r in rows for f in r[which]), dtype=np.int64, count=sum(len(r[which]) for r in rows)),
-        )
+    def flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        sizes = [len(x) for x in lists]
+        return np.repeat(np.arange(len(lists)), sizes), np.fromiter((f for x in lists for f in x), dtype=np.int64, count=sum(sizes))
 
-    (ra, fa), (rb, fb) = flat(0), flat(1)
+    (ro, fo), (ra, fa), (rb, fb) = flat([r[0] for r in rows]), flat([r[1][0] for r in rows]), flat([r[1][1] for r in rows])
     w, n = np.zeros(len(names)), len(rows)
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for turn in range(1, rounds + 1):
-        z = bias + np.bincount(ra, w[fa], n)
-        gap = z - bias - np.bincount(rb, w[fb], n)
+        z = bias + np.bincount(ro, w[fo], n)
+        gap = np.bincount(ra, w[fa], n) - np.bincount(rb, w[fb], n)
         pull = weight * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - label) / total
         push = 2 * penalty * weight * gap / total
-        g = np.bincount(fa, (pull + push)[ra], len(w)) - np.bincount(fb, push[rb], len(w)) + decay * w
+        g = np.bincount(fo, pull[ro], len(w)) + np.bincount(fa, push[ra], len(w)) - np.bincount(fb, push[rb], len(w)) + decay * w
         gb = pull.sum()
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
@@ -147,7 +161,9 @@ def train(
     known = known.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     # Bounded by sample_rows, so it may be broadcast.
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = keep(spark, texts.join(F.broadcast(known), "doc_id").select("y", "text"))
+    # One text for each id, so the rows are bounded too, however often an id is repeated.
+    one = texts.join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min_by(F.struct("y", "text"), F.xxhash64("text")).alias("r"))
+    rows = keep(spark, one.select("r.y", "r.text"))
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -188,16 +204,16 @@ def train(
 
         for batch in batches:
             sets = [words_of(x.as_py()) for x in batch.column(1)]
-            kind = pa.list_(pa.int32())
+            pairs, kind = [counterfactual(s) for s in sets], pa.list_(pa.int32())
+            lists = [[numbers(s) for s in sets], [numbers(a) for a, _ in pairs], [numbers(b) for _, b in pairs]]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([numbers(s) for s in sets], kind), pa.array([numbers(twin(s)) for s in sets], kind), pa.array([_marks(s) for s in sets])],
-                names=["y", "own", "twin", "marks"],
+                [batch.column(0), *(pa.array(x, kind) for x in lists), pa.array([_marks(s) for s in sets], pa.string())], names=["y", "own", "a", "b", "marks"]
             )
 
-    found = rows.mapInArrow(numbered, "y int, own array<int>, twin array<int>, marks string").collect()
+    found = rows.mapInArrow(numbered, "y int, own array<int>, a array<int>, b array<int>, marks string").collect()
     found.sort(key=lambda r: (r["marks"], r["y"], r["own"]))
     copies = Counter(r["marks"] for r in found)
-    return fit([(r["own"], r["twin"], r["y"], 1 / copies[r["marks"]]) for r in found], names, penalty)
+    return fit([(r["own"], (r["a"], r["b"]), r["y"], 1 / copies[r["marks"]]) for r in found], names, penalty)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -358,13 +358,13 @@ def test_counterfactual_penalty_spares_neutral_mentions():
     foul = ["those {} are vile scum", "i hate {} vile people", "{} are scum"]
     rows_ = [(toxicity.words_of(t.format("muslims")), 1) for t in foul] * 6 + [(toxicity.words_of(t.format("people")), 0) for t in plain] * 6
     rows_ += [(toxicity.words_of("vile scum everywhere"), 1)] * 2
-    names = sorted({f for s, _ in rows_ for w in s | toxicity.twin(s) for f in toxicity.features(w)})
+    names = sorted({f for s, _ in rows_ for x in toxicity.counterfactual(s) for w in x for f in toxicity.features(w)})
     index = {f: i for i, f in enumerate(names)}
 
     def number(words):
         return sorted({index[f] for w in words for f in toxicity.features(w) if f in index})
 
-    data = [(number(s), number(toxicity.twin(s)), y, 1.0) for s, y in rows_]
+    data = [(number(s), tuple(map(number, toxicity.counterfactual(s))), y, 1.0) for s, y in rows_]
     neutral = "the muslims went home early"
     biased, fair = toxicity.fit(data, names, penalty=0.0), toxicity.fit(data, names, penalty=10.0)
     assert fair.score(neutral) < biased.score(neutral)
@@ -374,6 +374,63 @@ def test_counterfactual_penalty_spares_neutral_mentions():
     assert fair.score("those muslims are vile scum") > 0.7
 
 
+NEUTRAL = ["many {} live in this town", "the {} went home early", "a school for {} opened here", "{}", "she met two {} at the market"]
+
+
+def mentions(model):
+    """Over neutral sentences: the mean change of the logit under swaps within families, by a mention, and the highest score."""
+    swaps, added, top = [], [], 0.0
+    for sentence in NEUTRAL:
+        bare = model.logit(toxicity.words_of(sentence.format("")))
+        for family in toxicity.IDENTITY:
+            own = [model.logit(toxicity.words_of(sentence.format(t))) for t in family]
+            swaps += [abs(a - b) for a, b in zip(own, own[1:] + own[:1])]
+            added += [abs(a - bare) for a in own]
+            top = max(top, *(model.score(sentence.format(t)) for t in family))
+    return sum(swaps) / len(swaps), sum(added) / len(added), top
+
+
+def test_trained_model_treats_groups_alike(spark):
+    """The model of the query itself, with its penalty and without: swapped twins score alike, and no neutral mention is
+    flagged."""
+    path = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{path}/{t}.parquet") for t in ("documents", "labels"))
+    swap, added, top = mentions(toxicity.train(docs, labels))
+    swap0, added0, _ = mentions(toxicity.train(docs, labels, penalty=0.0))
+    print("logit change, with and without penalty: swap", swap, swap0, "mention", added, added0, "highest score", top)
+    assert swap0 > 0.05 and swap < 0.2 * swap0 and added < 0.2 * added0
+    assert top < 0.5
+
+
+def test_repeated_ids_do_not_multiply_the_sample(spark):
+    """One text for each id is learned from, however many rows share it."""
+    docs = [(i, ("vile scum everywhere " if i % 2 else "a fine day out ") + f"w{i}") for i in range(60)]
+    rows_ = docs + [(i, "other words under this id") for i in range(60)] * 5
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    model = toxicity.train(spark.createDataFrame(rows_, "doc_id long, text string"), labels, sample_rows=40)
+    assert 0 <= model.score("vile scum") <= 1
+    plain = toxicity.train(spark.createDataFrame(docs, "doc_id long, text string"), labels, sample_rows=40)
+    assert plain.score("vile scum everywhere") > 0.7 > plain.score("a fine day out")
+
+
+def test_scores_equal_plain_sums(spark, odd):
+    """Brute force of the digest: features counted out, weights summed, for every text."""
+    import math
+
+    for path in folders(odd):
+        docs = spark.read.parquet(f"{path}/documents.parquet")
+        model = toxicity.train(docs, spark.read.parquet(f"{path}/labels.parquet"))
+        wanted = Counter()
+        for doc, text in texts(spark, path):
+            words = set(re.findall(r"[^\W\d_]+", (text or "").lower()))
+            found = {w for w in words} | {w[:k] + "~" for w in words for k in range(3, 7) if k < len(w)}
+            score = 1 / (1 + math.exp(-max(-40.0, min(40.0, model.bias + math.fsum(model.weights.get(f, 0.0) for f in found)))))
+            out = doc is not None and zlib.crc32(str(doc).encode()) % 3 == 1
+            wanted[doc, out, round(score, 9), int(score >= 0.7)] += 1
+        got = Counter((r["doc_id"], r["held_out"], round(r["score"], 9), r["predicted"]) for r in rows(spark, "op4_toxicity", path, "doc_id"))
+        assert got == wanted
+
+
 def test_toxicity_on_odd_rows(spark, odd):
     found = rows(spark, "op4_toxicity", odd, "doc_id")
     assert len(found) == len(texts(spark, odd)) and all(r["score"] is not None for r in found)
