@@ -2,12 +2,16 @@
 
 For every benchmark item of n words, each window of n words of a document may be a leak. Windows and items have 64-bit
 SimHash fingerprints of their five-word shingles. The fingerprint is split into four blocks of 16 bits; two fingerprints
-within ``radius`` bits agree in some block within radius // 4 (pigeonhole), so per item size and block a table of all block values
-within that distance of an item guarantees that no window within the radius is passed over. Candidates are verified exactly:
-the weighted Jaccard similarity of the two shingle multisets (weights: occurrences) must be at least ``similarity``.
+within ``radius`` bits agree in some block within radius // 4 (pigeonhole). So for each item size and block an index maps a block
+value to the items whose block is within that distance; the four lists of a window's block values hold every item within the
+radius, and only their members are looked at. Candidates are verified exactly: the weighted Jaccard similarity of the two
+shingle multisets (weights: occurrences) must be at least ``similarity``.
 
-A window of that similarity has a shingle of the item, so only windows that hold one are fingerprinted at all (a bitmap over
-the benchmark's shingles finds them; nothing is lost by it).
+A window of that similarity has a shingle of the item, so only windows that hold one are fingerprinted at all (a sorted array
+of the benchmark's shingles finds them; nothing is lost by it).
+
+The radius bounds fingerprints, the similarity texts: a window just over 0.8 differs by 10 of 64 bits on average, with a
+deviation of about 3, so some one in a thousand of windows at the very bound lies beyond 20 bits in one alignment.
 
 A document shorter than an item is one window as a whole, whatever its fingerprint: its shingles are compared with the item's.
 
@@ -22,7 +26,6 @@ tables give empty results (an empty benchmark: no leak). Only the named columns
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -75,13 +78,32 @@ def signs(shingles: np.ndarray) -> np.ndarray:
     return bits.astype(np.int32) * 2 - 1
 
 
-def block_table(block: int, distance: int) -> np.ndarray:
-    """Which 16-bit values lie within the distance of this one."""
-    return np.bitwise_count(np.arange(1 << 16, dtype=np.uint16) ^ np.uint16(block)) <= distance
+class Blocks:
+    """The multi-index of one item size: block values to the items (numbers within the size) near them. Lists are made when
+    first asked for and remembered up to ``most`` entries in all."""
+
+    def __init__(self, fps: np.ndarray, distance: int, most: int = 4_000_000) -> None:
+        self.blocks = [((fps >> _U64(16 * b)) & _U64(0xFFFF)).astype(np.uint16) for b in range(4)]
+        self.distance, self.most, self.held, self.known = distance, most, 0, {}
+
+    def near(self, block: int, value: int) -> np.ndarray:
+        found = self.known.get((block, value))
+        if found is None:
+            found = np.flatnonzero(np.bitwise_count(self.blocks[block] ^ np.uint16(value)) <= self.distance)
+            if self.held > self.most:
+                self.known, self.held = {}, 0
+            self.known[block, value] = found
+            self.held += len(found) + 16
+        return found
+
+    def candidates(self, fp: int) -> np.ndarray:
+        """Every item within 4 * distance + 3 bits of the fingerprint is among them."""
+        lists = [self.near(b, fp >> 16 * b & 0xFFFF) for b in range(4)]
+        return np.unique(np.concatenate(lists))
 
 
 class Index:
-    """One block of the benchmark, ready to search texts. Built anew in each task from the items (its tables are large)."""
+    """One block of the benchmark, ready to search texts. Built anew in each task from the items, as flat arrays."""
 
     def __init__(self, items: list[tuple[int | None, str | None]], radius: int = 20, similarity: float = 0.8) -> None:
         self.items, self.radius, self.similarity = items, radius, similarity
@@ -94,33 +116,32 @@ class Index:
         self.__init__(**state)
 
     def _build(self) -> None:
-        hashes, self._ready = Words(), True
-        self.words = hashes
-        self.bitmap = np.zeros(1 << _BITS, dtype=bool)
-        self.bags: list[Counter] = []
-        self.sizes: dict[int, list[int]] = {}
-        owners: dict[int, set[int]] = {}
+        self.words, self._ready = Words(), True
         self.ids: list[int | None] = []
-        fps = []
+        self.bags: list[tuple[np.ndarray, np.ndarray]] = []
+        fps, sizes = [], []
         for item, text in self.items:
-            words = hashes(text)
+            words = self.words(text)
             if len(words) < SHINGLE:
                 continue
             own = window_hashes(words, SHINGLE)
-            k = len(self.ids)
             self.ids.append(item)
-            self.bags.append(Counter(own.tolist()))
-            self.sizes.setdefault(len(words), []).append(k)
+            self.bags.append(np.unique(own, return_counts=True))
             fps.append(simhash(signs(own).sum(axis=0, keepdims=True))[0])
-            self.bitmap[own & _U64((1 << _BITS) - 1)] = True
-            for s in own.tolist():
-                owners.setdefault(s, set()).add(len(words))
-        self.fps = np.array(fps, dtype=_U64)
-        self.owners = owners
-        self.tables = {
-            n: [np.logical_or.reduce([block_table(int(self.fps[k] >> _U64(16 * b)) & 0xFFFF, self.radius // 4) for k in own]) for b in range(4)]
-            for n, own in self.sizes.items()
-        }
+            sizes.append(len(words))
+        if not self.ids:
+            return
+        fps, sizes = np.array(fps, dtype=_U64), np.array(sizes)
+        self.sizes = {int(n): np.flatnonzero(sizes == n) for n in np.unique(sizes)}
+        self.fps = {n: fps[own] for n, own in self.sizes.items()}
+        self.blocks = {n: Blocks(own, self.radius // 4) for n, own in self.fps.items()}
+        # The sizes of the items that hold a shingle: pairs sorted by shingle.
+        pairs = np.stack([np.concatenate([b for b, _ in self.bags]), np.repeat(sizes, [len(b) for b, _ in self.bags]).astype(_U64)])
+        pairs = np.unique(pairs, axis=1)
+        self.shingles, self.begins = np.unique(pairs[0], return_index=True)
+        self.ends, self.holders = np.append(self.begins[1:], pairs.shape[1]), pairs[1].astype(np.int64)
+        self.bitmap = np.zeros(1 << _BITS, dtype=bool)
+        self.bitmap[self.shingles & _U64((1 << _BITS) - 1)] = True
 
     def search(self, text: str | None) -> list[tuple[int | None, int, int, int, float]]:
         """(item, first word, words, Hamming distance, similarity): for each leaked item its best window."""
@@ -133,9 +154,11 @@ class Index:
             return []
         own = window_hashes(words, SHINGLE)
         hits = np.flatnonzero(self.bitmap[own & _U64((1 << _BITS) - 1)])
+        at = np.minimum(np.searchsorted(self.shingles, own[hits]), len(self.shingles) - 1)
+        real = self.shingles[at] == own[hits]
         near: dict[int, list[int]] = {}
-        for p in hits.tolist():
-            for n in self.owners.get(int(own[p]), ()):
+        for p, k in zip(hits[real].tolist(), at[real].tolist()):
+            for n in self.holders[self.begins[k] : self.ends[k]].tolist():
                 near.setdefault(n, []).append(p)
         found = []
         for n, places in near.items():
@@ -151,44 +174,48 @@ class Index:
             found += self._compare(own, starts, n, m)
         return sorted(found, key=lambda f: (f[0] is None, f[0] or 0, f[1]))
 
+    def _alike(self, bag: tuple[np.ndarray, np.ndarray], k: int) -> float:
+        """Weighted Jaccard similarity of a bag of shingles (values, counts) and an item's."""
+        (x, n), (y, m) = bag, self.bags[k]
+        at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+        same = y[at] == x
+        both = int(np.minimum(n[same], m[at[same]]).sum())
+        return both / (int(n.sum()) + int(m.sum()) - both)
+
     def _whole(self, own: np.ndarray, n: int) -> list[tuple]:
         """A text shorter than the items of n words is one window as a whole; all such items are compared with it."""
-        m, out, bag, fp = n - SHINGLE + 1, [], None, None
+        m, out, bag = n - SHINGLE + 1, [], None
         if len(own) < self.similarity * m:
             return out
-        for k in self.sizes[n]:
-            bag = bag or Counter(own.tolist())
-            both = sum((bag & self.bags[k]).values())
-            alike = both / (len(own) + m - both)
+        for k in self.sizes[n].tolist():
+            bag = bag or np.unique(own, return_counts=True)
+            alike = self._alike(bag, k)
             if alike >= self.similarity:
-                fp = simhash(signs(own).sum(axis=0, keepdims=True))[0] if fp is None else fp
-                out.append((self.ids[k], 0, len(own) + SHINGLE - 1, int(np.bitwise_count(fp ^ self.fps[k])), alike))
+                fp = simhash(signs(own).sum(axis=0, keepdims=True))[0]
+                far = int(np.bitwise_count(fp ^ self.fps[n][np.searchsorted(self.sizes[n], k)]))
+                out.append((self.ids[k], 0, len(own) + SHINGLE - 1, far, alike))
         return out
 
     def _compare(self, own: np.ndarray, starts: np.ndarray, n: int, m: int) -> list[tuple]:
         best: dict[int, tuple] = {}
-        for a in range(0, len(starts), 4096):
-            part = starts[a : a + 4096]
-            if not len(part):
-                continue
+        index, item_fps, numbers = self.blocks[n], self.fps[n], self.sizes[n]
+        for part in np.split(starts, np.flatnonzero(np.diff(starts >> 12)) + 1) if len(starts) else ():
             low = int(part[0])
             sums = np.zeros((int(part[-1]) - low + m + 1, 64), dtype=np.int32)
             np.cumsum(signs(own[low : int(part[-1]) + m]), axis=0, out=sums[1:])
             fps = simhash(sums[part - low + m] - sums[part - low])
-            maybe = np.zeros(len(part), dtype=bool)
-            for b in range(4):
-                maybe |= self.tables[n][b][((fps >> _U64(16 * b)) & _U64(0xFFFF)).astype(np.int64)]
-            for i in np.flatnonzero(maybe).tolist():
-                start, bag = int(part[i]), None
-                for k in self.sizes[n]:
-                    far = int(np.bitwise_count(fps[i] ^ self.fps[k]))
-                    if far > self.radius:
-                        continue
-                    bag = bag or Counter(own[start : start + m].tolist())
-                    both = sum((bag & self.bags[k]).values())
-                    alike = both / (2 * m - both)
+            for start, fp in zip(part.tolist(), fps.tolist()):
+                maybe = index.candidates(fp)
+                far = np.bitwise_count(_U64(fp) ^ item_fps[maybe])
+                inside = np.flatnonzero(far <= self.radius)
+                if not len(inside):
+                    continue
+                bag = np.unique(own[start : start + m], return_counts=True)
+                for i in inside.tolist():
+                    k = int(numbers[maybe[i]])
+                    alike = self._alike(bag, k)
                     if alike >= self.similarity and (k not in best or alike > best[k][4]):
-                        best[k] = (self.ids[k], start, n, far, alike)
+                        best[k] = (self.ids[k], start, n, int(far[i]), alike)
         return list(best.values())
 
 

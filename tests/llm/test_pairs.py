@@ -307,16 +307,40 @@ def brute_whole(words, item):
 
 
 def test_blocks_guarantee_the_radius():
-    """Any fingerprint within the radius passes some block table."""
+    """Every item within the radius of a fingerprint is among its candidates, and most others aren't."""
     import numpy as np
 
     dice = np.random.default_rng(1)
-    for _ in range(200):
-        fp = int(dice.integers(0, 2**63))
-        other = fp
+    fps = dice.integers(0, 2**63, 500).astype(np.uint64)
+    index, many = decontaminate.Blocks(fps, 5, most=20_000), 0
+    for _ in range(400):
+        k, other = int(dice.integers(500)), 0
         for b in dice.choice(64, 20, replace=False):
-            other ^= 1 << int(b)
-        assert any(decontaminate.block_table(fp >> 16 * k & 0xFFFF, 5)[other >> 16 * k & 0xFFFF] for k in range(4))
+            other |= 1 << int(b)
+        fp = int(fps[k]) ^ other
+        found = set(index.candidates(fp).tolist())
+        assert found >= set(np.flatnonzero(np.bitwise_count(fps ^ np.uint64(fp)) <= 20).tolist()) and k in found
+        many += len(found)
+    assert many < 400 * 500 / 2
+
+
+def test_leaks_near_the_bound():
+    """Windows of similarity from 0.8 up, of items of many sizes: the share found is that of the radius."""
+    import random
+
+    dice, hit, total = random.Random(7), 0, 0
+    for turn in range(60):
+        n = dice.choice([30, 40, 60, 100])
+        item = [f"i{turn}w{k}" for k in range(n)]
+        index = decontaminate.Index([(1, " ".join(item))])
+        for _ in range(5):
+            text = list(item)
+            for p in dice.sample(range(n), max(1, n // 40)):
+                text[p] = "other"
+            wanted = brute_leaks([(0, " ".join(["a b c", *text, "d e f"]))], [(1, " ".join(item))])
+            total += len(wanted)
+            hit += len(index.search(" ".join(["a b c", *text, "d e f"]))) if wanted else 0
+    assert total > 150 and hit >= 0.99 * total
 
 
 def test_odd_leaks(spark, odd):
