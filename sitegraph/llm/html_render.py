@@ -7,10 +7,14 @@ paragraphs, headings, lists and tables, list marks and numbers with indents, ali
 
 Not visible: head, script, style, template and the fallbacks of embedded media; elements with ``hidden``, an inline style or
 a simple rule of a style sheet (tag, .class or #id) that says display:none or visibility:hidden; closed dialogs; closed
-details but for their summary; hidden inputs. Since no script runs, noscript is visible. Nothing visible is cut: column
-widths are bounded for alignment alone, longer cells stand as they are.
+details but for their summary; hidden inputs. Since no script runs, noscript is visible. Nothing visible is cut: a column is
+as wide as its longest cell line, however long and deep, and colspan and rowspan count up to their limits in the HTML
+standard (1000 and 65534).
 
-Cost is linear in the page but for padding (at most MAX_WIDTH blanks a cell); nesting deeper than MAX_DEPTH is flattened.
+Elements may be nested to any depth: open elements are found by tag, and the renderer keeps a stack of its own. Cost is linear
+in the page but for the blanks of the layout, which have bounds that no text is lost by: indents stop growing at INDENT columns,
+and where the blanks of a table would be more than sixteen times its text and a million, its widest columns are aligned to
+a lesser width and their longer cells stand as they are.
 
 Edge cases: null and empty pages give an empty text. Pages are rendered one by one, so null and repeated ids are harmless. An
 empty table gives an empty result. Only the two named columns are read.
@@ -29,7 +33,8 @@ from pyspark.sql import functions as F
 from sitegraph.llm.common import pieces
 
 RENDERED = "page_id long, text string, n_lines long, n_tables long, n_items long"
-MAX_DEPTH, MAX_WIDTH, MAX_SPAN = 300, 40, 1000
+INDENT = 400
+WIDEST, TALLEST = 1000, 65_534  # colspan and rowspan at most, by the standard
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes textarea title plaintext".split())
@@ -138,25 +143,37 @@ def build(html: str) -> tuple[Node, list[str]]:
     root.children = [head, body]
     stack, sheets = [root, body], []
     started = False
+    places: dict[str, list[int]] = {}  # where on the stack the open elements of a tag are, from the second on
+
+    def push(node: Node) -> None:
+        places.setdefault(node.tag, []).append(len(stack))
+        stack.append(node)
+
+    def cut(to: int) -> None:
+        while len(stack) > to:
+            places[stack.pop().tag].pop()
+
+    def top(tags) -> int:
+        return max((own[-1] for t in tags if (own := places.get(t))), default=-1)
 
     def within(names, stops) -> int:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in names:
-                return i
-            if stack[i].tag in stops:
-                return -1
-        return -1
+        at = top(names)
+        return at if at >= 0 and at >= top(stops) else -1
 
     def place(item) -> None:
-        top = stack[-1]
-        if top.tag in ("table", "tbody", "thead", "tfoot", "tr") and not (isinstance(item, Node) and item.tag in TABLE_PARTS and (item.tag != "input" or item.attrs.get("type", "").lower() == "hidden")):
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "table":
-                    up = stack[i - 1].children
-                    at = next((k for k in range(len(up) - 1, -1, -1) if up[k] is stack[i]), len(up))
-                    up.insert(at, item)
-                    return
-        top.children.append(item)
+        last = stack[-1]
+        if last.tag in ("table", "tbody", "thead", "tfoot", "tr") and not (isinstance(item, Node) and item.tag in TABLE_PARTS and (item.tag != "input" or item.attrs.get("type", "").lower() == "hidden")):
+            if (i := top(("table",))) > 0:
+                up = stack[i - 1].children
+                at = next((k for k in range(len(up) - 1, -1, -1) if up[k] is stack[i]), len(up))
+                up.insert(at, item)
+                return
+        last.children.append(item)
+
+    def implied(tag: str) -> None:
+        node = Node(tag, {})
+        stack[-1].children.append(node)
+        push(node)
 
     for kind, name, rest in tokens(html):
         if kind == "text":
@@ -166,7 +183,9 @@ def build(html: str) -> tuple[Node, list[str]]:
             elif stack[-1].tag not in ("table", "tbody", "thead", "tfoot", "tr", "colgroup"):
                 stack[-1].children.append(name)
         elif kind == "raw":
-            node = stack.pop() if stack[-1].tag == rest else None
+            node = stack[-1] if stack[-1].tag == rest else None
+            if node is not None:
+                cut(len(stack) - 1)
             if rest == "style":
                 sheets.append(name)
             elif node is not None and rest in ("textarea", "xmp", "plaintext"):
@@ -180,30 +199,30 @@ def build(html: str) -> tuple[Node, list[str]]:
             if name not in IN_HEAD:
                 started = True
             if name in CLOSES_P and (i := within({"p"}, {"table", "td", "th", "caption", "button", "object"})) > 0:
-                del stack[i:]
+                cut(i)
             if name in HEADINGS and stack[-1].tag in HEADINGS:
-                stack.pop()
+                cut(len(stack) - 1)
             if name in ENDS:
                 names, stops = ENDS[name]
                 while (i := within(names, stops)) > 0:
-                    del stack[i:]
+                    cut(i)
             if name in ("td", "th") and stack[-1].tag in ("table", *SECTION):
                 if stack[-1].tag == "table":
-                    _push(stack, Node("tbody", {}))
-                _push(stack, Node("tr", {}))
+                    implied("tbody")
+                implied("tr")
             elif name == "tr" and stack[-1].tag == "table":
-                _push(stack, Node("tbody", {}))
+                implied("tbody")
             node = Node(name, attributes(rest) if rest.strip() else {})
             if name in IN_HEAD and not started and name not in ("noscript", "template"):
                 head.children.append(node)
                 if name in RAW:
-                    stack.append(node)
+                    push(node)
                 continue
             place(node)
             if name == "form" and stack[-1].tag in ("table", *SECTION, "tr"):  # closed at once: cells stay the row's
                 continue
-            if name not in VOID and (len(stack) < MAX_DEPTH or name in RAW) and not (rest.endswith("/") and name in ("path", "circle", "rect", "use", "g", "line")):
-                stack.append(node)
+            if name not in VOID and not (rest.endswith("/") and name in ("path", "circle", "rect", "use", "g", "line")):
+                push(node)
         elif name == "br":
             place(Node("br", {}))
         elif name == "p" and within({"p"}, {"table", "td", "th", "button"}) < 0:
@@ -212,15 +231,10 @@ def build(html: str) -> tuple[Node, list[str]]:
             names = HEADINGS if name in HEADINGS else {name}
             stops = () if name in ("table",) else ("table",) if name in ("tr", "td", "th", "tbody", "thead", "tfoot", "caption") else ("td", "th", "table")
             if (i := within(names, stops)) > 1:
-                del stack[i:]
+                cut(i)
     return root, sheets
 
 
-def _push(stack: list[Node], node: Node) -> None:
-    stack[-1].children.append(node)
-    stack.append(node)
-
-
 def hidden_rules(sheets: list[str]) -> frozenset[str]:
     """Simple selectors whose rules hide."""
     found = set()
@@ -314,7 +328,17 @@ class Renderer:
             return True
         return False
 
-    def walk(self, node: Node, out: Layout, pre: bool = False) -> None:
+    def walk(self, node: Node, out: Layout) -> None:
+        """Lays the element out; each open element is a generator that hands on its children."""
+        open_ = [self._walk(node, out)]
+        while open_:
+            inner = next(open_[-1], None)
+            if inner is None:
+                open_.pop()
+            else:
+                open_.append(inner)
+
+    def _walk(self, node: Node, out: Layout, pre: bool = False) -> Iterator:
         number = 0
         if node.tag == "ol":
             start = node.attrs.get("start", "")
@@ -334,7 +358,7 @@ class Renderer:
                 if child.attrs.get("type", "").lower() in ("submit", "button", "reset") and child.attrs.get("value"):
                     out.text(" " + child.attrs["value"] + " ")
             elif tag == "table":
-                self.table(child, out)
+                yield self._table(child, out)
             elif tag == "li":
                 number += 1
                 value = child.attrs.get("value", "")
@@ -344,8 +368,8 @@ class Renderer:
                 out.end()
                 self.items += 1
                 held, lines = out.indent, len(out.lines)
-                out.first, out.indent = held + mark, held + " " * len(mark)
-                self.walk(child, out, pre)
+                out.first, out.indent = held + mark, (held + " " * len(mark))[:INDENT]
+                yield self._walk(child, out, pre)
                 out.end()
                 out.indent = held
                 if out.first and len(out.lines) == lines:  # an empty item still has its mark
@@ -355,8 +379,8 @@ class Renderer:
             elif tag in ("blockquote", "dd"):
                 (out.space if tag == "blockquote" else out.end)()
                 held = out.indent
-                out.indent = held + "    "
-                self.walk(child, out, pre)
+                out.indent = (held + "    ")[:INDENT]
+                yield self._walk(child, out, pre)
                 out.end()
                 out.indent = held
                 if tag == "blockquote":
@@ -365,12 +389,12 @@ class Renderer:
                 nested = tag in ("ul", "ol", "menu", "dir") and out.indent.endswith("  ")
                 spaced = tag in SPACED and not nested and not (out.first and not out.line)
                 (out.space if spaced else out.end)()
-                self.walk(child, out, pre or tag in ("pre", "textarea", "xmp", "plaintext"))
+                yield self._walk(child, out, pre or tag in ("pre", "textarea", "xmp", "plaintext"))
                 (out.space if tag in SPACED and not nested else out.end)()
             else:
-                self.walk(child, out, pre)
+                yield self._walk(child, out, pre)
 
-    def table(self, node: Node, out: Layout) -> None:
+    def _table(self, node: Node, out: Layout) -> Iterator:
         self.tables += 1
         captions, rows = [], []
 
@@ -394,8 +418,8 @@ class Renderer:
                 while held.get(column, 0) > 0:
                     column += 1
                 inner = Layout()
-                self.walk(cell, inner)
-                wide, tall = (_span(cell.attrs.get(k)) for k in ("colspan", "rowspan"))
+                yield self._walk(cell, inner)
+                wide, tall = _span(cell.attrs.get("colspan"), WIDEST), _span(cell.attrs.get("rowspan"), TALLEST)
                 line.append((column, inner.done()))
                 if tall > 1:
                     taken.update({column + i: tall for i in range(wide)})
@@ -406,25 +430,30 @@ class Renderer:
         width = dict.fromkeys(columns, 0)
         for line in grid:
             for c, text in line:
-                width[c] = max(width[c], min(MAX_WIDTH, max(map(len, text), default=0)))
+                width[c] = max(width[c], max(map(len, text), default=0))
+        tall = sum(max((len(t) for _, t in line), default=0) for line in grid)
+        room = (1 << 20) + 16 * sum(len(x) for line in grid for _, t in line for x in t)
+        wide = max(width.values(), default=0)
+        while tall * sum(min(w, wide) for w in width.values()) > room and wide:
+            wide //= 2
         lines = []
         for line in grid:
             tall = max((len(t) for _, t in line), default=0)
             cells = dict(line)
             last = max(cells, default=-1)
             for i in range(tall):
-                parts = [(cells[c][i] if c in cells and i < len(cells[c]) else "").ljust(width[c]) for c in columns if c <= last]
+                parts = [(cells[c][i] if c in cells and i < len(cells[c]) else "").ljust(min(width[c], wide)) for c in columns if c <= last]
                 lines.append("  ".join(parts).rstrip())
         out.space()
         for caption in captions:
-            self.walk(caption, out)
+            yield self._walk(caption, out)
             out.end()
         out.block([x for x in lines if x])
         out.space()
 
 
-def _span(value: str | None) -> int:
-    return max(1, min(MAX_SPAN, int(value))) if value and re.fullmatch(r"\d{1,6}", value) else 1
+def _span(value: str | None, most: int) -> int:
+    return max(1, min(most, int(value))) if value and re.fullmatch(r"\d{1,6}", value) else 1
 
 
 def render(html: str | None) -> tuple[str, int, int]:
@@ -443,9 +472,6 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -
     names = [x.split()[0] for x in RENDERED.split(", ")]
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import sys
-
-        sys.setrecursionlimit(max(sys.getrecursionlimit(), 20 * MAX_DEPTH))
         for whole in batches:
             for batch in pieces(whole):
                 found = [render(x.as_py()) for x in batch.column(1)]

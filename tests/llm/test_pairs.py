@@ -425,6 +425,65 @@ def test_rendering_of_stray_marks(html, text):
     assert html_render.render(html)[0] == text
 
 
+def test_columns_are_as_wide_as_their_cells():
+    long = "w" * 70
+    rows_ = [("a", "b"), (long, "c"), ("d", "e")]
+    html = "<table>" + "".join(f"<tr><td>{x}<td>{y}" for x, y in rows_) + "</table>"
+    assert html_render.render(html)[0].split("\n") == [f"{x:<70}  {y}" for x, y in rows_]
+    # A table whose blanks would be a thousand times its text: aligned to a lesser width, no text lost.
+    html = "<table>" + "".join(f"<tr><td>{'v' * 100_000 if i == 5 else i}<td>x{i}" for i in range(2000)) + "</table>"
+    text = html_render.render(html)[0]
+    assert text.split() == [w for i in range(2000) for w in ("v" * 100_000 if i == 5 else str(i), f"x{i}")] and len(text) < 10 << 20
+
+
+def test_any_depth_is_kept():
+    deep = 20_000
+    text, _, items = html_render.render("<ul><li>a" * deep + "<p>end")
+    assert items == deep and text.split() == ["-", "a"] * deep + ["end"]
+    assert html_render.render("<div>" * deep + "x<p>y" + "</div>" * deep + "z")[0] == "x\n\ny\n\nz"
+    lines = html_render.render("<blockquote>" * 30 + "x")[0]
+    assert lines == " " * 120 + "x"
+    text = html_render.render("<table><tr><td>a<td>" * 400 + "x")[0]
+    assert text.split() == ["a"] * 400 + ["x"]
+
+
+def words_in_order(html):
+    """Brute force for pages of plain nesting: the words of the page without its tags, in order."""
+    return unescape(re.sub(r"<[^>]*>", " ", html)).split()
+
+
+def test_random_pages_keep_their_words():
+    """Random nests of blocks, inline tags, lists and tables with all ends in place: every word, in order."""
+    import random
+
+    dice = random.Random(13)
+
+    def make(depth, kind="flow"):
+        out = []
+        for _ in range(dice.randint(1, 3)):
+            pick = dice.random()
+            if depth <= 0 or pick < 0.35:
+                out.append(" ".join(f"w{dice.randrange(1000)}" for _ in range(dice.randint(1, 5))) + " ")
+            elif pick < 0.55:
+                tag = dice.choice(["b", "span", "i", "em"])
+                out.append(f"<{tag} title='a b' data-x=it's>{make(0)}</{tag}> ")
+            elif pick < 0.75:
+                tag = dice.choice(["div", "section", "blockquote", "h2", "article"])
+                out.append(f"<{tag}>{make(depth - 1) if tag != 'h2' else make(0)}</{tag}>")
+            elif pick < 0.9:
+                tag = dice.choice(["ul", "ol"])
+                out.append(f"<{tag}>" + "".join(f"<li>{make(depth - 1)}</li>" for _ in range(dice.randint(1, 3))) + f"</{tag}>")
+            else:
+                rows_ = "".join("<tr>" + "".join(f"<td>{make(0)}</td>" for _ in range(2)) + "</tr>" for _ in range(dice.randint(1, 3)))
+                out.append(f"<table><tbody>{rows_}</tbody></table>")
+        return "".join(out)
+
+    for _ in range(200):
+        html = f"<html><body>{make(5)}</body></html>"
+        got = [w for w in html_render.render(html)[0].split() if w[0] == "w"]
+        assert got == words_in_order(html), html
+
+
 def test_rendering_keeps_all_words_and_is_linear():
     import time
 
