@@ -24,10 +24,12 @@ from sitegraph.llm.common import SPACE, mix, pieces, window_hashes
 
 COUNTS = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, "
-    "n_caps long, n_letters long, n_distinct long, n_digits long"
+    "n_caps long, n_letters long, n_distinct long, n_digits long, n_symbol_words long, n_bare_words long, n_marks long, n_stutters long"
 )
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
+_MARK = np.zeros(256, dtype=bool)  # ASCII punctuation
+_MARK[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
 _REPEAT = 8
 
 
@@ -50,6 +52,13 @@ def counts_of(text: str | None) -> tuple[int, ...]:
     words = data.split()
     known: dict[bytes, int] = {}
     ids = np.array([known.setdefault(w, len(known)) for w in words], dtype=np.int64)
+    inner = ~SPACE[raw]
+    starts = np.flatnonzero(inner & ~np.concatenate([[False], inner[:-1]])) if words else np.zeros(0, dtype=np.int64)
+
+    def words_with(kind: np.ndarray) -> int:
+        return int((np.add.reduceat(kind.astype(np.int64), starts) > 0).sum()) if words else 0
+
+    marks = _MARK[raw]
     lines, dup, seen = 0, 0, set()
     for line in data.split(b"\n"):
         if line.strip():
@@ -65,6 +74,7 @@ def counts_of(text: str | None) -> tuple[int, ...]:
     return (
         len(words), points - int(SPACE[raw].sum()), int(_SYMBOL[raw].sum()), dup, repeated_words(ids), lines,
         upper, upper + lower, len(known), digits,
+        words_with(_SYMBOL[raw]), len(words) - words_with(inner & ~marks), int(marks.sum()), int((ids[1:] == ids[:-1]).sum()),
     )
 
 
@@ -94,7 +104,8 @@ def rules() -> dict[str, Column]:
     dup = F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))
     caps = F.col("n_caps") / F.greatest(F.col("n_letters"), F.lit(1))
     variety = F.col("n_distinct") / F.greatest(words, F.lit(1))
-    digits = F.col("n_digits") / F.greatest(F.col("word_chars"), F.lit(1))
+    digits, marks = (F.col(c) / F.greatest(F.col("word_chars"), F.lit(1)) for c in ("n_digits", "n_marks"))
+    signed, bare, stutter = (F.col(c) / F.greatest(words, F.lit(1)) for c in ("n_symbol_words", "n_bare_words", "n_stutters"))
     enough = words >= 40
     return {
         "length": _vote(words.between(50, 50_000), words < 20),
@@ -105,14 +116,19 @@ def rules() -> dict[str, Column]:
         "capitals": _vote((F.col("n_letters") >= 40) & (caps <= 0.15), (F.col("n_letters") >= 40) & (caps > 0.5)),
         "variety": _vote(enough & (words <= 2000) & (variety >= 0.3), enough & (words <= 2000) & (variety < 0.15)),
         "digits": _vote(enough & (digits <= 0.05), digits > 0.3),
+        "symbol_words": _vote(enough & (signed <= 0.03), signed > 0.2),
+        "bare_words": _vote(enough & (bare <= 0.03), bare > 0.1),
+        "marks": _vote(enough & (marks <= 0.1), marks > 0.2),
+        "stutter": _vote(enough & (stutter <= 0.02), stutter > 0.2),
     }
 
 
 def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200, prior: float = 0.85) -> dict:
     """EM over vote patterns and their counts: per rule and class, the probabilities of -1, 0 and +1; the share of good.
 
-    Conditional independence given the class; starting point and Laplace smoothing (one vote each, three in favour of the
-    stated direction) fix which class is "good". Cost depends on the number of patterns alone.
+    Conditional independence given the class; the starting point (one vote against leaves a document good, two make it bad) and
+    Laplace smoothing (one vote each, three in favour of the stated direction) fix which class is "good". Cost depends on the
+    number of patterns alone.
     """
     if not patterns:
         return {"share": prior, "table": np.zeros((2, 0, 3))}
@@ -123,9 +139,7 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200, prior: f
     pseudo[0, :, 0] += 2
     pseudo[1, :, 2] += 2
     hot = np.eye(3)[votes]
-    mean = (votes - 1).sum(axis=1)
-    bad = (votes == 0).sum(axis=1)
-    good = 1 / (1 + np.exp(-(mean - 2.0 * bad)))
+    good = 1 / (1 + np.exp(2.0 * (votes == 0).sum(axis=1) - 3.0))
     share = prior
     for _ in range(rounds):
         part = np.stack([(1 - good) * weight, good * weight])
@@ -151,7 +165,8 @@ def posterior(votes: np.ndarray, model: dict) -> np.ndarray:
 def judge(counted: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The counts with the rules' votes, the posterior and the verdict; EM runs over all of ``counted``.
 
-    The driver gets one row per vote pattern (bounded by 3**8) and gives back a literal map of as many posteriors.
+    The driver gets one row per vote pattern (3**12 at most, 531,441; those that occur are far fewer) and gives back a table of
+    as many posteriors, so that may be broadcast.
     """
     named = rules()
     voted = counted.withColumns({f"vote_{k}": v for k, v in named.items()})
@@ -161,15 +176,11 @@ def judge(counted: DataFrame, threshold: float = 0.5) -> DataFrame:
     seen = [(r["pattern"], r["n"]) for r in coded.groupBy("pattern").agg(F.count("*").alias("n")).collect()]
     votes = {c: tuple(c // 3**i % 3 - 1 for i in range(len(named))) for c, _ in seen}
     model = fit(sorted((votes[c], n) for c, n in seen))
-    if seen:
-        order = sorted(votes)
-        good = posterior(np.array([votes[c] for c in order]), model)
-        table = F.create_map(*[F.lit(x) for c, p in zip(order, good) for x in (c, float(p))])
-        score = table[F.col("pattern")]
-    else:
-        score = F.lit(None).cast("double")
+    order = sorted(votes)
+    good = posterior(np.array([votes[c] for c in order]), model).tolist() if order else []
+    table = counted.sparkSession.createDataFrame(list(zip(order, good)), "pattern int, quality double")
     return (
-        coded.withColumn("quality", score)
+        coded.join(F.broadcast(table), "pattern", "left")
         .withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
         .withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("quality") >= threshold, F.lit(False)))
     )

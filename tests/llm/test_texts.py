@@ -179,6 +179,79 @@ def test_quality(spark, odd):
     assert sum(r["kept"] for r in clean) > len(clean) / 2
 
 
+def plain_votes(text):
+    """The rules' votes, counted from the text without the module's figures."""
+    text = text or ""
+    words = WORD.findall(text)
+    n, chars = max(len(words), 1), "".join(words)
+    size, lines = max(len(chars), 1), [x for x in text.split("\n") if WORD.search(x)]
+    base = plain_counts(text)
+    letters = re.findall("[A-Za-z]", text)
+    symbols, punct = set("#*$%&|<>"), set("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+    enough, short = len(words) >= 40, len(words) <= 2000
+
+    def vote(good, bad):
+        return -1 if bad else 1 if good else 0
+
+    mean, sym, rep = len(chars) / n, base["n_symbols"] / n, base["n_repeat_words"] / n
+    dup, caps = base["n_dup_lines"] / max(len(lines), 1), sum(x.isupper() for x in letters) / max(len(letters), 1)
+    kinds, digits = len(set(words)) / n, len(re.findall("[0-9]", text)) / size
+    signed, bare = sum(bool(set(w) & symbols) for w in words) / n, sum(set(w) <= punct for w in words) / n
+    marks, stutter = sum(c in punct for c in text) / size, sum(a == b for a, b in zip(words, words[1:])) / n
+    return (
+        vote(50 <= len(words) <= 50_000, len(words) < 20), vote(2.5 <= mean <= 10, mean < 2 or mean > 15), vote(sym <= 0.02, sym > 0.15),
+        vote(enough and rep <= 0.1, rep > 0.3), vote(len(lines) >= 3 and dup <= 0.1, dup > 0.3),
+        vote(len(letters) >= 40 and caps <= 0.15, len(letters) >= 40 and caps > 0.5),
+        vote(enough and short and kinds >= 0.3, enough and short and kinds < 0.15), vote(enough and digits <= 0.05, digits > 0.3),
+        vote(enough and signed <= 0.03, signed > 0.2), vote(enough and bare <= 0.03, bare > 0.1),
+        vote(enough and marks <= 0.1, marks > 0.2), vote(enough and stutter <= 0.02, stutter > 0.2),
+    )
+
+
+def plain_em(votes, rounds=200):
+    """Expectation-maximisation document by document, without patterns."""
+    import math
+
+    good, share = [1 / (1 + math.exp(2 * v.count(-1) - 3)) for v in votes], 0.85
+    for _ in range(rounds):
+        share = (sum(good) + 1) / (len(votes) + 2)
+        table = []
+        for c in (0, 1):
+            own = [g if c else 1 - g for g in good]
+            for r in range(len(votes[0])):
+                cells = [1.0 + 2 * (x == (1 if c else -1)) + sum(w for w, v in zip(own, votes) if v[r] == x) for x in (-1, 0, 1)]
+                table.append([x / sum(cells) for x in cells])
+        k = len(votes[0])
+        new = []
+        for v in votes:
+            odds = math.log(share / (1 - share)) + sum(math.log(table[k + r][x + 1] / table[r][x + 1]) for r, x in enumerate(v) if x)
+            new.append(1 / (1 + math.exp(-max(-60.0, min(60.0, odds)))))
+        change = max(abs(a - b) for a, b in zip(good, new))
+        if change < 1e-9:
+            break
+        good = new
+    return new
+
+
+def test_verdicts_equal_a_plain_em(spark, odd):
+    for path in folders(odd):
+        docs = texts(spark, path)
+        quality = plain_em([plain_votes(t) for _, t in docs])
+        wanted = Counter((d, round(q, 5), q >= 0.5 and not plain_counts(t)["base_failed"]) for (d, t), q in zip(docs, quality))
+        found = rows(spark, "op9_quality_rules", path, "doc_id")
+        assert Counter((r["doc_id"], round(r["quality"], 5), r["kept"]) for r in found) == wanted
+
+
+def test_quality_against_labels(spark):
+    """Documents labelled bad go, most of them by the posterior alone; no good one goes but by the base rule."""
+    path = "/root/testdata/sf0.01"
+    label = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{path}/labels.parquet").collect()}
+    found = [r for r in rows(spark, "op9_quality_rules", path, "doc_id") if r["doc_id"] in label and not r["base_failed"]]
+    bad = [r for r in found if label[r["doc_id"]] == 0]
+    assert len(bad) > 20 and sum(r["kept"] for r in bad) <= len(bad) // 20
+    assert all(r["kept"] for r in found if label[r["doc_id"]] == 1)
+
+
 def test_em_learns_which_rules_to_trust():
     import numpy as np
 
