@@ -95,5 +95,20 @@ where a.url is distinct from b.url or a.html is distinct from b.html
 """
 
 
+#: Windows as strings of their words, the least doc_id of each, and the words no window of another document takes away.
+OP5_SQL = """
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as words from documents),
+win as (select doc_id, i, array_to_string(words[i:i + 49], ' ') as k from (select *, unnest(range(1, len(words) - 48)) as i from w where len(words) >= 50)),
+least as (select k, min(doc_id) as f from win group by k),
+gone as (select distinct doc_id, unnest(range(i, i + 50)) as p from win join least using (k) where doc_id > f),
+word as (select doc_id, unnest(words) as word, unnest(range(1, len(words) + 1)) as p from w),
+kept as (
+  select word.doc_id, string_agg(word, ' ' order by word.p) as text, count(*) as n
+  from word left join gone on word.doc_id = gone.doc_id and word.p = gone.p where gone.p is null group by word.doc_id)
+select w.doc_id, cast(len(words) as bigint) as n_words, cast(len(words) - coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(kept.text, '')) as kept_sha256
+from w left join kept on w.doc_id = kept.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc_fixity": OP2_SQL}
+    return {"op2_warc_fixity": OP2_SQL, "op5_substring_dedup": OP5_SQL}

@@ -10,7 +10,8 @@ smaller doc_id; windows are judged on the input.
    segment. The merged sketch overestimates and never underestimates. Its width follows the input up to ``max_bits``; a
    fuller sketch lets more windows through and changes no result.
 2. Exact pass. Only windows estimated repeated are grouped, by 96-bit keys of their words: the least doc_id of each
-   (map-side combined), joined back to the windows (a shuffle join, which adaptive execution splits at hot keys).
+   (map-side combined), joined back to the windows: keys of very many windows by broadcast, the rest by a shuffle. Two
+   different windows share a key with a chance of 2**-96 (names of whole sequences: 2**-128).
    Texts whose whole word sequence is estimated repeated wait: of each class of equal sequences only the first
    document's windows are grouped, the others are removed outright, which changes no result either.
 3. A last scan finishes texts that lose nothing on the spot; only those that a fixed-size filter over the ids of losers lets
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitegraph.llm.common import WordHashes, keep, pieces, window_hashes
+from sitegraph.llm.common import WordHashes, counted_join, keep, pieces, window_hashes
 from sitegraph.llm.simhash_dedup import _place as filter_place
 from sitegraph.llm.simhash_dedup import id_filter
 
@@ -71,8 +72,8 @@ def _row(h1: int) -> int:
 
 def bits_for(characters: int, max_bits: int) -> int:
     """log2 of the width of either row: four counters for each expected minimiser (one in about 36 characters)."""
-    want = max(1 << _SEGMENT, 4 * (characters // 36))
-    return min(want - 1, max_bits // 2).bit_length() if want > 1 << _SEGMENT else _SEGMENT
+    most = max(_SEGMENT, max_bits.bit_length() - 2)  # two rows of 2**bits counters, a bit each
+    return min(most, max(_SEGMENT, (4 * (characters // 36) - 1).bit_length()))
 
 
 def _places(items: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -230,15 +231,16 @@ def remove_repeats(
     passed = keep(spark, probe(docs, bitmap, bits, size))
 
     waiting = passed.where("k1 is null").select("doc_id", "h1", "h2")
-    classes = waiting.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"))
-    named = keep(spark, waiting.join(classes, ["h1", "h2"]))
+    classes = waiting.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    named = keep(spark, counted_join(waiting, keep(spark, classes), ["h1", "h2"], "n"))
     firsts = named.where("doc_id = first").select("doc_id", "h1", "h2").distinct()
     first_ids = context.broadcast(id_filter(firsts.select(F.col("doc_id").alias("id"))))
     of_firsts = probe(docs, bitmap, bits, size, first_ids).dropDuplicates(["doc_id", "h1", "h2"]).join(firsts, ["doc_id", "h1", "h2"], "left_semi")
     windows = _exploded(passed.where("k1 is not null")).unionByName(_exploded(keep(spark, of_firsts)))
 
-    least = windows.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    losers = windows.join(least.drop("last"), ["k1", "k2"]).where("doc_id > first").select("doc_id", "at")
+    least = windows.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
+    least = keep(spark, least.where("first < last").drop("last"))
+    losers = counted_join(windows, least, ["k1", "k2"], "n").where("doc_id > first").select("doc_id", "at")
     tag = F.shiftleft(F.col("h1").bitwiseAND(F.lit(0x7FFFFFF)), 36)
     copies = named.where("doc_id > first").select("doc_id", tag.bitwiseOR(F.lit(_ALL)).alias("at"))
     gone = keep(spark, losers.unionByName(copies).groupBy("doc_id").agg(F.collect_set("at").alias("gone")))

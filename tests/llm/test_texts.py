@@ -7,8 +7,8 @@ from collections import Counter
 
 import pytest
 
-from sitegraph.llm import license_scan, packing, pii, quality_rules, toxicity
-from sitegraph.llm.entry import queries
+from sitegraph.llm import license_scan, packing, pii, quality_rules, substring_dedup, toxicity
+from sitegraph.llm.entry import oracle_sql, queries
 
 from .conftest import SF, texts
 
@@ -96,6 +96,32 @@ def test_substring_dedup(spark, odd):
         same(rows(spark, "op5_substring_dedup", path, "doc_id"), brute_removal(texts(spark, path)))
 
 
+def test_a_passage_in_very_many_documents(spark):
+    """Keys of more than a thousand windows are joined by broadcast; the result is that of brute force."""
+    passage = " ".join(f"p{i}" for i in range(55))
+    docs = [(i, f"own{i} {passage} tail{i} " + " ".join(f"q{i % 7}w{k}" for k in range(60))) for i in range(1100)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    found = substring_dedup.digest(substring_dedup.remove_repeats(spark, frame)).collect()
+    same([r.asDict() for r in found], brute_removal(docs))
+
+
+def test_the_sketch_keeps_its_bound():
+    for characters in (0, 1 << 20, 1 << 34, 1 << 50):
+        bits = substring_dedup.bits_for(characters, 1 << 31)
+        assert bits >= 22 and 2 << bits <= 1 << 31
+    assert substring_dedup.bits_for(36 << 24, 1 << 31) == 26
+
+
+@pytest.mark.parametrize("path", [SF, "/root/testdata/sf0.01"])
+def test_substring_dedup_against_sql(spark, path):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from read_parquet('{path}/documents.parquet')")
+    wanted = Counter(con.sql(oracle_sql()["op5_substring_dedup"]).fetchall())
+    assert Counter(tuple(r) for r in queries()["op5_substring_dedup"](spark, path).collect()) == wanted
+
+
 def test_licenses(spark, odd):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     table = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
