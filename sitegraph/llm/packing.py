@@ -36,11 +36,14 @@ class Encoder:
 
     The same merges run through tiktoken's core where the ranks file of the vocabulary is beside it (about six times
     faster, same ids); texts it refuses, and vocabularies without ranks, go through the library itself. Strings
-    of special tokens that stand in a text are ordinary text.
+    of special tokens that stand in a text are ordinary text, as the description of the vocabulary files loads them
+    (``encode_special_tokens = True``): a text can't end its own document. With ``special`` they become their ids.
     """
 
-    def __init__(self, path: str) -> None:
-        self.path, self.fast, self.slow = path, None, None
+    def __init__(self, path: str, special: bool = False) -> None:
+        self.path, self.special, self.fast, self.slow = path, special, None, None
+        if special:
+            return
         ranks = path.removesuffix(".json") + ".tiktoken"
         try:
             import base64
@@ -61,7 +64,7 @@ class Encoder:
             from tokenizers import Tokenizer
 
             self.slow = Tokenizer.from_file(self.path)
-            self.slow.encode_special_tokens = True
+            self.slow.encode_special_tokens = not self.special
         return self.slow.encode(text, add_special_tokens=False).ids
 
     def __call__(self, text: str) -> list[int]:
@@ -90,6 +93,7 @@ def decompose(
     eos: int = 0,
     tokenizer: str | None = None,
     batch_tokens: int = 65_536,
+    special: bool = False,
 ) -> DataFrame:
     """One row per piece: where it lies in its document, its ids (little-endian unsigned 32-bit), its sequence and batch.
 
@@ -102,7 +106,7 @@ def decompose(
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode = Encoder(tokenizer or default_tokenizer())
+        encode = Encoder(tokenizer or default_tokenizer(), special)
         base = TaskContext.get().partitionId() << 40
         count, open_batch, batches_made = 0, {}, 0
         for batch in batches:

@@ -65,6 +65,19 @@ def test_packing(spark, odd):
         assert len({b for b, _ in batches}) == len(batches) and max(batches.values()) <= 65_536
 
 
+def test_special_strings(spark):
+    """Ordinary text by default, their ids if asked for; all other texts have the ids of the library as it comes."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(packing.default_tokenizer())
+    plain, special = (packing.Encoder(packing.default_tokenizer(), x) for x in (False, True))
+    text = "a<|endoftext|>b"
+    assert special(text) == library.encode(text, add_special_tokens=False).ids == [64, 50256, 65]
+    assert 50256 not in plain(text) and library.decode(plain(text)) == text
+    for _, t in texts(spark, SF):
+        assert plain(t or "") == special(t or "") == library.encode(t or "", add_special_tokens=False).ids
+
+
 def test_packing_survives_hostile_texts():
     encode = packing.Encoder(packing.default_tokenizer())
     for text in (" " * 200_000, "a" * 100_000, "\n" * 50_000, " " * 20_000):
