@@ -81,21 +81,21 @@ def registrable_domain(c: Column | str) -> Column:
     )
 
 
-def same_site(a: Column | str, b: Column | str, subdomains: str = "same-host") -> Column:
-    """Whether two hosts are one site; an empty or missing host is never the same."""
+def same_site(a: Column | str, b: Column | str, subdomains: str = "same-host", registrable=None) -> Column:
+    """Whether two hosts are one site; an empty or missing host is never the same. registrable: another rule for the domain."""
     x, y = (F.regexp_replace(F.lower(F.trim(_col(c))), r"\.+$", "") for c in (a, b))
     if subdomains == "any":
         same = F.lit(True)
     elif subdomains == "same-site":
-        p, q = registrable_domain(x), registrable_domain(y)
+        p, q = (registrable or registrable_domain)(x), (registrable or registrable_domain)(y)
         same = F.when(p.isNull() | q.isNull(), x == y).otherwise(p == q)
     else:
         same = x == y
     return F.coalesce((x != "") & (y != "") & same, F.lit(False))
 
 
-def classify(from_host: Column | str, to_host: Column | str, subdomains: str = "same-host") -> Column:
-    return F.when(same_site(from_host, to_host, subdomains), "internal").otherwise("external")
+def classify(from_host: Column | str, to_host: Column | str, subdomains: str = "same-host", registrable=None) -> Column:
+    return F.when(same_site(from_host, to_host, subdomains, registrable), "internal").otherwise("external")
 
 
 def private_host(c: Column | str) -> Column:
@@ -121,7 +121,7 @@ def url_trap(c: Column | str, depth: int = 20, repeats: int = 3, names: int = 32
     """Too deep a path, one segment too often in it, or too many distinct query names."""
     segments = F.filter(F.split(path(c), "/"), lambda s: s != "")
     most = F.array_max(F.transform(F.array_distinct(segments), lambda s: F.size(F.filter(segments, lambda x: x == s))))
-    keys = F.array_distinct(F.transform(F.filter(F.split(F.substring(search(c), 2, 1 << 20), "&"), lambda p: p != ""), lambda p: F.substring_index(p, "=", 1)))
+    keys = F.array_distinct(F.transform(F.filter(F.split(F.regexp_replace(search(c), r"^\?", ""), "&"), lambda p: p != ""), lambda p: F.substring_index(p, "=", 1)))
     return (F.size(segments) > depth) | F.coalesce(most > repeats, F.lit(False)) | (F.size(keys) > names)
 
 

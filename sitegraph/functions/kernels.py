@@ -69,6 +69,8 @@ base_href = _fn(lambda h, b: html.base_href(h, b or ""), "string", pa.string())
 title = _fn(html.title, "string", pa.string())
 glob = _fn(lambda p, t: p is not None and rules.glob(p, rules.target(t)), "boolean", pa.bool_())
 gunzip = _fn(rules.gunzip, "binary", pa.binary())
+#: Whether an origin's rules (pattern, allow) let a path be asked for.
+robots_verdict = _fn(lambda own, path: rules.verdict([(r["pattern"], r["allow"]) for r in own or ()], path), "boolean", pa.bool_())
 
 
 def extract_links(body: Column, base: Column, o: html.ExtractOptions = html.ExtractOptions()) -> Column:

@@ -97,11 +97,16 @@ def selected(groups: list[dict], agent: str | None) -> list[dict]:
     return [g for g, b in zip(groups, best) if b == top] if top >= 0 else [g for g in groups if "*" in g["agents"]]
 
 
-def allowed(groups: list[dict], path: str | None, agent: str | None) -> bool:
-    hits = [(len(p), a) for g in selected(groups, agent) for a, p in g["rules"] if glob(p, target(path))]
+def verdict(rules: list[tuple[str, bool]], path: str | None) -> bool:
+    """Of the patterns that match, the longest decides, an allowing one on a tie; without any, yes."""
+    hits = [(len(p), a) for p, a in rules if glob(p, target(path))]
     return max(hits)[1] if hits else True
 
 
+def allowed(groups: list[dict], path: str | None, agent: str | None) -> bool:
+    return verdict([(p, a) for g in selected(groups, agent) for a, p in g["rules"]], path)
+
+
 def delay(groups: list[dict], agent: str | None) -> float | None:
     return max((g["delay"] for g in selected(groups, agent) if g["delay"] is not None), default=None)
 

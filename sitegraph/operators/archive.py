@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sitegraph.functions.columns import host as host_of
+from sitegraph.operators.ranking import first_k
 
 ARCHIVE = (
     "url string, body binary, content_type string, charset string, etag string, last_modified string, content_hash string, "
@@ -65,7 +66,8 @@ def claim(frontier: DataFrame, limit: int, now: Column | None = None, exclude_ho
     if exclude_hosts:
         rows = rows.where(~F.col("host").isin(*exclude_hosts))
     if per_host is not None:
-        rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy("host").orderBy("priority", "seq"))).where(F.col("__n") <= per_host).drop("__n")
+        early = first_k(rows.withColumn("__turn", F.struct("priority", "seq")), ["host"], "__turn", per_host)
+        rows = rows.join(early.select(F.explode("firsts").alias("f")).select("f.priority", "f.seq"), ["priority", "seq"], "left_semi")
     return rows.orderBy("priority", "seq").limit(limit)
 
 

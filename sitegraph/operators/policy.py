@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sitegraph.functions import columns as U
 from sitegraph.functions import kernels as K
+from sitegraph.operators.ranking import first_k
 
 #: Endings of files that are no pages.
 NO_PAGE = frozenset(
@@ -34,6 +36,8 @@ class Scope:
     max_url_length: int = 2048
     allow_private_hosts: bool = True
     seed_hosts: tuple[str, ...] = ()
+    #: Another rule for the registrable domain of a host (null: none), where "same-site" asks for it.
+    registrable: Callable[[Column], Column] | None = None
 
 
 def _any(parts: list[Column]) -> Column:
@@ -53,7 +57,7 @@ def verdict(o: Scope, url: str = "to_url", kind: str = "kind", has_region: Colum
     """(reason or null, check_only) of links with columns url, kind, nofollow, region and rel. The first check that hits counts."""
     u = F.col(url)
     host = U.host(u)
-    off_seed = ~_any([U.same_site(F.lit(s), host, o.subdomains) for s in o.seed_hosts]) if o.seed_hosts else F.lit(False)
+    off_seed = ~_any([U.same_site(F.lit(s), host, o.subdomains, o.registrable) for s in o.seed_hosts]) if o.seed_hosts else F.lit(False)
     off = (F.col(kind) == "external") | off_seed
     check = off & F.lit(not o.allow_external and o.check_external)
     out = F.when(~U.scheme(u).isin("http", "https") | (host == ""), "bad-scheme").when(U.utf16_length(u) > o.max_url_length, "too-long")
@@ -100,19 +104,34 @@ def urls_per_path(candidates: DataFrame, order: str, cap: int, counted: DataFram
     else:
         first = first.withColumns({"__old": F.lit(None).cast("boolean"), "__prior": F.lit(0).cast("long")})
     new = F.col("__old").isNull()
-    number = F.sum(F.when(new, 1).otherwise(0)).over(Window.partitionBy("__host", "__path").orderBy("__first").rowsBetween(Window.unboundedPreceding, 0))
-    first = first.withColumn("admitted", ~new | (number + F.coalesce("__prior", F.lit(0)) <= cap))
+    # The first so many new queries of a path pass; a path with very many is thinned in shares first.
+    early = first_k(first.where(new), ["__host", "__path"], "__first", cap)
+    first = first.join(early, ["__host", "__path"], "left")
+    left = cap - F.coalesce("__prior", F.lit(0))
+    last = F.when(left > 0, F.try_element_at("firsts", F.least(left, F.size("firsts")).cast("int")))
+    first = first.withColumn("admitted", ~new | F.coalesce(F.col("__first") <= last, F.lit(False)))
     return rows.join(first.select(*key, "admitted"), list(key)).drop(*key)
 
 
 def soft_duplicates(pages: DataFrame, order: str, threshold: int = 10, counted: DataFrame | None = None) -> DataFrame:
-    """Adds ``soft_dup``: the page's content has been seen more than ``threshold`` times. counted: (content_hash, n) so far."""
-    number = F.row_number().over(Window.partitionBy("content_hash").orderBy(order))
-    rows = pages.withColumn("__n", number)
-    if counted is not None:
-        rows = rows.join(counted.select("content_hash", F.col("n").alias("__prior")), "content_hash", "left")
-        rows = rows.withColumn("__n", F.col("__n") + F.coalesce("__prior", F.lit(0))).drop("__prior")
-    return rows.withColumn("soft_dup", F.col("content_hash").isNotNull() & (F.col("__n") > threshold)).drop("__n")
+    """Adds ``soft_dup``: the page's content has been seen more than ``threshold`` times. counted: (content_hash, n) so far.
+
+    Only contents seen so often in all are looked at; of those the first rows decide. Pages without content are none's copy.
+    """
+    known = pages.where("content_hash is not null")
+    many = known.groupBy("content_hash").agg(F.count("*").alias("__n"))
+    if counted is None:
+        many = many.withColumn("__prior", F.lit(0).cast("long"))
+    else:
+        many = many.join(counted.select("content_hash", F.col("n").alias("__prior")), "content_hash", "left").withColumn("__prior", F.coalesce("__prior", F.lit(0)))
+    many = many.where(F.col("__n") + F.col("__prior") > threshold).drop("__n")
+    early = first_k(known.join(many.select("content_hash"), "content_hash", "left_semi"), ["content_hash"], order, threshold)
+    left = threshold - F.col("__prior")
+    last = F.when(left > 0, F.try_element_at("firsts", F.least(left, F.size("firsts")).cast("int")))
+    cut = many.join(early, "content_hash").select("content_hash", last.alias("__last"), F.lit(True).alias("__hot"))
+    rows = known.join(cut, "content_hash", "left").withColumn("soft_dup", F.coalesce("__hot", F.lit(False)) & F.coalesce(F.col(order) > F.col("__last"), F.lit(True)))
+    rest = pages.where("content_hash is null").withColumn("soft_dup", F.lit(False))
+    return rows.select(*pages.columns, "soft_dup").unionByName(rest)
 
 
 def converged(claimed: DataFrame, fetched: DataFrame) -> DataFrame:
@@ -151,17 +170,16 @@ def agent_groups(rules: DataFrame, agent: str) -> DataFrame:
     return ranked.withColumn("__best", F.max("__fit").over(Window.partitionBy("origin"))).where("__fit = __best").drop("__fit", "__best").dropDuplicates(["origin", "group_no", "rule_no"])
 
 
-def robots_allowed(urls: DataFrame, rules: DataFrame, agent: str, url: str = "url", hint: bool = False) -> DataFrame:
+def robots_allowed(urls: DataFrame, rules: DataFrame, agent: str, url: str = "url") -> DataFrame:
     """Adds ``allowed``: of the patterns that match, the longest counts, an allowing one on a tie; without any, yes.
 
-    Distinct URLs meet their origin's rules in an equi-join; the rule table joins by broadcast only where ``hint`` says that
-    its size has been checked.
+    An origin's rules are one array, and each distinct URL is decided in one call; URLs of origins without rules never meet it.
     """
-    own = agent_groups(rules, agent).where("pattern is not null").select("origin", "allow", "pattern")
+    own = agent_groups(rules, agent).where("pattern is not null")
+    own = own.groupBy("origin").agg(F.collect_list(F.struct("pattern", "allow")).alias("__rules"))
     asked = urls.select(F.col(url).alias("__url")).distinct().withColumns({"origin": U.origin("__url"), "__target": F.concat(U.path("__url"), U.search("__url"))})
-    hits = asked.join(F.broadcast(own) if hint else own, "origin").where(K.glob(F.col("pattern"), F.col("__target")))
-    best = hits.groupBy("__url").agg(F.max_by("allow", F.struct(F.length("pattern"), F.col("allow"))).alias("__allow"))
-    return urls.join(best, urls[url] == best["__url"], "left").withColumn("allowed", F.coalesce("__allow", F.lit(True))).drop("__url", "__allow")
+    told = asked.join(own, "origin").select("__url", K.robots_verdict(F.col("__rules"), F.col("__target")).alias("__allow"))
+    return urls.join(told, urls[url] == told["__url"], "left").withColumn("allowed", F.coalesce("__allow", F.lit(True))).drop("__url", "__allow")
 
 
 def crawl_delays(rules: DataFrame, agent: str, cap_ms: int = 30_000) -> DataFrame:

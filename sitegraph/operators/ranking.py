@@ -1,26 +1,49 @@
-"""A dense rank over all rows without a single task: range partitions, their counts, and ranks within them."""
+"""Places, running sums and first rows without a single task: range partitions and their counts, salted first rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitegraph.session import settled
 
+SALTS = 64
 
-def ranked(rows: DataFrame, order: list[str], name: str = "rank", start: int = 0) -> DataFrame:
-    """Adds ``name``: the row's place (from ``start``) in the order, which must be total.
 
-    The driver sees one count per partition.
+def running(rows: DataFrame, order: list[str], value: Column, name: str, start: int = 0) -> DataFrame:
+    """Adds ``name``: the sum (from ``start``) of a whole-number value over the rows before this one in the order, which must
+    be total. Rows are dealt by ranges of the order; the driver sees one sum per partition.
     """
-    dealt = settled(rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
-    counts = sorted((r["__part"], r["n"]) for r in dealt.groupBy("__part").agg(F.count("*").alias("n")).collect())
+    dealt = settled(rows.withColumn("__value", value.cast("long")).repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    sums = sorted((r["__part"], r["n"]) for r in dealt.groupBy("__part").agg(F.sum("__value").alias("n")).collect())
     base, at = [], start
-    for part, n in counts:
+    for part, n in sums:
         base.append((part, at))
-        at += n
+        at += n or 0
     if not base:
-        return dealt.drop("__part").withColumn(name, F.lit(start).cast("long"))
+        return dealt.drop("__part", "__value").withColumn(name, F.lit(start).cast("long"))
     offsets = F.create_map(*[F.lit(x) for pair in base for x in pair])
-    place = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
-    return dealt.withColumn(name, (offsets[F.col("__part")] + place).cast("long")).drop("__part")
+    before = F.coalesce(F.sum("__value").over(Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return dealt.withColumn(name, (offsets[F.col("__part")] + before).cast("long")).drop("__part", "__value")
+
+
+def ranked(rows: DataFrame, order: list[str], name: str = "rank", start: int = 0) -> DataFrame:
+    """Adds ``name``: the row's place (from ``start``) in the order, which must be total."""
+    return running(rows, order, F.lit(1), name, start)
+
+
+def ranked_within(rows: DataFrame, key: str, order: list[str], name: str = "rank") -> DataFrame:
+    """Adds ``name``: the row's place (from 0) among the rows of its key. Ranges cut through a key of very many rows."""
+    placed = settled(ranked(rows, [key, *order], "__place"))
+    first = placed.groupBy(key).agg(F.min("__place").alias("__first"))
+    return placed.join(first, key).withColumn(name, F.col("__place") - F.col("__first")).drop("__place", "__first")
+
+
+def first_k(rows: DataFrame, keys: list[str], order: str, k: int) -> DataFrame:
+    """(keys, firsts): the orders of each key's first ``k`` rows, rising. A key's rows are thinned in ``SALTS`` shares first, so
+    no task sees more than its share of a hot key, and then at most k of each share."""
+    salted = rows.select(*keys, F.col(order).alias("__order")).withColumn("__salt", F.pmod(F.xxhash64("__order"), F.lit(SALTS)))
+    for by in ([*keys, "__salt"], keys):
+        number = F.row_number().over(Window.partitionBy(*by).orderBy("__order"))
+        salted = salted.withColumn("__n", number).where(F.col("__n") <= k).drop("__n")
+    return salted.groupBy(*keys).agg(F.sort_array(F.collect_list("__order")).alias("firsts"))

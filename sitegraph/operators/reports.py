@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitegraph.operators.ranking import ranked_within
+
 LIMIT, MOST = 100, 1000
 
 
@@ -106,8 +108,7 @@ def merge_counts(a: DataFrame, b: DataFrame, key: str, value: str = "n") -> Data
 
 def politeness(requests: DataFrame, delay_ms: int, host: str = "host", order: str = "seq") -> DataFrame:
     """Adds ``start_ms``: the earliest moment of each request if those of a host keep the delay."""
-    turn = F.row_number().over(Window.partitionBy(host).orderBy(order)) - 1
-    return requests.withColumn("start_ms", turn.cast("long") * delay_ms)
+    return ranked_within(requests, host, [order], "__turn").withColumn("start_ms", F.col("__turn") * delay_ms).drop("__turn")
 
 
 def rates(counted: DataFrame, elapsed_ms: int) -> DataFrame:
@@ -136,8 +137,7 @@ def sitemap_lines(pages: DataFrame) -> DataFrame:
     return sitemap_rows(pages).select("page_seq", F.concat(F.lit("\t<url><loc>"), xml_escape(F.col("loc")), F.lit("</loc>"), mod, F.lit("</url>")).alias("line"))
 
 
-_NAMESPACE = "/".join(("http://www.sitemaps.org", "schemas", "sitemap", "0.9"))
-SITEMAP_HEAD = f"<?xml version='1.0' encoding='utf-8'?>\n<urlset xmlns='{_NAMESPACE}'>\n"
+SITEMAP_HEAD = "<?xml version='1.0' encoding='utf-8'?>\n<urlset xmlns='http://www.sitemaps.org/schemas/sitemap/0.9'>\n"
 SITEMAP_FOOT = "\n</urlset>\n"
 
 
