@@ -87,6 +87,12 @@ def delete_crawl(table: DataFrame, crawl_id: int) -> DataFrame:
     return table.where(F.col("crawl_id") != crawl_id)
 
 
+def cascade(tables: dict[str, DataFrame], uid: str) -> dict[str, DataFrame]:
+    """The tables (crawl, page, link, frontier) without a run and all that hangs on it; the archive isn't among them and stays."""
+    gone = tables["crawl"].where(F.col("uid") == uid).select("crawl_id")
+    return {name: t.join(F.broadcast(gone), "crawl_id", "left_anti") for name, t in tables.items()}
+
+
 def prune(archive: DataFrame, older_than: Column | None = None, host: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(kept, pruned): rows fetched before a time and/or of a host go; at least one filter is asked for."""
     if older_than is None and not host:
@@ -102,13 +108,18 @@ def prune(archive: DataFrame, older_than: Column | None = None, host: str | None
 
 class Store:
     """Named tables under a folder. A commit writes all its tables as new folders and then one manifest row naming them,
-    so readers see all or nothing, a run that dies half-way leaves no trace, and a repeated commit replaces its own."""
+    so readers see all or nothing, a run that dies half-way leaves no trace, and a repeated commit replaces its own.
+
+    ``commit`` replaces the tables it names; those given by ``grow`` get a part more, so a growing table is never rewritten.
+    """
+
+    MANIFEST = "version long, name string, path string, grows boolean"
 
     def __init__(self, spark: SparkSession, folder: str, tenant: str = "_default") -> None:
         self.spark, self.folder, self.tenant = spark, f"{folder.rstrip('/')}/tenant={tenant}", tenant
 
     def _manifests(self) -> DataFrame:
-        return self.spark.read.schema("version long, name string, path string").parquet(f"{self.folder}/manifest")
+        return self.spark.read.schema(self.MANIFEST).parquet(f"{self.folder}/manifest")
 
     def _exists(self, path: str) -> bool:
         where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -120,22 +131,30 @@ class Store:
         return self._manifests().agg({"version": "max"}).head()[0] or 0
 
     def read(self, name: str, schema: str | None = None) -> DataFrame:
-        """The current table, or an empty one of the schema."""
+        """The current table (its last whole version and the parts after it), or an empty one of the schema."""
         if self._exists(f"{self.folder}/manifest"):
-            row = self._manifests().where(F.col("name") == name).orderBy(F.desc("version")).limit(1).collect()
-            if row:
-                return self.spark.read.parquet(f"{self.folder}/{row[0]['path']}")
+            rows = self._manifests().where(F.col("name") == name).orderBy(F.desc("version"), "path").collect()
+            paths = []
+            for r in rows:
+                paths.append(f"{self.folder}/{r['path']}")
+                if not r["grows"]:
+                    break
+            if paths:
+                return self.spark.read.parquet(*paths[::-1])
         if schema is None:
             raise KeyError(name)
         return self.spark.createDataFrame([], schema)
 
-    def commit(self, **tables: DataFrame) -> int:
+    def has(self, name: str) -> bool:
+        return self._exists(f"{self.folder}/manifest") and not self._manifests().where(F.col("name") == name).isEmpty()
+
+    def commit(self, grow: dict[str, DataFrame] | None = None, **tables: DataFrame) -> int:
         version, rows = self.version() + 1, []
-        for name, table in tables.items():
+        for name, table in {**(grow or {}), **tables}.items():
             path = f"data/{name}/{version:08d}-{uuid.uuid4().hex[:8]}"
             table.write.parquet(f"{self.folder}/{path}")
-            rows.append((version, name, path))
-        self.spark.createDataFrame(rows, "version long, name string, path string").coalesce(1).write.mode("append").parquet(f"{self.folder}/manifest")
+            rows.append((version, name, path, name not in tables))
+        self.spark.createDataFrame(rows, self.MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.folder}/manifest")
         return version
 
     def drop(self) -> None:

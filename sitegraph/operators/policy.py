@@ -40,12 +40,12 @@ class Scope:
     registrable: Callable[[Column], Column] | None = None
 
 
-def _any(parts: list[Column]) -> Column:
+def any_of(parts: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, parts, F.lit(False))
 
 
 def _matches(url: Column, words: tuple[str, ...], patterns: tuple[str, ...]) -> Column:
-    return _any([url.contains(w) for w in words if w] + [url.rlike(p) for p in patterns])
+    return any_of([url.contains(w) for w in words if w] + [url.rlike(p) for p in patterns])
 
 
 def document_has_region(page: str = "from_url") -> Column:
@@ -57,7 +57,7 @@ def verdict(o: Scope, url: str = "to_url", kind: str = "kind", has_region: Colum
     """(reason or null, check_only) of links with columns url, kind, nofollow, region and rel. The first check that hits counts."""
     u = F.col(url)
     host = U.host(u)
-    off_seed = ~_any([U.same_site(F.lit(s), host, o.subdomains, o.registrable) for s in o.seed_hosts]) if o.seed_hosts else F.lit(False)
+    off_seed = ~any_of([U.same_site(F.lit(s), host, o.subdomains, o.registrable) for s in o.seed_hosts]) if o.seed_hosts else F.lit(False)
     off = (F.col(kind) == "external") | off_seed
     check = off & F.lit(not o.allow_external and o.check_external)
     out = F.when(~U.scheme(u).isin("http", "https") | (host == ""), "bad-scheme").when(U.utf16_length(u) > o.max_url_length, "too-long")
@@ -66,7 +66,7 @@ def verdict(o: Scope, url: str = "to_url", kind: str = "kind", has_region: Colum
     if not (o.allow_external or o.check_external):
         out = out.when(off, "out-of-scope")
     if o.path_prefix:
-        out = out.when(~off & ~_any([U.path(u).startswith(p) for p in o.path_prefix]), "out-of-scope")
+        out = out.when(~off & ~any_of([U.path(u).startswith(p) for p in o.path_prefix]), "out-of-scope")
     out = out.when(_matches(u, o.exclude, o.exclude_patterns), "excluded")
     if any(o.include) or o.include_patterns:
         out = out.when(~off & ~_matches(u, o.include, o.include_patterns), "excluded")

@@ -166,6 +166,24 @@ def decoded(body: Column, charset: Column) -> Column:
     return F.when(name.isin("ISO-8859-1", "LATIN1", "WINDOWS-1252"), F.decode(body, "ISO-8859-1")).when(name.isin("UTF-16", "UTF-16LE", "UTF-16BE"), F.decode(body, "UTF-16")).otherwise(F.decode(F.to_binary(F.hex(body), F.lit("hex")), "UTF-8"))
 
 
+def page_error(kind: str, message: str, status: str) -> Column:
+    """A page's error as (kind, message, status, retryable), null where there is none. What the transport may get over by
+    asking again can be tried again; kinds that aren't the transport's are ``internal`` and can't."""
+    known, again = ("timeout", "network", "dns", "tls", "aborted", "too-many-redirects", "too-large", "http"), ("timeout", "network", "dns")
+    told = F.when(F.col(kind).isin(*known), F.col(kind)).otherwise("internal")
+    return F.when(F.col(kind).isNotNull(), F.struct(told.alias("kind"), F.coalesce(message, kind).alias("message"), F.col(status).cast("int").alias("status"), told.isin(*again).alias("retryable")))
+
+
+def scrape(pages: DataFrame, html: str = "html") -> DataFrame:
+    """Adds description (of the page's meta tag) and headings (the text of all h1 and h2, in order), without entities decoded."""
+    space = r"[\s\x0B\u00A0\uFEFF]+"
+    tag = F.regexp_extract(html, r"(?i)(<meta[^>]+name=[\"']?description[\"']?[^>]*>)", 1)
+    said = F.trim(F.regexp_extract(tag, r"(?i)content=[\"']([^\"']*)[\"']", 1))
+    parts = F.regexp_extract_all(html, F.lit(r"(?i)<h[12][^>]*>([\s\S]*?)</h[12]>"), 1)
+    texts = F.transform(parts, lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"<[^>]*>", " "), space, " ")))
+    return pages.withColumns({"description": F.when(said != "", said), "headings": F.filter(texts, lambda x: x != "")})
+
+
 def conditional(archive: DataFrame) -> DataFrame:
     """(url, if_none_match, if_modified_since): only where a body is stored to fall back on."""
     return archive.where("body is not null and (etag is not null or last_modified is not null)").select("url", F.col("etag").alias("if_none_match"), F.col("last_modified").alias("if_modified_since"))

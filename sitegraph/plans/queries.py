@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -209,9 +210,11 @@ def x8_titles(spark, sf):
     return _pages(spark, sf).select("page_id", K.title(F.col("html")).alias("title"))
 
 
-@query("select page_id, url as base from pages")
+@query("""select page_id, case page_id % 3 when 0 then regexp_extract(url, '^(https?://[^/?#]+)', 1) || '/b/' when 1 then 'https://cdn.example/x/' else url end as base from pages""")
 def x7_base_href(spark, sf):
-    return _pages(spark, sf).select("page_id", K.base_href(F.col("html"), F.col("url")).alias("base"))
+    kind = F.pmod("page_id", F.lit(3))
+    lead = F.when(kind == 0, "<base target=_top><BASE href=' /b/ '><base href=/c/>").when(kind == 1, '<base href="https://cdn.example/x/">').otherwise("<base href=''>")
+    return _pages(spark, sf).select("page_id", K.base_href(F.concat(lead, "html"), F.col("url")).alias("base"))
 
 
 @query("""select page_id, case page_id % 4 when 0 then true when 1 then true when 2 then false else false end as noindex, page_id % 4 in (0, 2) as nofollow,
@@ -262,10 +265,18 @@ def x3_decode_entities(spark, sf):
     return _inline(spark, rows, "id int, t string").select("id", K.decode_entities(F.col("t")).alias("text"))
 
 
-@query(r"""select page_id, trim(regexp_replace(regexp_extract(html, '<h1>([\s\S]*?)</h1>', 1), '\s+', ' ', 'g')) as h1 from pages where regexp_extract(html, '<h1>([\s\S]*?)</h1>', 1) not like '%&%'""")
-def l11_scrape_headings(spark, sf):
-    raw = F.regexp_extract("html", r"<h1>([\s\S]*?)</h1>", 1)
-    return _pages(spark, sf).where(~raw.contains("&")).select("page_id", K.text_of(raw).alias("h1"))
+_SCRAPED = """s as (select page_id, case when page_id % 3 = 0 then '<META property=x name="Description" content=" page ' || page_id || ' ">' else '' end || html
+  || case when page_id % 2 = 0 then '<h2 class="x">Part <b>' || page_id || '</b> &amp; more</h2><h2> </h2>' else '' end as html from pages)"""
+
+
+@query(rf"""with {_SCRAPED} select page_id, nullif(left(trim(regexp_replace(replace(replace(replace(replace(regexp_extract(html, '<title>([\s\S]*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')), 512), '') as title,
+case when page_id % 3 = 0 then 'page ' || page_id end as description,
+array_to_string(list_filter(list_transform(regexp_extract_all(html, '<h[12][^>]*>([\s\S]*?)</h[12]>', 1), lambda x: trim(regexp_replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))), lambda x: x <> ''), '|') as headings from s""")
+def l11_scrape(spark, sf):
+    lead = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit('<META property=x name="Description" content=" page '), "page_id", F.lit(' ">'))).otherwise("")
+    tail = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit('<h2 class="x">Part <b>'), "page_id", F.lit("</b> &amp; more</h2><h2> </h2>"))).otherwise("")
+    pages = _pages(spark, sf).withColumn("html", F.concat(lead, "html", tail)).withColumn("title", K.title(F.col("html")))
+    return reports.scrape(pages).select("page_id", "title", "description", F.array_join("headings", "|").alias("headings"))
 
 
 # policy
@@ -547,10 +558,19 @@ def m3_edge_replace(spark, sf):
     return archive.replace_links(links.select("crawl_id", "from_url", "to_url"), new, pages).groupBy("from_url", "to_url").agg(F.count("*").alias("n"))
 
 
-@query(f"with {V.RUNS} select crawl_id, count(*) as n from run_a group by 1")
+@query(f"""with {V.RUNS} select 'page' as name, crawl_id, count(*) as n from run_a group by 2 union all select 'crawl', 1, 1 union all select 'frontier', 1, count(*) from run_a
+union all select 'link', 1, (select count(*) from lineitem where l_orderkey % 2 = 1) union all select 'archive', 0, count(*) from run_b""")
 def m8_delete_cascade(spark, sf):
     first, second = V.runs(spark, sf)
-    return archive.delete_crawl(first.unionByName(second), 2).groupBy("crawl_id").agg(F.count("*").alias("n"))
+    odd = F.col("link_seq.l_orderkey") % 2 == 1
+    tables = {
+        "crawl": _inline(spark, [(1, "one"), (2, "two")], "crawl_id int, uid string"), "page": first.unionByName(second),
+        "link": V.web_links(spark, sf).withColumn("crawl_id", F.when(odd, 1).otherwise(2)), "frontier": first.select("crawl_id", "url").unionByName(second.select("crawl_id", "url")),
+    }
+    left = archive.cascade(tables, "two")
+    counts = [t.groupBy("crawl_id").agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "crawl_id", "n") for name, t in left.items()]
+    stays = second.agg(F.count("*").alias("n")).select(F.lit("archive").alias("name"), F.lit(0).alias("crawl_id"), "n")
+    return reduce(DataFrame.unionByName, [*counts, stays])
 
 
 @query("""with h as (select min(regexp_extract(url, '^https?://([^/?#]+)', 1)) as h from pages) select url from pages, h where page_id % 2 = 0 and regexp_extract(url, '^https?://([^/?#]+)', 1) <> h""")
@@ -566,10 +586,22 @@ def m9_prune_age(spark, sf):
 
 
 @query(f"with {_ARCHIVES} select url, etag as if_none_match, last_modified as if_modified_since from o")
-def l7_validators(spark, sf):
+def p15_conditional_headers(spark, sf):
     return reports.conditional(_archives(spark, sf)[0])
 
 
+@query(f"with {_ARCHIVES} select url, etag, last_modified, content_hash, body is not null as has_body from n")
+def l7_validators(spark, sf):
+    return reports.validators(_archives(spark, sf)[1])
+
+
+@query(f"with {_ARCHIVES}, f as (select min(url) as u from o) select url, sha256(body) as body_hash, etag from o join f on url = u")
+def s15_stored_body(spark, sf):
+    stored = _archives(spark, sf)[0]
+    url = stored.agg(F.min("url")).head()[0]
+    return reports.stored_body(stored, url).select(F.lit(url).alias("url"), F.sha2("body", 256).alias("body_hash"), "etag")
+
+
 # traversal
 
 _REACH = f"""with recursive {V.SITE}, reach(id, depth) as (
@@ -676,11 +708,50 @@ def crawl_small_site_reasons(spark, sf):
     return _small_crawl(spark).links.groupBy(F.coalesce("skip_reason", F.lit("followed")).alias("reason")).agg(F.count("*").alias("n"))
 
 
+def _stream(spark: SparkSession, sf: str):
+    schema = V.table(spark, sf, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").load(sf, format="parquet")
+
+
 @query("select event_type as status, count(*) as n, cast(sum(event_id) as bigint) as bytes from events group by event_type")
 def stream_counts(spark, sf):
     """The stream of events, counted as it comes; the result is that of the last trigger."""
-    schema = V.table(spark, sf, "events").schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").load(sf, format="parquet")
-    made = stream.counts(source.select(F.col("event_type").alias("status"), F.col("event_id").alias("size")))
-    made.writeStream.format("memory").queryName("stream_counts").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    return spark.table("stream_counts")
+    made = stream.counts(_stream(spark, sf).select(F.col("event_type").alias("status"), F.col("event_id").alias("size")))
+    return stream.collected(made, "complete")
+
+
+_STREAMED = f"""with {V.FETCH_LOG}"""
+
+
+@query(f"{_STREAMED} select distinct url from fetch_log")
+def stream_first_seen(spark, sf):
+    return stream.collected(stream.first_seen(V.fetch_log(spark, sf, _stream(spark, sf)).select("url")), "append")
+
+
+@query(f"""{_STREAMED}, f as (select host, event_type, bucket, min(seq) as first from fetch_log group by all),
+a as (select *, row_number() over (partition by host, event_type order by first) <= 5 as admitted from f)
+select seq, admitted from fetch_log join a using (host, event_type, bucket)""")
+def stream_admit(spark, sf):
+    made = stream.admit(V.fetch_log(spark, sf, _stream(spark, sf)), 5)
+    return stream.collected(made, "append").select("seq", "admitted")
+
+
+@query(f"{_STREAMED} select count(*) as n, count(distinct url) as n_urls from fetch_log")
+def stream_persist(spark, sf):
+    """Batches written by their number, so that a batch tried twice is there once."""
+    return stream.persisted(V.fetch_log(spark, sf, _stream(spark, sf)).select("seq", "url"), again=True).agg(F.count("*").alias("n"), F.countDistinct("url").alias("n_urls"))
+
+
+@query(f"""{_STREAMED}, h as (select *, row_number() over (partition by url order by seq) as k from fetch_log) select seq, k > 3 as soft_dup from h""")
+def stream_soft_duplicates(spark, sf):
+    made = stream.repeats(V.fetch_log(spark, sf, _stream(spark, sf)).select("seq", F.col("url").alias("content_hash")), 3)
+    return stream.collected(made, "append").select("seq", "soft_dup")
+
+
+@query(f"""{_STREAMED} select seq, cast((row_number() over (partition by host order by seq) - 1) * 250 as bigint) as start_ms from fetch_log""")
+def stream_host_schedule(spark, sf):
+    made = stream.schedule(V.fetch_log(spark, sf, _stream(spark, sf)).select("seq", "host"), 250)
+    return stream.collected(made, "append").select("seq", "start_ms")
+
+
+from sitegraph.plans import site_queries  # noqa: E402, F401 - registers its own

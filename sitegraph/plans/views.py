@@ -67,11 +67,11 @@ run_b as (select * replace (2 as crawl_id, case when page_seq % 7 = 0 then sha25
 )
 
 
-def fetch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A request per event."""
+def fetch_log(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    """A request per event (of the table, or of a stream of it)."""
     bucket = F.floor(F.col("value") / 10).cast("long")
     host = F.concat(F.lit("h"), F.pmod("user_id", F.lit(20)), F.lit(".example"))
-    return table(spark, sf_dir, "events").select(
+    return (table(spark, sf_dir, "events") if events is None else events).select(
         F.col("event_id").alias("seq"), host.alias("host"), F.col("event_type"), F.col("ts"),
         F.concat(F.lit("https://"), host, F.lit("/e/"), F.col("event_type"), F.lit("?v="), bucket).alias("url"),
     )

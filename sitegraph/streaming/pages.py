@@ -6,6 +6,8 @@ tables do; a watermark would change results.
 
 from __future__ import annotations
 
+import atexit
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sitegraph.functions import columns as U
+from sitegraph.session import delete, scratch
 
 
 def counts(pages: DataFrame) -> DataFrame:
@@ -52,3 +55,60 @@ def admit(urls: DataFrame, cap: int) -> DataFrame:
 def persist(pages: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str):
     """Writes each micro-batch by ``write(rows, batch_id)``, which must replace what an earlier try of the batch wrote."""
     return pages.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda rows, n: write(rows, n)).trigger(availableNow=True).start()
+
+
+def repeats(pages: DataFrame, threshold: int) -> DataFrame:
+    """(content_hash, seq, soft_dup): whether a content has come more than ``threshold`` times. State per content is its count."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n = state.get[0] if state.exists else 0
+        for pdf in batches:
+            pdf = pdf.sort_values("seq")
+            number = range(n + 1, n + 1 + len(pdf))
+            n += len(pdf)
+            yield pd.DataFrame({"content_hash": pdf["content_hash"], "seq": pdf["seq"], "soft_dup": [k > threshold for k in number]})
+        state.update((n,))
+
+    return pages.groupBy("content_hash").applyInPandasWithState(step, "content_hash string, seq long, soft_dup boolean", "n long", "append", GroupStateTimeout.NoTimeout)
+
+
+def schedule(requests: DataFrame, delay_ms: int) -> DataFrame:
+    """(host, seq, start_ms): the earliest moment of each request if those of a host keep the delay. State per host is its turn."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n = state.get[0] if state.exists else 0
+        for pdf in batches:
+            pdf = pdf.sort_values("seq")
+            yield pd.DataFrame({"host": pdf["host"], "seq": pdf["seq"], "start_ms": [(n + i) * delay_ms for i in range(len(pdf))]})
+            n += len(pdf)
+        state.update((n,))
+
+    return requests.groupBy("host").applyInPandasWithState(step, "host string, seq long, start_ms long", "n long", "append", GroupStateTimeout.NoTimeout)
+
+
+def collected(made: DataFrame, mode: str) -> DataFrame:
+    """Runs a stream over what is there, and gives its result as a table in the shared folder: all rows appended, or in complete
+    mode those of the last batch."""
+    spark = made.sparkSession
+    path = f"{scratch(spark)}/stream-{uuid.uuid4().hex}"
+    atexit.register(delete, spark, path)
+    writer = made.writeStream.option("checkpointLocation", f"{path}/checkpoint").outputMode(mode).trigger(availableNow=True)
+    if mode == "append":
+        writer.format("parquet").option("path", f"{path}/rows").start().awaitTermination()
+    else:
+        writer.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(f"{path}/rows")).start().awaitTermination()
+    return spark.read.schema(made.schema).parquet(f"{path}/rows")
+
+
+def persisted(pages: DataFrame, again: bool = False) -> DataFrame:
+    """A stream kept by ``persist`` in a folder for each batch. again: every batch is written twice, as a repeated try would."""
+    spark = pages.sparkSession
+    path = f"{scratch(spark)}/stream-{uuid.uuid4().hex}"
+    atexit.register(delete, spark, path)
+
+    def write(rows: DataFrame, batch: int) -> None:
+        for _ in range(2 if again else 1):
+            rows.write.mode("overwrite").parquet(f"{path}/rows/batch-{batch}")
+
+    persist(pages, write, f"{path}/checkpoint").awaitTermination()
+    return spark.read.schema(pages.schema).option("recursiveFileLookup", "true").parquet(f"{path}/rows")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sitegraph.operators import policy
-from sitegraph.plans.crawl import Crawler, Options, crawl
+from sitegraph.plans.crawl import SiteWalk, Options, crawl
 from sitegraph.sources.corpus import CORPUS
 
 S = "http://small.example"
@@ -125,17 +125,17 @@ def test_unchanged_pages_are_read_from_the_archive(spark):
 
 
 def test_a_stopped_crawl_goes_on(spark, site):
-    first = Crawler(spark, site, Options(respect_robots=False, traps=False, max_pages=2))
+    first = SiteWalk(spark, site, Options(respect_robots=False, traps=False, max_pages=2))
     first.run(f"{S}/")
     state = first.state
-    again = Crawler(spark, site, Options(respect_robots=False, traps=False, scope=policy.Scope(seed_hosts=("small.example",))))
+    again = SiteWalk(spark, site, Options(respect_robots=False, traps=False, scope=policy.Scope(seed_hosts=("small.example",))))
     report = again.run(state=state)
     assert [u for u, _ in order(report)] == ["/", "/one", "/two", "/same", "/moved", "/hidden/x", "/r/k/l/k/l/k/l/k"]
 
 
 def test_manual_urls_and_private_hosts(spark, site):
     o = Options(respect_robots=False, max_pages=9, traps=False)
-    report = Crawler(spark, site, o).run(f"{S}/same", manual=[(f"{S}/unlinked", 3), ("http://far.example/x", 0)])
+    report = SiteWalk(spark, site, o).run(f"{S}/same", manual=[(f"{S}/unlinked", 3), ("http://far.example/x", 0)])
     assert [u for u, _ in order(report)] == ["/same", "/unlinked"]
     o = Options(respect_robots=False, scope=policy.Scope(allow_private_hosts=False))
     assert order(crawl(spark, site, "http://localhost/", o)) == []
