@@ -10,9 +10,9 @@ from sitegraph.session import settled
 SALTS = 64
 
 
-def running(rows: DataFrame, order: list[str], value: Column, name: str, start: int = 0) -> DataFrame:
+def running(rows: DataFrame, order: list[str], value: Column, name: str, start: int = 0, end: list[int] | None = None) -> DataFrame:
     """Adds ``name``: the sum (from ``start``) of a whole-number value over the rows before this one in the order, which must
-    be total. Rows are dealt by ranges of the order; the driver sees one sum per partition.
+    be total. Rows are dealt by ranges of the order; the driver sees one sum per partition. The sum after all rows is put in ``end``.
     """
     dealt = settled(rows.withColumn("__value", value.cast("long")).repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
     sums = sorted((r["__part"], r["n"]) for r in dealt.groupBy("__part").agg(F.sum("__value").alias("n")).collect())
@@ -20,6 +20,8 @@ def running(rows: DataFrame, order: list[str], value: Column, name: str, start:
     for part, n in sums:
         base.append((part, at))
         at += n or 0
+    if end is not None:
+        end.append(at)
     if not base:
         return dealt.drop("__part", "__value").withColumn(name, F.lit(start).cast("long"))
     offsets = F.create_map(*[F.lit(x) for pair in base for x in pair])
@@ -27,9 +29,9 @@ def running(rows: DataFrame, order: list[str], value: Column, name: str, start:
     return dealt.withColumn(name, (offsets[F.col("__part")] + before).cast("long")).drop("__part", "__value")
 
 
-def ranked(rows: DataFrame, order: list[str], name: str = "rank", start: int = 0) -> DataFrame:
+def ranked(rows: DataFrame, order: list[str], name: str = "rank", start: int = 0, end: list[int] | None = None) -> DataFrame:
     """Adds ``name``: the row's place (from ``start``) in the order, which must be total."""
-    return running(rows, order, F.lit(1), name, start)
+    return running(rows, order, F.lit(1), name, start, end)
 
 
 def ranked_within(rows: DataFrame, key: str, order: list[str], name: str = "rank") -> DataFrame:

@@ -101,16 +101,24 @@ class Stats:
         self.skipped_by_reason = Counter(base.get("skipped_by_reason", {}))
         self.max_pages, self.now, self.started_at, self.before = max_pages, now, now(), self.done + self.failed
 
-    def add_pages(self, pages: DataFrame) -> None:
+    def add_pages(self, pages: DataFrame) -> int:
+        before = self.done + self.failed
         for r in pages.groupBy("status", "ok").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).collect():
             self.done, self.failed = self.done + r["n"] * r["ok"], self.failed + r["n"] * (not r["ok"])
             self.bytes += r["bytes"] or 0
             if r["status"]:
                 self.by_status[r["status"]] += r["n"]
-
-    def add_links(self, links: DataFrame) -> None:
-        for r in links.where("skip_reason is not null").groupBy("skip_reason").agg(F.count("*").alias("n")).collect():
-            self.skip(r["skip_reason"], r["n"])
+        return self.done + self.failed - before
+
+    def add_links(self, links: DataFrame) -> int:
+        """Counts skips by reason; gives the number of links that are followed."""
+        followed = 0
+        for r in links.groupBy("skip_reason").agg(F.count("*").alias("n")).collect():
+            if r["skip_reason"] is None:
+                followed = r["n"]
+            else:
+                self.skip(r["skip_reason"], r["n"])
+        return followed
 
     def skip(self, reason: str, n: int, size: int = 0) -> None:
         """Skips without an edge count too, and the bytes of pages that turned out to be others'."""
@@ -147,6 +155,7 @@ class State:
         self.seq, self.link_seq, self.done = seq, link_seq, done
         for name, schema in self.TABLES.items():
             setattr(self, name, Parts(spark, tables.get(name), schema))
+        self.waiting = self.pending().count()
 
     @property
     def frontier(self) -> DataFrame:
@@ -190,7 +199,7 @@ class SiteWalk:
         now = time.monotonic()
         if last or now - self._told >= self.o.progress_interval:
             self._told = now
-            shot = self.stats.snapshot(s.pending().count())
+            shot = self.stats.snapshot(s.waiting)
             self._emit("on_progress", shot)
             if self.on_progress is not None:
                 try:
@@ -355,7 +364,10 @@ class SiteWalk:
             narrowed = F.coalesce(o.before_extract(F.col("text")), "text")
             both = F.concat(K.extract_links(F.col("text"), F.col("read.base"), head), K.extract_links(narrowed, F.col("read.base"), body))
             fresh = settled(fresh).withColumn("read", F.col("read").withField("links", F.when(F.col("read").isNotNull(), both)))
-        fresh = policy.soft_duplicates(fresh, "ord", o.soft_dup_threshold, s.seen_hashes())
+        if o.traps:
+            fresh = policy.soft_duplicates(fresh, "ord", o.soft_dup_threshold, s.seen_hashes())
+        else:
+            fresh = fresh.withColumn("soft_dup", F.lit(False))
         nofollow = F.coalesce(F.col("read.nofollow"), F.lit(False)) | F.coalesce(F.col("header.nofollow"), F.lit(False))
         noindex = F.coalesce(F.col("read.noindex"), F.lit(False)) | F.coalesce(F.col("header.noindex"), F.lit(False))
         fresh = settled(fresh.withColumns({"page_nofollow": nofollow, "noindex": noindex}))
@@ -383,8 +395,9 @@ class SiteWalk:
         reason = F.when(F.col("to").isNull(), "bad-scheme").otherwise(reason)
         if not o.follow_canonical:
             reason = F.coalesce(reason, F.when(F.col("rel") == "canonical", F.lit("excluded")))
-        links = settled(links.withColumns({"skip_reason": reason, "check_only": check}))
+        links = links.withColumns({"skip_reason": reason, "check_only": check})
         if o.respect_robots:
+            links = settled(links)
             self._learn_robots(links.where("skip_reason is null").select(F.col("to_url").alias("url")))
             links = policy.robots_allowed(links, self.rules, o.user_agent, "to_url")
             links = links.withColumn("skip_reason", F.coalesce("skip_reason", F.when(~F.col("allowed"), "robots-disallow"))).drop("allowed", "origin")
@@ -425,18 +438,17 @@ class SiteWalk:
         links = links.join(firsts, "to_url", "left")
         new = F.col("skip_reason").isNull() & F.coalesce(F.col("first") == F.col("order"), F.lit(False))
         out = links.withColumn("followed", new).withColumn("skip_reason", F.coalesce("skip_reason", F.when(~new, "duplicate"))).drop("first")
-        waiting = s.pending().count()
-        out = ranked(out, ["order"], "link_seq", s.link_seq)
-        n = out.agg(F.count("*").alias("n"), F.count_if("followed").alias("followed")).head()
-        s.link_seq += n["n"]
-        if waiting + n["followed"] > o.max_queued:
-            out = self._refuse(settled(out), waiting)
-        return settled(out)
-
-    def _refuse(self, links: DataFrame, waiting: int) -> DataFrame:
+        end: list[int] = []
+        out = ranked(out, ["order"], "link_seq", s.link_seq, end)
+        most = end[0] - s.link_seq
+        s.link_seq = end[0]
+        # Only where all links of the round might not find room are they counted by page.
+        return self._refuse(settled(out), s) if s.waiting + most > o.max_queued else out
+
+    def _refuse(self, links: DataFrame, s: State) -> DataFrame:
         """Links that find the queue full are refused, not forgotten: each page taken from the queue makes room for one more.
         The driver sees a count for each page of the round, which are no more than the queue holds."""
-        room, pushed, allowed = self.o.max_queued - waiting, 0, []
+        room, pushed, allowed = self.o.max_queued - s.waiting, 0, []
         for r in links.where("followed").groupBy("ord").agg(F.count("*").alias("n")).orderBy("ord").collect():
             take = max(0, min(r["n"], room + r["ord"] + 1 - pushed))
             pushed += take
@@ -463,7 +475,7 @@ class SiteWalk:
             return "max-bytes"
         if o.max_duration is not None and time.monotonic() - began >= o.max_duration:
             return "max-duration"
-        return "completed" if s.pending().isEmpty() else None
+        return None if s.waiting > 0 else "completed"
 
     def rounds(self, s: State) -> Iterator[tuple[str | None, DataFrame | None]]:
         """Runs the crawl, giving each round's pages as they are done, and at the end (why it stopped, None)."""
@@ -485,7 +497,9 @@ class SiteWalk:
         self._emit("on_page_start", fresh)
         links = self._edges(fresh, s)
         links = self._admit(self._trap(links, s) if o.traps else links, fresh, s)
-        canonical = links.where("rel = 'canonical' and to is not null").groupBy("from_url").agg(F.min_by("to_url", "pos").alias("canonical"))
+        edges = s.links.add(links.select("link_seq", "from_url", "to_url", "raw_href", "kind", "rel", "nofollow", "region", "anchor_text", "followed", "skip_reason", "depth"))
+        followed = self.stats.add_links(edges)
+        canonical = edges.where("rel = 'canonical' and coalesce(skip_reason, '') <> 'bad-scheme'").groupBy("from_url").agg(F.min_by("to_url", "link_seq").alias("canonical"))
         data = F.lit(None).cast("string") if o.on_page is None else o.on_page(fresh)
         pages = fresh.withColumn("data", data).join(canonical.withColumnRenamed("from_url", "url"), "url", "left").select(
             "url", "final_url", "redirects", "status", "ok", "not_modified", "content_type", "charset", "depth", "referrer", "discovered_via", "size", "content_hash", F.col("read.title").alias("title"),
@@ -494,23 +508,23 @@ class SiteWalk:
             F.when(F.col("ok"), F.col("body")).alias("body"),
         )
         pages = s.pages.add(pages)
-        followed = links.where("followed").select(
+        new = edges.where("followed").select(
             F.col("to_url").alias("url"), U.host_port("to_url").alias("host"), (F.col("depth") + 1).alias("depth"), self._priority(F.col("depth") + 1).alias("priority"), (F.col("link_seq") + s.seq).alias("seq"),
             F.col("from_url").alias("referrer"), F.lit("link").alias("discovered_via"), F.lit("pending").alias("status"),
         )
         if o.priority is not None:
-            wanted = o.priority(followed).cast("double")
-            followed = followed.withColumn("priority", F.when(wanted.isNull() | F.isnan(wanted), F.col("depth").cast("double")).otherwise(wanted))
-        s.queued.add(followed)
+            wanted = o.priority(new).cast("double")
+            new = new.withColumn("priority", F.when(wanted.isNull() | F.isnan(wanted), F.col("depth").cast("double")).otherwise(wanted))
+        s.queued.add(new)
         s.finished.add(got.where("dup").select("url").union(fresh.select("url")))
         s.fetched.add(fresh.select(F.explode(F.array_distinct(F.concat(F.array("url", "final_key"), "hops"))).alias("url")).distinct())
-        s.hashes.add(fresh.where("content_hash is not null").groupBy("content_hash").agg(F.count("*").alias("n")))
-        edges = s.links.add(links.select("link_seq", "from_url", "to_url", "raw_href", "kind", "rel", "nofollow", "region", "anchor_text", "followed", "skip_reason", "depth"))
-        s.done += pages.count()
-        self.stats.add_pages(pages)
-        self.stats.add_links(edges)
+        if o.traps:
+            s.hashes.add(fresh.where("content_hash is not null").groupBy("content_hash").agg(F.count("*").alias("n")))
+        many = self.stats.add_pages(pages)
+        s.done += many
         twice = got.where("dup").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("body")), F.lit(0)).alias("bytes")).head()
         self.stats.skip("duplicate", twice["n"], twice["bytes"])
+        s.waiting += followed - many - twice["n"]
         self._emit("on_page_done", pages)
         self._emit("on_page_error", pages.where("error is not null"))
         self._emit("on_link", edges)
@@ -528,7 +542,7 @@ class SiteWalk:
         none = self.spark.createDataFrame([], "link_seq long, from_url string, to_url string, kind string, rel string, followed boolean, skip_reason string")
         pages, links = (x.read() if x.count else y for x, y in ((s.pages, empty), (s.links, none)))
         hosts = {} if not s.pages.count else {r["host"]: r["n"] for r in top_hosts(pages, U.host("url"), TOP_HOSTS).collect()}
-        counts = self.stats.snapshot(s.pending().count(), 0, hosts)
+        counts = self.stats.snapshot(s.waiting, 0, hosts)
         return Report(pages, links, s.frontier, why or "completed", counts)
 
 

@@ -132,7 +132,7 @@ class Handler:
         why = "completed"
 
         def stats() -> str:
-            return json.dumps({**walk.stats.snapshot(state.pending().count()), "places": {"seq": state.seq, "links": state.link_seq, "done": state.done}})
+            return json.dumps({**walk.stats.snapshot(state.waiting), "places": {"seq": state.seq, "links": state.link_seq, "done": state.done}})
 
         try:
             for n, (why, pages) in enumerate(walk.rounds(state)):

@@ -690,7 +690,18 @@ _SITE_ROWS = [
 ]
 
 
+_crawled: dict[str, object] = {}
+
+
 def _small_crawl(spark: SparkSession):
+    """Made once a session: two queries look at it."""
+    key = spark.sparkContext.applicationId
+    if key not in _crawled:
+        _crawled[key] = _new_small_crawl(spark)
+    return _crawled[key]
+
+
+def _new_small_crawl(spark: SparkSession):
     rows = [(f"http://small.example{u}", 200, "text/plain" if u.endswith("txt") else None, None, h, to and f"http://small.example{to}", None, None, None, None, None) for u, (h, to) in _SITE.items()]
     return crawl(spark, _inline(spark, rows, net.CORPUS), "http://small.example", Options(max_depth=5))
 

@@ -5,7 +5,7 @@ corpus: url, status, content_type, charset, body, redirect_to, etag, last_modifi
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CORPUS = (
@@ -30,6 +30,11 @@ def chain_depth(corpus: DataFrame, hops: int = MAX_REDIRECTS) -> int:
     return deepest
 
 
+def kept_hops(redirects: str) -> Column:
+    """Of very long chains the first hops are remembered."""
+    return F.slice(redirects, 1, KEPT_HOPS)
+
+
 def follow_redirects(requests: DataFrame, corpus: DataFrame, hops: int = MAX_REDIRECTS, url: str = "url", depth: int | None = None) -> DataFrame:
     """Adds final_url, redirects (the urls passed) and too_many: a chain of joins on redirect_to, as long as the longest chain.
 
@@ -50,7 +55,7 @@ def follow_redirects(requests: DataFrame, corpus: DataFrame, hops: int = MAX_RED
             }
         ).drop("__from", "__next")
     left = rows.join(moves.select(F.col("__from").alias("final_url"), F.lit(True).alias("too_many")), "final_url", "left")
-    return left.withColumns({"too_many": F.coalesce("too_many", F.lit(False)), "redirects": F.slice("redirects", 1, KEPT_HOPS)})
+    return left.withColumns({"too_many": F.coalesce("too_many", F.lit(False)), "redirects": kept_hops("redirects")})
 
 
 def fetch(requests: DataFrame, corpus: DataFrame, conditional: DataFrame | None = None, depth: int | None = None) -> DataFrame:
