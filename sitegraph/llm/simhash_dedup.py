@@ -166,11 +166,11 @@ def distinct_texts(signed: DataFrame, trees: int, depth: int) -> DataFrame:
     return named.mapInArrow(rows, schema)
 
 
-def placed(members: DataFrame, depth: int, dense: int) -> DataFrame:
-    """(tree, prefix, climb, leaf, n, node, class, fp, sketch): where each text stands in each trie, n: texts of its leaf."""
-    rows = members.select("node", "class", "many", "fp", *MARKS, F.posexplode("prefixes").alias("tree", "prefix"))
+def leaves(texts: DataFrame, depth: int, dense: int) -> DataFrame:
+    """(tree, prefix, climb, leaf, n): the leaf of each prefix in each trie, and how many texts it holds. A written table."""
     up = min(depth, 6)
-    sizes = rows.groupBy("tree", "prefix").agg(F.count("*").alias("n")).withColumn("head", F.shiftright("prefix", up))
+    sizes = texts.select(F.posexplode("prefixes").alias("tree", "prefix")).groupBy("tree", "prefix").agg(F.count("*").alias("n"))
+    sizes = sizes.withColumn("head", F.shiftright("prefix", up))
     sizes, climb = sizes.repartition("tree", "head"), F.lit(0)  # one shuffle serves all windows below
     for k in range(1, up + 1):
         over = Window.partitionBy("tree", "head", F.shiftright("prefix", k))
@@ -178,7 +178,12 @@ def placed(members: DataFrame, depth: int, dense: int) -> DataFrame:
         climb = F.when(F.col(f"n{k}") <= dense, F.lit(k)).otherwise(climb)
     sizes = sizes.withColumn("climb", climb).withColumn("leaf", F.expr("shiftright(prefix, climb)"))
     total = F.sum("n").over(Window.partitionBy("tree", "head", "climb", "leaf"))
-    nodes = keep(members.sparkSession, sizes.select("tree", "prefix", "climb", "leaf", total.alias("n")))
+    return keep(texts.sparkSession, sizes.select("tree", "prefix", "climb", "leaf", total.alias("n")))
+
+
+def placed(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(tree, prefix, climb, leaf, n, node, class, fp, sketch): where each text stands in each trie, n: texts of its leaf."""
+    rows = members.select("node", "class", "many", "fp", *MARKS, F.posexplode("prefixes").alias("tree", "prefix"))
     # About trees * texts / dense nodes: broadcast while they are counted to be few, else joined by a shuffle.
     return rows.join(F.broadcast(nodes) if nodes.count() <= 500_000 else nodes, ["tree", "prefix"])
 
@@ -474,13 +479,14 @@ def joined_texts(
         return pairs.select(F.col("a").alias("node")).union(pairs.where("b is not null").select("b"))
 
     alone = texts.select("node", F.col("node").alias("class"), F.lit(False).alias("many"), "fp", *MARKS, F.slice("prefixes", 1, first_tries).alias("prefixes"))
-    likely = keep(spark, likeliest(parts(placed(alone, depth, dense), dense), radius, low))
+    nodes = leaves(texts, depth, dense)  # for both passes
+    likely = keep(spark, likeliest(parts(placed(alone, nodes), dense), radius, low))
     labels = components(spark, verify(likely, sets_for(ends(likely)), similarity))
     found = labels.select(F.col("id").alias("node"), F.col("label").alias("class"))
     classed = texts.select("node", "fp", *MARKS, "prefixes").join(found, "node", "left")
     classed = keep(spark, classed.withColumn("many", F.col("class").isNotNull()).withColumn("class", F.coalesce("class", "node")))
 
-    opened = keep(spark, open_pairs(meetings(placed(classed, depth, dense), dense), radius, low, per_member))
+    opened = keep(spark, open_pairs(meetings(placed(classed, nodes), dense), radius, low, per_member))
     pairs = keep(spark, opened.where("b is not null").select("a", "b", "ca", "cb").distinct())
     members = opened.where("b is null")
     sets = sets_for(ends(pairs.select("a", "b")).union(members.select("a")))

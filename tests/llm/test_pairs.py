@@ -155,13 +155,13 @@ def test_members_of_parted_nodes_meet(spark):
     texts_ = simhash_dedup.distinct_texts(simhash_dedup.sign(docs), 1, 0).withColumn("node", F.col("first")).withColumn("prefixes", F.array(F.lit(0)))
     classed = texts_.withColumn("class", F.when(F.col("node") < 90, F.lit(0)).otherwise(F.col("node"))).withColumn("many", F.col("node") < 90)
     met = {}
-    for r in simhash_dedup.meetings(simhash_dedup.placed(classed, 0, 20), 20).collect():
+    for r in simhash_dedup.meetings(simhash_dedup.placed(classed, simhash_dedup.leaves(texts_, 0, 20)), 20).collect():
         met.setdefault((r["tree"], r["climb"], r["leaf"], r["salt"]), []).append(r["node"])
     pairs = {(a, b) for own in met.values() for a in own for b in own if a > b}
     assert {(a, b) for a in range(len(rows)) for b in range(a) if a >= 90} <= pairs
     assert max(map(len, met.values())) < 100
     alone = texts_.withColumn("class", F.col("node")).withColumn("many", F.lit(False))
-    placed = simhash_dedup.meetings(simhash_dedup.placed(alone, 0, 20), 20)
+    placed = simhash_dedup.meetings(simhash_dedup.placed(alone, simhash_dedup.leaves(texts_, 0, 20)), 20)
     sets = simhash_dedup.sets_of(docs, texts_.select("node", "first", "h1", "h2"))
     for per_member in (1 << 30, 0):  # all as pairs, all as members
         opened = simhash_dedup.open_pairs(placed, 22, 0.62, per_member)
@@ -219,7 +219,7 @@ def test_large_group_of_copies(spark):
     assert set(got.values()) == {0, 1000}
     texts_ = simhash_dedup.distinct_texts(simhash_dedup.sign(docs), 1, 0)
     alone = texts_.withColumn("class", F.col("node")).withColumn("many", F.lit(False))
-    pairs = simhash_dedup.likeliest(simhash_dedup.parts(simhash_dedup.placed(alone, 0, 64), 64), 22, 0.62).count()
+    pairs = simhash_dedup.likeliest(simhash_dedup.parts(simhash_dedup.placed(alone, simhash_dedup.leaves(texts_, 0, 64)), 64), 22, 0.62).count()
     assert pairs <= len(rows)
 
 
