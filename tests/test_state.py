@@ -19,10 +19,44 @@ def test_commits_are_seen_whole(spark, tmp_path):
     store.commit(a=store.read("a").union(spark.range(2)))
     assert store.version() == 2 and store.read("a").count() == 5 and store.read("b").count() == 1
     assert archive.Store(spark, str(tmp_path), "other").version() == 0
+    store.commit({"a": spark.range(4)}, b=spark.range(2))
+    store.commit({"a": spark.range(1), "c": spark.range(6)})
+    assert store.read("a").count() == 10 and store.read("b").count() == 2 and store.read("c").count() == 6 and store.has("c") and not store.has("d")
     store.drop()
     assert store.version() == 0
 
 
+def test_parts_and_passing_tables(spark):
+    import os
+
+    from sitegraph.session import Parts, passing, settled
+
+    parts = Parts(spark, schema="id long")
+    assert parts.read().count() == 0
+    with passing(spark):
+        first = settled(spark.range(3))
+        assert parts.add(first).count() == 3
+        path = first.inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0]
+        assert os.path.exists(path)
+    assert not os.path.exists(path)
+    parts.add(spark.range(2))
+    assert parts.read().count() == 5 and parts.last.count() == 2
+
+
+def test_ranks_sums_and_first_rows(spark):
+    from sitegraph.operators.ranking import first_k, ranked_within, running
+
+    rows = spark.createDataFrame([(i, "a" if i % 4 else "b", i % 3) for i in range(200)], "i long, k string, v long")
+    end = []
+    got = {r["i"]: r["before"] for r in running(rows, ["i"], F.col("v"), "before", 5, end).collect()}
+    assert got == {i: 5 + sum(j % 3 for j in range(i)) for i in range(200)} and end == [5 + sum(j % 3 for j in range(200))]
+    places = {r["i"]: r["rank"] for r in ranked_within(rows, "k", ["i"]).collect()}
+    assert [places[i] for i in (0, 4, 8)] == [0, 1, 2] and [places[i] for i in (1, 2, 3, 5)] == [0, 1, 2, 3]
+    first = {r["k"]: r["firsts"] for r in first_k(rows, ["k"], "i", 3).collect()}
+    assert first == {"a": [1, 2, 3], "b": [0, 4, 8]}
+    assert running(rows.limit(0), ["i"], F.col("v"), "before").count() == 0
+
+
 def test_frontier_states(spark):
     rows = [(f"u{i}", "h" + str(i % 2), 0, float(i % 2), i, "pending") for i in range(6)]
     f = spark.createDataFrame(rows, "url string, host string, depth int, priority double, seq long, status string").withColumn("ready_at", F.lit(None).cast("timestamp"))
@@ -52,6 +86,15 @@ def test_jobs_resume(spark, tmp_path):
         start_job("x", {"max_pages": "3"})
     with pytest.raises(TypeError):
         start_job([])
+    with pytest.raises(TypeError):
+        start_job("x", {"scope": {"exclude": [1]}})
+    with pytest.raises(KeyError):
+        handler.run(start_job(f"{S}/", {}, "j2", told.append, crawl_uid="unknown"))
+    row = handler.site.crawl("j1")
+    assert row["started_at"] <= row["ended_at"] and handler.site.crawl_by_job("j1")["uid"] == "j1"
+    assert handler.site.table("archive").count() == 4 and handler.site.pages("j1").count() == 4
+    handler.site.delete("j1")
+    assert handler.site.crawl("j1") is None and handler.site.table("page").count() == 0 and handler.site.table("archive").count() == 4
 
 
 def test_streams_equal_batches(spark, tmp_path):
