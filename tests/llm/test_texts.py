@@ -10,7 +10,7 @@ import pytest
 from sitegraph.llm import license_scan, packing, pii, quality_rules, substring_dedup, toxicity
 from sitegraph.llm.entry import oracle_sql, queries
 
-from .conftest import SF, texts
+from .conftest import DOCS, SF, texts
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -546,3 +546,32 @@ def test_scores_equal_plain_sums(spark, odd):
 def test_toxicity_on_odd_rows(spark, odd):
     found = rows(spark, "op4_toxicity", odd, "doc_id")
     assert len(found) == len(texts(spark, odd)) and all(r["score"] is not None for r in found)
+
+
+@pytest.fixture(scope="module")
+def long_texts(spark, tmp_path_factory):
+    """Two texts of two megabytes, near copies of each other (one line, and many lines), and a long page."""
+    path = str(tmp_path_factory.mktemp("long"))
+    words = [f"w{i % 9973}x{i % 641}" for i in range(200_000)]
+    other = [*words[:100_000], "mail a.b@c.example.org MIT licence", *words[100_000:]]
+    rows_ = [(1, " ".join(words)), (2, "\n".join(" ".join(other[i : i + 12]) for i in range(0, len(other), 12))), (3, "short text")]
+    spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows_], DOCS).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (3, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([(1, " ".join(words[500:540]))], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    html = "<table>" + "".join(f"<tr><td>{w}<td>b" for w in words[:40_000]) + "</table>"
+    spark.createDataFrame([(1, "http://a/", html)], "page_id long, url string, html string").write.parquet(f"{path}/pages.parquet")
+    return path
+
+
+def test_texts_of_megabytes(spark, long_texts):
+    got = {n: q(spark, long_texts).collect() for n, q in queries().items() if n != "op2_warc_fixity"}
+    assert sorted((r["doc_id"], r["class_id"]) for r in got["op7_simhash_dedup"]) == [(1, 1), (2, 1), (3, 3)]
+    assert {(r["doc_id"], r["item_id"]) for r in got["op3_decontamination"]} == {(1, 1), (2, 1)}
+    removed = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in got["op5_substring_dedup"]}
+    assert removed == {1: (200_000, 0), 2: (200_004, 200_000), 3: (2, 0)}
+    assert {r["doc_id"]: r["labels"] for r in got["op6_license_scan"]} == {1: "", 2: "mit", 3: ""}
+    assert {r["doc_id"]: r["n_email"] for r in got["op10_pii"]} == {1: 0, 2: 1, 3: 0}
+    assert {r["doc_id"]: r["n_words"] for r in got["op9_quality_rules"]} == {1: 200_000, 2: 200_004, 3: 2}
+    assert len(got["op4_toxicity"]) == 3 and got["op8_html_render"][0]["n_lines"] == 40_000
+    pieces = [r for r in got["op1_packing"] if r["doc_id"] == 1]
+    assert sum(r["length"] for r in pieces) == pieces[0]["doc_tokens"]
