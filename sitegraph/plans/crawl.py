@@ -11,6 +11,7 @@ delivered, and what they would queue is skipped as ``max-pages``.
 
 from __future__ import annotations
 
+import math
 import time
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -179,7 +180,7 @@ class SiteWalk:
         self._stop = self._abort = False
         self.depth = net.chain_depth(corpus)
         self.stats = Stats(options.max_pages)
-        self._told = 0.0
+        self._told = -math.inf  # never yet: the clock may have any start
 
     def abort(self) -> None:
         """Ends the crawl before its next round; outranks ``stop``."""

@@ -139,3 +139,19 @@ def test_manual_urls_and_private_hosts(spark, site):
     assert [u for u, _ in order(report)] == ["/same", "/unlinked"]
     o = Options(respect_robots=False, scope=policy.Scope(allow_private_hosts=False))
     assert order(crawl(spark, site, "http://localhost/", o)) == []
+
+
+def test_first_progress_is_told_whatever_the_clock_shows(spark, site, monkeypatch):
+    """The clock may count from the machine's start: an interval longer than that doesn't swallow the first call."""
+    from sitegraph.plans import crawl as module
+
+    told: list[dict] = []
+    walk = SiteWalk(spark, site, Options(respect_robots=False, progress_interval=3600), on_progress=told.append)
+    state, clock = walk.start(f"{S}/"), iter([5.0, 6.0, 3605.5])
+    monkeypatch.setattr(module.time, "monotonic", lambda: next(clock))
+    walk._progress(state)
+    assert len(told) == 1
+    walk._progress(state)  # a second later: within the interval
+    assert len(told) == 1
+    walk._progress(state)
+    assert len(told) == 2
