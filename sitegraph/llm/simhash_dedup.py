@@ -37,10 +37,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sitegraph.llm.common import WordHashes, counted_join, keep, mix, pieces, window_hashes
+from sitegraph.llm.common import counted_join, keep, mix, pieces, window_hashes
 
 SHINGLE = 5
 BINS = 128
@@ -48,46 +50,101 @@ MARKS = [f"s{k}" for k in range(8)]  # the sketch: 128 half bytes
 SIGNED = f"doc_id long, row long, h1 long, h2 long, fp long, {', '.join(m + ' long' for m in MARKS)}"
 LEAF = ["tree", "climb", "leaf", "salt"]
 _U64 = np.uint64
+PIECE = 2 << 20  # bytes of text (or one text, if longer) whose words are worked on at once
 _BLOOM = 27  # log2 of the bits of the filter over candidate ids
 
 
-def shingles(words: np.ndarray) -> np.ndarray:
-    """The distinct shingles of a word-hash sequence, sorted."""
-    if len(words) == 0:
-        return words
-    return np.unique(window_hashes(words, min(SHINGLE, len(words))))
+def words_of(texts: pa.Array) -> pa.Array:
+    """The words of each text, null where there are none."""
+    trimmed = pc.ascii_trim_whitespace(texts)
+    return pc.ascii_split_whitespace(pc.if_else(pc.equal(trimmed, ""), None, trimmed))
+
+
+def names_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A 128-bit name of each word sequence, as two signed numbers."""
+    joined = pc.fill_null(pc.binary_join(words, " "), "").cast(pa.large_binary())
+    out = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.as_buffer()) for x in joined), dtype="<i8").reshape(-1, 2)
+    return out[:, 0], out[:, 1]
+
+
+def shingles(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of each text, sorted, one text after another, and where each begins (and the last ends)."""
+    n = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = words.flatten().dictionary_encode()
+    known = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False)
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, known), _U64, len(known))[coded.indices.to_numpy()]
+    at = np.concatenate([[0], np.cumsum(n)])
+    whole = np.zeros(len(hashes), dtype=_U64)
+    found = window_hashes(hashes, SHINGLE)
+    whole[: len(found)] = found
+    inside = np.arange(len(hashes)) + SHINGLE <= np.repeat(at[1:], n)  # the others run into the next text
+    for k in np.flatnonzero((n > 0) & (n < SHINGLE)):
+        whole[at[k]], inside[at[k]] = window_hashes(hashes[at[k] : at[k + 1]], int(n[k]))[0], True
+    items, at = whole[inside], np.concatenate([[0], np.cumsum(np.where(n < SHINGLE, n > 0, n - SHINGLE + 1))])
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+        items[a:b].sort()
+    return distinct(items, at)
+
+
+def distinct(items: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted sequences that stand one after another, without their repeats."""
+    new = np.ones(len(items), dtype=bool)
+    new[1:] = items[1:] != items[:-1]
+    new[at[:-1][at[:-1] < at[1:]]] = True
+    return items[new], np.concatenate([[0], np.cumsum(new)])[at]
+
+
+def fingerprints(items: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """64-bit SimHash of each set of hashes (0 of an empty one). Every eighth bit is counted at once: a byte each of a 64-bit
+    sum, over at most 255 hashes; those sums are added up."""
+    out, size = np.zeros(len(at) - 1, dtype=_U64), np.diff(at)
+    full = np.flatnonzero(size)
+    if not len(full):
+        return out
+    many = -(-size[full] // 255)
+    first = np.cumsum(many) - many
+    cuts = np.repeat(at[full], many) + 255 * (np.arange(many.sum()) - np.repeat(first, many))
+    bits = np.empty((len(full), 8, 8), dtype=bool)
+    for k in range(8):
+        lanes = np.add.reduceat(items >> _U64(k) & _U64(0x0101010101010101), cuts).view(np.uint8).reshape(-1, 8)
+        bits[:, :, k] = 2 * np.add.reduceat(lanes, first, axis=0, dtype=np.int64) > size[full, None]
+    out[full] = np.packbits(bits.reshape(-1, 64), axis=1, bitorder="little").view("<u8")[:, 0]
+    return out
 
 
-def fingerprint(items: np.ndarray) -> int:
-    """64-bit SimHash of a set of hashes."""
-    total = np.zeros(64, dtype=np.int64)
-    for a in range(0, len(items), 1 << 16):
-        part = items[a : a + (1 << 16)]
-        total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * total > len(items), bitorder="little").view("<u8")[0])
+def sketches(items: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """One-permutation min-hash of each set: for each of 128 ranges of mixed hashes, four bits of its least member (0: none)."""
+    texts = len(at) - 1
+    mixed = mix(items ^ _U64(0x5851F42D4C957F2D))
+    where = np.repeat(np.arange(texts) * BINS, np.diff(at)) + (mixed >> _U64(57)).astype(np.int64)
+    least, used = np.full(texts * BINS, ~_U64(0)), np.zeros(texts * BINS, dtype=bool)
+    np.minimum.at(least, where, mixed)
+    used[where] = True
+    marks = np.where(used, 1 + (mix(least) % _U64(15)).astype(np.uint8), np.uint8(0))
+    return packed_marks(marks.reshape(texts, BINS)).view("<i8")
 
 
-def sketch(items: np.ndarray) -> np.ndarray:
-    """One-permutation min-hash: for each of 128 ranges of mixed hashes, four bits of its least member (0: none)."""
-    out = np.zeros(BINS, dtype=np.uint8)
-    mixed = np.sort(mix(items ^ _U64(0x5851F42D4C957F2D)))
-    bins, at = np.unique((mixed >> _U64(57)).astype(np.int64), return_index=True)
-    out[bins] = 1 + (mix(mixed[at]) % _U64(15)).astype(np.uint8)
-    return (out[::2] | out[1::2] << 4).view("<i8")
+def packed_marks(marks: np.ndarray) -> np.ndarray:
+    """Sketches given as rows of 128 marks, as rows of eight words of sixteen half bytes."""
+    return np.ascontiguousarray(marks[:, ::2] | marks[:, 1::2] << 4).view("<u8")
 
 
-def marks_of(columns: list[np.ndarray]) -> np.ndarray:
-    """The sketches' 128 marks, a row a text, from the eight packed columns."""
-    packed = np.ascontiguousarray(np.stack(columns, axis=1)).view(np.uint8)
-    out = np.empty((len(packed), BINS), dtype=np.uint8)
-    out[:, ::2], out[:, 1::2] = packed & 15, packed >> 4
-    return out
+def filled(words: np.ndarray) -> np.ndarray:
+    """The lowest bit of each half byte that isn't zero."""
+    words = words | words >> _U64(1)
+    return (words | words >> _U64(2)) & _U64(0x1111111111111111)
+
+
+def counted(words: np.ndarray) -> np.ndarray:
+    """The bits that are set in each row of four or eight words, at most 255: the bytes of counts are summed by one product."""
+    many = np.bitwise_count(words).view(f"<u{words.shape[1]}")[:, 0].astype(_U64)
+    return ((many * _U64(0x0101010101010101) >> _U64(8 * words.shape[1] - 8)) & _U64(255)).astype(np.int64)
 
 
 def estimate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Similarity of sketches, row by row: agreeing ranges, less those that agree by chance (one in 15)."""
-    both = ((x == y) & (x > 0)).sum(axis=1)
-    used = np.maximum(((x | y) > 0).sum(axis=1), 1)
+    """Similarity of packed sketches, row by row: agreeing ranges, less those that agree by chance (one in 15)."""
+    fx, fy = filled(x), filled(y)
+    both, used = counted(fx & fy & ~filled(x ^ y)), np.maximum(counted(fx | fy), 1)
     return (both / used - 1 / 15) * (15 / 14)
 
 
@@ -109,37 +166,20 @@ def _orders(trees: int, depth: int) -> np.ndarray:
     return np.stack([dice.permutation(64)[:depth] for _ in range(trees)]) if depth else np.zeros((trees, 0), dtype=np.int64)
 
 
-def name_of(split: list[bytes]) -> tuple[int, int]:
-    """A 128-bit name of a word sequence, as two signed numbers."""
-    import xxhash
-
-    a, b = np.frombuffer(xxhash.xxh3_128_digest(b" ".join(split)), dtype="<i8")
-    return int(a), int(b)
-
-
 def sign(docs: DataFrame) -> DataFrame:
     """SIGNED: name, fingerprint and sketch of each text; the fingerprint is null where there is no word or no doc_id."""
     names = [x.split()[0] for x in SIGNED.split(", ")]
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, none = WordHashes(), np.zeros(8, dtype=np.int64)
         for whole in batches:
-            for batch in pieces(whole):
-                named, fps, marks = [], [], []
-                for doc, text in zip(batch.column(0), batch.column(1)):
-                    split = (text.as_py() or "").encode().split()
-                    named.append(name_of(split))
-                    if doc.is_valid and split:
-                        items = shingles(hashes(split))
-                        fps.append(fingerprint(items))
-                        marks.append(sketch(items))
-                    else:
-                        fps.append(None)
-                        marks.append(none)
-                h1, h2 = zip(*named) if named else ((), ())
-                fp = pa.array([None if x is None else x - (1 << 64) * (x >> 63) for x in fps], pa.int64())
-                table = np.stack(marks) if marks else np.zeros((0, 8), dtype=np.int64)
-                columns = [batch.column(0), batch.column(2), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), fp, *(pa.array(table[:, k]) for k in range(8))]
+            for batch in pieces(whole, PIECE):
+                words = words_of(batch.column(1))
+                h1, h2 = names_of(words)
+                items, at = shingles(words)
+                bare = (at[:-1] == at[1:]) | batch.column(0).is_null().to_numpy(zero_copy_only=False)
+                fp = pa.array(fingerprints(items, at).view("<i8"), mask=bare)
+                marks = np.where(bare[:, None], 0, sketches(items, at))
+                columns = [batch.column(0), batch.column(2), pa.array(h1), pa.array(h2), fp, *(pa.array(marks[:, k]) for k in range(8))]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return docs.select("doc_id", "text", F.xxhash64("text").alias("row")).mapInArrow(rows, SIGNED)
@@ -242,20 +282,39 @@ def dealt(rows: DataFrame) -> DataFrame:
 
 
 def near_pairs(fp: np.ndarray, marks: np.ndarray, label: np.ndarray, radius: int, low: float) -> Iterator[tuple[np.ndarray, ...]]:
-    """(row, smaller row, estimated similarity) of a leaf's pairs of different labels, some thousand rows' pairs at a time."""
+    """(row, smaller row, estimated similarity) of a leaf's pairs of different labels, some thousand rows' pairs at a time.
+
+    Fingerprints are compared in strips that stay in a core's cache. Of the pairs within the radius, those whose first half of the
+    sketches rules the estimate out, even if all the rest agreed, go first.
+    """
     n = len(fp)
-    step = max(1, (1 << 20) // max(n, 1))
+    words = packed_marks(marks) if marks.dtype == np.uint8 else marks
+    head, fill = np.ascontiguousarray(words[:, :4]), filled(words)
+    many, rest = counted(fill), counted(np.ascontiguousarray(fill[:, 4:]))
+    share = low * 14 / 15 + 1 / 15 - 1e-9  # agreeing ranges of those used that the estimate needs
+    step = max(1, (1 << 15) // max(n, 1))
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
     for at in range(1, n, step):
         stop = min(n, at + step)
-        near = np.bitwise_count(fp[at:stop, None] ^ fp[None, :stop]) <= radius
-        near &= label[at:stop, None] != label[None, :stop]
-        i, j = np.nonzero(near)
+        near = np.flatnonzero(np.bitwise_count(fp[at:stop, None] ^ fp[None, :stop]) <= radius)
+        i = near // stop
+        j = near - i * stop
         i += at
-        before = j < i
-        i, j = i[before], j[before]
-        for k in range(0, len(i), 1 << 16):
-            x, y = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
-            guess = estimate(marks[x], marks[y])
+        ok = (j < i) & (label[i] != label[j])
+        held.append((i[ok], j[ok]))
+        size += len(held[-1][0])
+        if size < 1 << 14 and stop < n:
+            continue
+        i, j = (np.concatenate(x) for x in zip(*held))
+        held, size = [], 0
+        for k in range(0, len(i), 1 << 14):
+            x, y = i[k : k + (1 << 14)], j[k : k + (1 << 14)]
+            hx, hy = np.take(head, x, axis=0), np.take(head, y, axis=0)
+            both = counted(filled(hx) & ~filled(hx ^ hy))
+            ok = both + np.minimum(rest[x], rest[y]) >= share * np.maximum(many[x], many[y])
+            x, y = x[ok], y[ok]
+            guess = estimate(words[x], words[y])
             ok = guess >= low
             if ok.any():
                 yield x[ok], y[ok], guess[ok]
@@ -263,7 +322,7 @@ def near_pairs(fp: np.ndarray, marks: np.ndarray, label: np.ndarray, radius: int
 
 def _leaf(table: pa.Table) -> tuple[np.ndarray, ...]:
     fp = table["fp"].to_numpy().view(_U64)
-    return table["node"].to_numpy(), table["class"].to_numpy(), fp, marks_of([table[m].to_numpy() for m in MARKS])
+    return table["node"].to_numpy(), table["class"].to_numpy(), fp, np.stack([table[m].to_numpy() for m in MARKS], axis=1).view(_U64)
 
 
 def likeliest(rows: DataFrame, radius: int, low: float) -> DataFrame:
@@ -345,19 +404,17 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     bits = docs.sparkSession.sparkContext.broadcast(id_filter(wanted.select(F.col("first").alias("id"))))
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, bitmap = WordHashes(), bits.value
+        bitmap = bits.value
         for whole in batches:
             place = whole.column(2).to_numpy() - 1
             inside = whole.filter(pa.array((bitmap[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)))
-            for batch in pieces(inside):
-                named, items = [], []
-                for text in batch.column(1):
-                    split = (text.as_py() or "").encode().split()
-                    named.append(name_of(split))
-                    items.append(np.unique((shingles(hashes(split)) >> _U64(32)).astype("<u4")).tobytes())
-                h1, h2 = zip(*named) if named else ((), ())
-                columns = [batch.column(0), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(items, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["first", "h1", "h2", "items"])
+            for batch in pieces(inside, PIECE):
+                words = words_of(batch.column(1))
+                h1, h2 = names_of(words)
+                items, at = shingles(words)
+                items, at = distinct((items >> _U64(32)).astype("<u4"), at)
+                sets = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((4 * at).astype(np.int32)), pa.py_buffer(items)])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h1), pa.array(h2), sets], names=["first", "h1", "h2", "items"])
 
     named = docs.where("doc_id is not null").select("doc_id", "text", _place("doc_id").alias("place"))
     found = named.mapInArrow(rows, "first long, h1 long, h2 long, items binary")
