@@ -30,10 +30,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitegraph.llm.common import mix, pieces, window_hashes
+from sitegraph.llm.simhash_dedup import words_of
 
 SHINGLE = 5
 FOUND = "doc_id long, item_id long, start_word long, n_words long, hamming int, similarity double"
@@ -67,6 +69,20 @@ class Words:
         found = np.array(out, dtype=_U64)
         return found[found != 0]
 
+    def of_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The words' hashes of all texts, one text after another, and where each begins (and the last ends): each distinct word
+        of the batch is hashed once."""
+        import xxhash
+
+        words = words_of(texts)
+        n = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = words.flatten().dictionary_encode()
+        cores = (w.lower().encode().strip(_ENDS) for w in coded.dictionary.to_pylist())
+        hashes = np.fromiter((xxhash.xxh3_64_intdigest(c) | 1 if c else 0 for c in cores), _U64, len(coded.dictionary))
+        found = hashes[coded.indices.to_numpy()]
+        real = found != 0
+        return found[real], np.concatenate([[0], np.cumsum(real)])[np.concatenate([[0], np.cumsum(n)])]
+
 
 def simhash(counts: np.ndarray) -> np.ndarray:
     """Fingerprints from rows of signed sums (one per bit)."""
@@ -149,15 +165,34 @@ class Index:
             self._build()
         if not text or not self.ids:
             return []
-        words = self.words(text)
-        if len(words) < SHINGLE:
-            return []
-        own = window_hashes(words, SHINGLE)
+        return self._search(self.words(text))
+
+    def search_all(self, texts: pa.Array) -> list[list[tuple[int | None, int, int, int, float]]]:
+        """``search`` of each text: a batch's shingles are looked up together, and only texts that hold one are searched."""
+        if not self._ready:
+            self._build()
+        out: list[list[tuple]] = [[] for _ in range(len(texts))]
+        if not len(texts) or not self.ids:
+            return out
+        words, at = self.words.of_batch(texts)
+        places, _ = self._held(window_hashes(words, SHINGLE))  # those that run into the next text are sorted out below
+        for i in np.unique(np.searchsorted(at, places, side="right") - 1).tolist():
+            out[i] = self._search(words[at[i] : at[i + 1]])
+        return out
+
+    def _held(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the benchmark's shingles stand, and which they are."""
         hits = np.flatnonzero(self.bitmap[own & _U64((1 << _BITS) - 1)])
         at = np.minimum(np.searchsorted(self.shingles, own[hits]), len(self.shingles) - 1)
         real = self.shingles[at] == own[hits]
+        return hits[real], at[real]
+
+    def _search(self, words: np.ndarray) -> list[tuple[int | None, int, int, int, float]]:
+        if len(words) < SHINGLE:
+            return []
+        own = window_hashes(words, SHINGLE)
         near: dict[int, list[int]] = {}
-        for p, k in zip(hits[real].tolist(), at[real].tolist()):
+        for p, k in zip(*(x.tolist() for x in self._held(own))):
             for n in self.holders[self.begins[k] : self.ends[k]].tolist():
                 near.setdefault(n, []).append(p)
         found = []
@@ -244,8 +279,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, radius: int = 20, similarity: f
         def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = Index(shared.value, radius, similarity)
             for whole in batches:
-                for batch in pieces(whole):
-                    out = [(doc.as_py(), *f) for doc, text in zip(batch.column(0), batch.column(1)) for f in index.search(text.as_py())]
+                for batch in pieces(whole, 4 << 20):
+                    out = [(doc.as_py(), *f) for doc, found in zip(batch.column(0), index.search_all(batch.column(1))) for f in found]
                     columns = list(zip(*out)) if out else [()] * len(names)
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
@@ -266,8 +301,8 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, radius: int = 20, similari
         def rows(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = Index(shared.value, radius, similarity)
             for whole in batches:
-                for batch in pieces(whole):
-                    yield batch.filter(pa.array([not index.search(x.as_py()) for x in batch.column(text_col)], pa.bool_()))
+                for batch in pieces(whole, 4 << 20):
+                    yield batch.filter(pa.array([not x for x in index.search_all(batch.column(text_col))], pa.bool_()))
 
         docs = docs.mapInArrow(rows, docs.schema)
     return docs

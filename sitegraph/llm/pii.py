@@ -8,7 +8,9 @@ a class, so decoding needs a class number per word.
 
 A line is one chain, however long. Words that are outside any entity on every best path (any other label there loses against
 putting the words round it outside too, whatever labels stand farther off) are settled at once; what remains between them is
-decoded by Viterbi in numpy batches, with the settled words as its ends. This is the best path of the whole line.
+decoded by Viterbi in numpy batches, with the settled words as its ends. This is the best path of the whole line. Words amid
+plain lower-case ones are settled by their classes alone, before any scores are reckoned; plain words (letters, perhaps a
+closing mark, no cue) get their class by form, from flat arrays of a batch's characters.
 
 Base patterns (email, ip, card, phone) are matched leftmost and non-overlapping per kind over the whole text; matches that
 fail their test are dropped without another try. The field's spans are added where they overlap no base span.
@@ -118,6 +120,60 @@ def features(word: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
     return tuple(own), (f"coarse={coarse}{ends}", "cue=" + cue)
 
 
+#: Words of every plain form: letters in lower case, or after one capital, and at most one mark, which closes them.
+PLAIN = [w + end for w in ("zz", "Zz") for end in ("", ".", ",", "!")]
+_LOW, _CAPITAL, _END, _OTHER = 1, 2, 4, 8  # what a character is; white space is 0
+_ENDS = {**dict.fromkeys(".;", 1), ",": 2, **dict.fromkeys("!?#$%&*|", 3)}
+_WHAT = np.array(
+    [
+        0 if c.isspace() else _LOW if c.isalpha() and c.islower() else _CAPITAL if c.isalpha() and c.isupper() else _END if c in _ENDS else _OTHER
+        for c in map(chr, range(256))
+    ],
+    dtype=np.uint8,
+)
+_WHICH_END = np.array([_ENDS.get(chr(c), 0) for c in range(256)], dtype=np.int8)
+_LOWERED = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], dtype=np.int64)
+_WIDE_SPACE = np.array([c for c in range(256, 0x3100) if chr(c).isspace()], dtype=np.uint32)
+#: By a word's first two letters: a bit for the number of letters of each cue word that begins so.
+_CUE_SIZES = np.zeros(1 << 16, dtype=np.uint32)
+for _cue in (c.rstrip(".:").encode() for c in CUES):
+    if len(_cue):
+        _CUE_SIZES[_cue[0] << 8 | (_cue[1] if len(_cue) > 1 else 0)] |= 1 << len(_cue)
+
+
+class Flat:
+    """The words of texts joined by line ends, as flat arrays: begins and ends in ``joined``, the number of each word's line,
+    and its form: a number in PLAIN, or -1 for words (cue words among them) whose features must be looked at."""
+
+    def __init__(self, texts: list[str]) -> None:
+        self.joined = "\n".join(texts)
+        try:
+            codes = np.frombuffer(self.joined.encode("latin-1"), dtype=np.uint8)
+            what, breaks = _WHAT[codes], codes == 10
+        except UnicodeEncodeError:
+            wide = np.frombuffer(self.joined.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+            codes, breaks = wide.astype(np.uint8), wide == 10
+            what = np.where(wide < 256, _WHAT[codes], np.where(np.isin(wide, _WIDE_SPACE), 0, _OTHER)).astype(np.uint8)
+        inside = np.concatenate([[False], what > 0, [False]])
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        self.begins, self.ends = edges[::2], edges[1::2]
+        line = np.cumsum(breaks, dtype=np.int32)
+        self.line = line[self.begins].astype(np.int64)
+        if not len(self.begins):
+            self.form = np.zeros(0, dtype=np.int64)
+            return
+        final, lead = self.ends - 1, codes[self.begins]
+        capital, closed = what[self.begins] == _CAPITAL, what[final] == _END
+        end = np.where(closed, _WHICH_END[codes[final]], 0)
+        what[self.begins[capital]] = _LOW
+        what[final[closed]] = 0
+        size = self.ends - self.begins - closed
+        second = np.where(size > 1, codes[np.minimum(self.begins + 1, len(codes) - 1)], 0)
+        cue = _CUE_SIZES[_LOWERED[lead] << 8 | _LOWERED[second]] >> np.minimum(size, 31).astype(np.uint32) & 1
+        plain = (np.bitwise_or.reduceat(what, self.begins) == _LOW) & (size < 20) & (size > capital) & (cue == 0)
+        self.form = np.where(plain, 4 * capital + end, -1).astype(np.int64)
+
+
 class Field:
     """A trained field: labels, weights of features and of label pairs."""
 
@@ -126,6 +182,7 @@ class Field:
         self._classes: dict[tuple, int] = {}
         self._known: dict[str, int] = {}
         self._own: list[np.ndarray] = []
+        self._calm: np.ndarray | None = None
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k[0] != "_"}
@@ -142,7 +199,7 @@ class Field:
         known = self._known
         if len(known) > 500_000:
             known.clear()
-        out = [known.get(w) for w in words]
+        out = list(map(known.get, words))
         if None in out:
             for i, c in enumerate(out):
                 if c is None and (c := known.get(words[i])) is None:
@@ -156,39 +213,75 @@ class Field:
                 out[i] = c
         return np.array(out, dtype=np.int64)
 
-    def emissions(self, classes: np.ndarray, line: np.ndarray) -> np.ndarray:
-        """Scores (words x labels); line: the number of each word's line, over whose ends no neighbour counts."""
+    def flat_classes(self, flat: Flat) -> np.ndarray:
+        """The class of each word of a batch: plain words get theirs by form, only the others are looked at one by one."""
+        of_form = self.classes(PLAIN)
+        out = of_form[np.maximum(flat.form, 0)]
+        rest = np.flatnonzero(flat.form < 0)
+        joined = flat.joined
+        out[rest] = self.classes([joined[a:b] for a, b in zip(flat.begins[rest].tolist(), flat.ends[rest].tolist())])
+        return out
+
+    def emissions(self, classes: np.ndarray, line: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+        """Scores (words x labels), of the words ``at`` alone if given; line: the number of each word's line, over whose ends
+        no neighbour counts."""
         table = np.stack(self._own)
-        out = table[classes, 0]
+        at = np.arange(len(classes)) if at is None else at
+        out = table[classes[at], 0]
         for k, shift in enumerate(NEAR, 1):
-            to, of = (slice(-shift, None), slice(None, shift)) if shift < 0 else (slice(None, -shift), slice(shift, None))
-            same = np.flatnonzero(line[to] == line[of])
+            of = np.clip(at + shift, 0, len(classes) - 1)
+            same = np.flatnonzero((line[of] == line[at]) & (of == at + shift))
             lent = np.ascontiguousarray(table[:, k])
-            used = lent[classes[of][same]]
-            out[to][same] += used
+            out[same] += lent[classes[of[same]]]
         return out
 
-    def settled(self, scores: np.ndarray, line: np.ndarray, turns: int = 2) -> np.ndarray:
+    def calm(self, turns: int = 1) -> np.ndarray:
+        """Which classes (of those met so far) are outside on every best path wherever all words from ``turns + 2`` before to
+        ``turns + 1`` after are of such classes: ``settled`` with the most that any of them could score as each score."""
+        if self._calm is None:
+            step, start = self.step.astype(np.float32), self.start.astype(np.float32)
+            own = np.unique(self.classes(PLAIN))
+            while len(own):
+                table = np.stack([self._own[c] for c in own])
+                table = table - table[:, :, :1]
+                lead = table[:, 0] + np.maximum(table[:, 1:].max(axis=0), 0).sum(axis=0)  # at a line's end no neighbour counts
+                most = lead.max(axis=0)
+                left = (np.vstack([step, start]) - np.append(step[:, 0], start[0])[:, None]).max(axis=0)
+                right = np.maximum((step - step[:1]).max(axis=1), 0)
+                for _ in range(turns):
+                    left = np.minimum(left, np.maximum(((left + most)[:, None] + step - step[0, 0]).max(axis=0), start - start[0]))
+                    right = np.minimum(right, np.maximum((step + (right + most)[None] - step[0, 0]).max(axis=1), 0))
+                slack = (lead + left + right)[:, 1:].max(axis=1)
+                if slack.max() < -1e-2:
+                    break
+                own = np.delete(own, slack.argmax())  # without it the others' neighbours may score less
+            self._calm = own
+        out = np.zeros(len(self._own), dtype=bool)
+        out[self._calm] = True
+        return out
+
+    def settled(self, scores: np.ndarray, first: np.ndarray, last: np.ndarray, after: np.ndarray, before: np.ndarray, turns: int = 2) -> np.ndarray:
         """Which words are outside on every best path: with any other label there, putting all words up to ``turns`` away
-        outside scores more, whatever labels stand beyond them."""
+        outside scores more, whatever labels stand beyond them. first, last: a line's first and last words; after, before:
+        words that follow, or come before, one that is left out as it is known to be outside."""
         step, start = self.step.astype(np.float32), self.start.astype(np.float32)
         n, lead = len(step), (scores - scores[:, :1]).T.copy()
-        edge = np.diff(line, prepend=-1, append=line[-1] + 1) > 0
-        before = np.vstack([step, start])  # also as a line's first word
-        after = np.hstack([step, np.zeros((n, 1), dtype=np.float32)])  # also as its last
+        into = np.vstack([step, start])  # also as a line's first word
+        out_of = np.hstack([step, np.zeros((n, 1), dtype=np.float32)])  # also as its last
         # What a label at a word can gain over "outside" by the labels before it, and by those after it.
-        left = np.repeat((before - before[:, :1]).max(axis=0)[:, None], len(scores), axis=1)
-        right = np.repeat((after - after[:1]).max(axis=1)[:, None], len(scores), axis=1)
+        left = np.repeat((into - into[:, :1]).max(axis=0)[:, None], len(scores), axis=1)
+        right = np.repeat((out_of - out_of[:1]).max(axis=1)[:, None], len(scores), axis=1)
         for _ in range(turns):
-            for gain, to, of, pair, at, end in (
-                (left, slice(1, None), slice(None, -1), step, edge[:-1], start - start[0]),
-                (right, slice(None, -1), slice(1, None), step.T, edge[1:], np.zeros(n, dtype=np.float32)),
+            for gain, to, of, pair, ends in (
+                (left, slice(1, None), slice(None, -1), step, ((first, start - start[0]), (after, step[0] - step[0, 0]))),
+                (right, slice(None, -1), slice(1, None), step.T, ((last, np.zeros(n, dtype=np.float32)), (before, step[:, 0] - step[0, 0]))),
             ):
                 wide = (gain + lead)[:, of]
                 new = np.full_like(gain, -np.inf)
                 for k in range(n):
                     np.maximum(new[:, to], wide[k] + (pair[k] - step[0, 0])[:, None], out=new[:, to])
-                new[:, at] = end[:, None]
+                for at, end in ends:
+                    new[:, at] = end[:, None]
                 np.minimum(gain, new, out=gain)
         return ((lead + left + right)[1:] < -1e-3).all(axis=0)
 
@@ -236,43 +329,40 @@ class Field:
 
     def spans_of(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
         found: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-        words: list[str] = []
-        sizes, owners = [], []
-        for i, text in enumerate(texts):
-            for line in text.split("\n"):
-                own = line.split()
-                if own:
-                    sizes.append(len(own))
-                    owners.append(i)
-                    words += own
-        if not words:
+        flat = Flat(texts)
+        line, many = flat.line, len(flat.begins)
+        if not many:
             return found
-        line = np.repeat(np.arange(len(sizes)), sizes)
-        scores = self.emissions(self.classes(words), line)
-        edge = np.diff(line, prepend=-1, append=len(sizes)) > 0
-        first, last = edge[:-1], edge[1:]
-        outside = self.settled(scores, line)
+        classes = self.flat_classes(flat)
+        stirs = np.concatenate([[0], np.cumsum(~self.calm()[classes])])
+        at = np.arange(many)
+        near = np.flatnonzero(stirs[np.minimum(at + 3, many)] > stirs[np.maximum(at - 3, 0)])  # all others are outside
+        if not len(near):
+            return found
+        scores = self.emissions(classes, line, near)
+        edge = np.diff(line, prepend=-1, append=line[-1] + 1) > 0
+        first, last = edge[near], edge[near + 1]
+        apart = np.diff(near, prepend=-2, append=many + 1) > 1
+        after, before = apart[:-1] & ~first, apart[1:] & ~last
+        outside = self.settled(scores, first, last, after, before)
         beside = np.concatenate([[False], outside, [False]])
-        begins = np.flatnonzero(~outside & (first | beside[:-2]))
-        ends = np.flatnonzero(~outside & (last | beside[2:]))
+        begins = np.flatnonzero(~outside & (first | after | beside[:-2]))
+        ends = np.flatnonzero(~outside & (last | before | beside[2:]))
         if not len(begins):
             return found
         head = np.where(first[begins, None], self.start, self.step[0])
         tail = np.where(last[ends, None], 0, self.step[:, 0])
         labels = self.decode(scores, begins, ends - begins + 1, head, tail)
         hits = np.flatnonzero(labels)
-        places: dict[int, list[tuple[int, int]]] = {}
-        starts = np.cumsum(np.bincount(owners, sizes, len(texts)).astype(np.int64))
+        labels, hits = labels[hits], near[hits]
+        starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        owners = np.searchsorted(starts, flat.begins[hits], side="right") - 1
         kinds = [x[2:] for x in self.labels]
         open_ = (-2, -1, "")
-        for at, k in zip(hits.tolist(), line[hits].tolist()):
-            i = owners[k]
-            if i not in places:
-                places[i] = [(m.start(), m.end()) for m in re.finditer(r"\S+", texts[i])]
-            a, b = places[i][at - int(starts[i]) + len(places[i])]
-            label = self.labels[labels[at]]
-            kind = kinds[labels[at]]
-            if open_ == (at - 1, k, kind) and label[0] == "I":
+        places = (flat.begins[hits] - starts[owners], flat.ends[hits] - starts[owners])
+        for at, k, i, y, a, b in zip(hits.tolist(), line[hits].tolist(), owners.tolist(), labels.tolist(), *(x.tolist() for x in places)):
+            kind = kinds[y]
+            if open_ == (at - 1, k, kind) and self.labels[y][0] == "I":
                 found[i][-1] = found[i][-1][0], b, kind
             else:
                 found[i].append((a, b, kind))

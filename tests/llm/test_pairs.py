@@ -609,3 +609,32 @@ def test_leaf_costs_little_more_than_its_fingerprints():
     strips = range(0, 1800, 16)
     one, other = least_seconds(lambda: list(simhash_dedup.near_pairs(fp, marks, label, 22, 0.62)), lambda: [np.bitwise_count(fp[k : k + 16, None] ^ fp[None, :]) <= 22 for k in strips])
     assert one < 6 * other
+
+
+def test_leaks_of_batches_as_of_single_texts(monkeypatch):
+    """Time of decontamination in the pipeline: words are hashed by batches, and only texts with an item's shingle searched."""
+    import random
+
+    import pyarrow as pa
+
+    dice, words = random.Random(4), ["a", "b", "c", "The", "the", "(the)", "...", "é", "ÉA", "ß", "İ", "x\xa0y", "\x85", "\x1c", "😀", "9", "_", "d.", "\0"]
+    many = 0
+    for _ in range(60):
+
+        def made(n):
+            return "".join(dice.choice(words) + dice.choice([" ", " ", "\n", "\t\x0b", "  "]) for _ in range(n))
+
+        items = [(i, made(dice.randrange(4, 14))) for i in range(8)] + [(98, ""), (99, None)]
+        texts = [None, "", "  ", *(made(dice.randrange(30)) for _ in range(8)), *(items[dice.randrange(8)][1] * 2 for _ in range(4))]
+        dice.shuffle(texts)
+        index = decontaminate.Index(items)
+        wanted = [index.search(t) for t in texts]
+        many += sum(map(len, wanted))
+        assert index.search_all(pa.array(texts, pa.string())) == wanted
+        assert index.search_all(pa.array(texts, pa.string()).slice(3, 5)) == wanted[3:8]
+    assert many > 50
+    index = decontaminate.Index([(1, "one two three four five six")])
+    assert index.search_all(pa.array([], pa.string())) == [] and index.search_all(pa.array([None, None], pa.string())) == [[], []]
+    monkeypatch.setattr(decontaminate.Words, "__call__", None)
+    monkeypatch.setattr(decontaminate.Index, "_search", None)
+    assert index.search_all(pa.array([f"none of these {i} words" for i in range(500)])) == [[]] * 500

@@ -575,3 +575,52 @@ def test_texts_of_megabytes(spark, long_texts):
     assert len(got["op4_toxicity"]) == 3 and got["op8_html_render"][0]["n_lines"] == 40_000
     pieces = [r for r in got["op1_packing"] if r["doc_id"] == 1]
     assert sum(r["length"] for r in pieces) == pieces[0]["doc_tokens"]
+
+
+ODD_WORDS = (
+    "To to Mr. mr Dr name is Anna Weber, call tel: +49 171 5559876 key; Key? BY by. (to) 'at' Frau herr, iban: DE89 3704 token = "
+    '"0f3b1c2d4e5f60718293a4b5c6d7e8f901234567" lorem ipsum, dolor. ª º A É éa Éa. ß µ x! | a|b ² ½ ٣ œuvre Œ İ ŉ 😀 z.. , a. A.'
+).split() + ["z" * 19, "z" * 20, "z" * 25 + ".", "Z" * 3, "\x85", "\xa0", "\x1c", "　", "\x0b", "\n", "\n\n", "  "]
+
+
+def _odd_texts(seed, words, rounds):
+    import random
+
+    dice = random.Random(seed)
+    for _ in range(rounds):
+        yield ["".join(dice.choice(words) + dice.choice([" ", " ", " ", "\n", ""]) for _ in range(dice.randrange(40))) for _ in range(dice.randrange(4))]
+
+
+def test_words_classed_by_form_as_one_by_one(field):
+    for made in _odd_texts(5, ODD_WORDS, 300):
+        flat = pii.Flat(made)
+        words = [flat.joined[a:b] for a, b in zip(flat.begins, flat.ends)]
+        assert words == [w for t in made for line in t.split("\n") for w in line.split()]
+        assert field.flat_classes(flat).tolist() == field.classes(words).tolist()
+        assert field.spans_of(made) == [[tuple(s) for s in plain_field_spans(field, t)] for t in made]
+
+
+def test_plain_words_are_not_looked_at_one_by_one(field, monkeypatch):
+    """Time of personal data in the pipeline: new plain words cost no call each (before: one each)."""
+    import itertools
+    import pickle
+
+    seen, plain = [], pii.features
+    monkeypatch.setattr(pii, "features", lambda w: seen.append(w) or plain(w))
+    words = ["".join(x) + end for x, end in zip(itertools.product("abcdefgh", repeat=5), itertools.cycle(["", ",", ".", ""]))]
+    new = pickle.loads(pickle.dumps(field))
+    assert new.spans_of([" ".join(words[:10_000]), "Then " + "\nMore ".join(words[10_000:])]) == [[], []]
+    assert len(seen) < 100
+
+
+def test_texts_scored_together_as_one_by_one(monkeypatch):
+    """Time of toxicity in the pipeline: texts are scored by flat arrays, with the very scores of single texts."""
+    weights = {f: (-1) ** i * 0.1 * (i % 7 + 1) for i, f in enumerate(sorted({f for w in ODD_WORDS for f in toxicity.features(w.lower())}))}
+    weights |= {"schönes": 0.3, "schönesten": -0.7, "schöne~": 0.2, "sch~": 0.05, "œuvres": 1.0, "ingeshe": -0.4}
+    model = toxicity.Model(weights, -0.3)
+    words = [*ODD_WORDS, "Schönes", "schönesten", "schönest", "œuvres", "ingeshe", "Ingesheim", "\0", "_", "9"]
+    for made in [[], [None], ["", None], *_odd_texts(6, words, 300)]:
+        assert model.scores(made) == [model.score(t) for t in made]
+    assert toxicity.Model({}, 0.0).scores(["a b", None]) == [0.5, 0.5]
+    monkeypatch.setattr(toxicity, "words_of", None)
+    assert len(model.scores([f"plain {i} schön" for i in range(5000)])) == 5000
