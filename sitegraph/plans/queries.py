@@ -581,7 +581,9 @@ def m9_prune_host(spark, sf):
 
 @query(f"""with {_ARCHIVES} select url from n""")
 def m9_prune_age(spark, sf):
+    # An archive has one row a url; of pages that share one any will do, as its age is all that is asked.
     old, new = _archives(spark, sf)
+    old = old.dropDuplicates(["url"])
     return archive.prune(archive.upsert_archive(old, new), older_than=F.lit("2024-01-15").cast("timestamp"))[0].select("url")
 
 

@@ -112,3 +112,16 @@ def test_streams_equal_batches(spark, tmp_path):
     out = str(tmp_path / "out")
     stream.persist(source, lambda b, n: b.write.mode("overwrite").parquet(f"{out}/batch={n}"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(out).count() == 200
+
+
+def test_prune_by_age_with_pages_that_share_a_url(spark, tmp_path):
+    import duckdb
+
+    from sitegraph.plans.queries import QUERIES, SQL
+
+    rows = [(i, f"https://h.example/{i % 24}", f"<p>{i}") for i in range(96)]  # some urls are in the archive and in the run, several times each
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    wanted = con.sql(SQL["m9_prune_age"]).fetchall()
+    assert sorted(map(tuple, QUERIES["m9_prune_age"](spark, str(tmp_path)).collect())) == sorted(wanted) and len(wanted) == 32
