@@ -7,6 +7,9 @@ tables do; a watermark would change results.
 from __future__ import annotations
 
 import atexit
+import heapq
+import pickle
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -18,6 +21,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from sitegraph.functions import columns as U
 from sitegraph.session import delete, scratch
 
+#: Bytes of a path's requests held in memory before they go to a file of the task's own.
+HELD = 32 << 20
+
 
 def counts(pages: DataFrame) -> DataFrame:
     """Running page counts and bytes by status, in complete mode."""
@@ -31,24 +37,31 @@ def first_seen(urls: DataFrame) -> DataFrame:
 
 def admit(urls: DataFrame, cap: int) -> DataFrame:
     """(url, seq, admitted): at most ``cap`` distinct queries per host and path. State per path is its queries, so it is
-    bounded by the cap."""
+    bounded by the cap. A path's requests come in many tables, in no order: they are held (in a file, if they are many) until the
+    first queries of all of them are known."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seen = list(state.get[0]) if state.exists else []
-        known = set(seen)
-        for pdf in batches:
-            pdf = pdf.sort_values("seq")
-            flags = []
-            for query in pdf["search"]:
-                ok = query in known or len(known) < cap
-                if ok and query not in known:
-                    known.add(query)
-                    seen.append(query)
-                flags.append(ok)
-            yield pd.DataFrame({"url": pdf["url"], "seq": pdf["seq"], "admitted": flags})
+        known, first, n = set(seen), {}, 0
+        left = cap - len(known)
+        with tempfile.SpooledTemporaryFile(HELD) as held:
+            for pdf in batches:
+                pickle.dump(pdf[["url", "seq", "search"]], held)
+                n += 1
+                for query, seq in pdf[~pdf["search"].isin(known)].groupby("search")["seq"].min().items():
+                    first[query] = min(seq, first.get(query, seq))
+                # A query that falls out comes back only by a request that is earlier still, which its own table then brings.
+                first = {q: first[q] for q in heapq.nsmallest(left, first, key=first.get)}
+            seen += first
+            known.update(first)
+            held.seek(0)
+            for _ in range(n):
+                pdf = pickle.load(held)
+                yield pd.DataFrame({"url": pdf["url"], "seq": pdf["seq"], "admitted": pdf["search"].isin(known)})
         state.update((seen,))
 
-    rows = urls.select("url", "seq", U.host_port("url").alias("host"), U.path("url").alias("path"), U.search("url").alias("search"))
+    search = F.coalesce(U.search("url"), F.lit(""))
+    rows = urls.select("url", "seq", U.host_port("url").alias("host"), U.path("url").alias("path"), search.alias("search"))
     return rows.groupBy("host", "path").applyInPandasWithState(step, "url string, seq long, admitted boolean", "seen array<string>", "append", GroupStateTimeout.NoTimeout)
 
 

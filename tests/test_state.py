@@ -125,3 +125,25 @@ def test_prune_by_age_with_pages_that_share_a_url(spark, tmp_path):
     con.sql(f"create view pages as select * from read_parquet('{tmp_path}/pages.parquet/*.parquet')")
     wanted = con.sql(SQL["m9_prune_age"]).fetchall()
     assert sorted(map(tuple, QUERIES["m9_prune_age"](spark, str(tmp_path)).collect())) == sorted(wanted) and len(wanted) == 32
+
+
+@pytest.mark.parametrize("name", ["stream_admit"])
+def test_streams_order_groups_of_many_tables(spark, tmp_path, name):
+    """A group comes to its step in many tables, whose order says nothing."""
+    import duckdb
+
+    from sitegraph.plans.queries import QUERIES, SQL
+
+    rows = [((i * 7919) % 3000, i % 3, "view" if i % 5 else "click", float(((i * 7919) % 3000) % 137), None) for i in range(3000)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, ts timestamp").coalesce(1).write.parquet(str(tmp_path / "in"))
+    next((tmp_path / "in").glob("*.parquet")).rename(tmp_path / "events.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view events as select * from read_parquet('{tmp_path}/events.parquet')")
+    wanted = con.sql(f"select {'seq, admitted' if name == 'stream_admit' else '*'} from ({SQL[name]})").fetchall()
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        got = QUERIES[name](spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert sorted(map(tuple, got)) == sorted(wanted) and len(got) == 3000
