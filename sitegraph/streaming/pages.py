@@ -21,8 +21,15 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from sitegraph.functions import columns as U
 from sitegraph.session import delete, scratch
 
-#: Bytes of a path's requests held in memory before they go to a file of the task's own.
-HELD = 32 << 20
+#: Rows of one table given back at once, and bytes of a path's requests held in memory before they go to a file of the task's own.
+ROWS, HELD = 100_000, 32 << 20
+
+
+def _in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+    """All sequence numbers of a group, rising, by slices. Spark deals a large group out in many tables, in no order between them."""
+    seq = pd.concat([pdf["seq"] for pdf in batches]).sort_values(ignore_index=True)
+    for i in range(0, len(seq), ROWS):
+        yield seq[i : i + ROWS]
 
 
 def counts(pages: DataFrame) -> DataFrame:
@@ -90,10 +97,9 @@ def schedule(requests: DataFrame, delay_ms: int) -> DataFrame:
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n = state.get[0] if state.exists else 0
-        for pdf in batches:
-            pdf = pdf.sort_values("seq")
-            yield pd.DataFrame({"host": pdf["host"], "seq": pdf["seq"], "start_ms": [(n + i) * delay_ms for i in range(len(pdf))]})
-            n += len(pdf)
+        for seq in _in_order(batches):
+            yield pd.DataFrame({"host": [key[0]] * len(seq), "seq": seq.to_numpy(), "start_ms": [(n + i) * delay_ms for i in range(len(seq))]})
+            n += len(seq)
         state.update((n,))
 
     return requests.groupBy("host").applyInPandasWithState(step, "host string, seq long, start_ms long", "n long", "append", GroupStateTimeout.NoTimeout)
