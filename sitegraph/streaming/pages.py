@@ -82,11 +82,10 @@ def repeats(pages: DataFrame, threshold: int) -> DataFrame:
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n = state.get[0] if state.exists else 0
-        for pdf in batches:
-            pdf = pdf.sort_values("seq")
-            number = range(n + 1, n + 1 + len(pdf))
-            n += len(pdf)
-            yield pd.DataFrame({"content_hash": pdf["content_hash"], "seq": pdf["seq"], "soft_dup": [k > threshold for k in number]})
+        for seq in _in_order(batches):
+            number = range(n + 1, n + 1 + len(seq))
+            n += len(seq)
+            yield pd.DataFrame({"content_hash": [key[0]] * len(seq), "seq": seq.to_numpy(), "soft_dup": [k > threshold for k in number]})
         state.update((n,))
 
     return pages.groupBy("content_hash").applyInPandasWithState(step, "content_hash string, seq long, soft_dup boolean", "n long", "append", GroupStateTimeout.NoTimeout)

@@ -127,7 +127,7 @@ def test_prune_by_age_with_pages_that_share_a_url(spark, tmp_path):
     assert sorted(map(tuple, QUERIES["m9_prune_age"](spark, str(tmp_path)).collect())) == sorted(wanted) and len(wanted) == 32
 
 
-@pytest.mark.parametrize("name", ["stream_admit", "stream_host_schedule"])
+@pytest.mark.parametrize("name", ["stream_admit", "stream_host_schedule", "stream_soft_duplicates"])
 def test_streams_order_groups_of_many_tables(spark, tmp_path, name):
     """A group comes to its step in many tables, whose order says nothing."""
     import duckdb
