@@ -147,3 +147,20 @@ def test_streams_order_groups_of_many_tables(spark, tmp_path, name):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
     assert sorted(map(tuple, got)) == sorted(wanted) and len(got) == 3000
+
+
+def test_ranges_grow_with_the_table(spark, tmp_path, monkeypatch):
+    """A hot key is cut by as many ranges as its rows need, and goes on from one to the next; rows without a key are ranked too."""
+    from sitegraph.operators import ranking
+
+    rows = [((i * 7919) % 5000, None if i % 10 == 0 else "hot" if i % 50 else f"k{i % 7}") for i in range(5000)]
+    spark.createDataFrame(rows, "i long, k string").write.parquet(str(tmp_path / "rows"))
+    table = spark.read.parquet(str(tmp_path / "rows"))
+    monkeypatch.setattr(ranking, "SLICE", 1 << 10)
+    made = ranking.ranked_within(table, "k", ["i"])
+    assert ranking._slices(table) > 5 and made.rdd.getNumPartitions() == ranking._slices(table)
+    places, wanted = {}, {}
+    for i, k in sorted(rows):
+        wanted[i], places[k] = places.get(k, 0), places.get(k, 0) + 1
+    assert {r["i"]: r["rank"] for r in made.collect()} == wanted and len(wanted) == 5000
+    assert sorted(tuple(r) for r in ranking.ranked(table, ["i"]).select("i", "rank").collect()) == [(i, i) for i in range(5000)]
