@@ -21,6 +21,9 @@ DIRECTIVES = "struct<noindex:boolean,nofollow:boolean,raw:array<string>>"
 RULES = "array<struct<group_no:int,agent:string,rule_no:int,allow:boolean,pattern:string,crawl_delay:double>>"
 SITEMAP = "struct<kind:string,entries:array<struct<url:string,lastmod:string,changefreq:string,priority:double>>>"
 
+#: Rows that are Python's objects at once.
+SLICE = 128
+
 _LINK = pa.struct(
     [(n, pa.bool_() if n in ("nofollow", "ugc", "sponsored") else pa.string()) for n in html.Link._fields]
 )
@@ -29,7 +32,11 @@ _RAW = pa.list_(pa.string())
 
 def _fn(kernel, kind: str, arrow: pa.DataType):
     def rows(*columns: pa.Array) -> pa.Array:
-        return pa.array([kernel(*values) for values in zip(*(c.to_pylist() for c in columns))], arrow)
+        # A slice at a time: as Python's objects, texts and what is found in them take many times the room they have in Arrow.
+        parts = [pa.array([], arrow)]
+        for i in range(0, len(columns[0]), SLICE):
+            parts.append(pa.array([kernel(*values) for values in zip(*(c.slice(i, SLICE).to_pylist() for c in columns))], arrow))
+        return pa.concat_arrays(parts)
 
     def one(a: pa.Array) -> pa.Array:
         return rows(a)
@@ -53,6 +60,11 @@ def normalize_url(c: Column, base: Column | None = None, o: NormalizeOptions = D
     return F.when(simple_url(c), c).otherwise(both(F.when(~simple_url(c), c)))
 
 
+def normalize_urls(c: Column, o: NormalizeOptions = DEFAULTS) -> Column:
+    """Normal forms of an array's URLs."""
+    return _fn(lambda ts: None if ts is None else [url.normalize(t, None, o) for t in ts], "array<string>", _RAW)(c)
+
+
 def normalize_entry(c: Column, o: NormalizeOptions = DEFAULTS) -> Column:
     return _fn(lambda t: url.normalize_entry(t, o), "string", pa.string())(c)
 

@@ -155,3 +155,27 @@ def test_private_hosts_and_domains():
     assert U.private_host("[::ffff:10.1.1.1]") and U.private_host("FD00::1") and not U.private_host("300.1.1.1") and not U.private_host("")
     assert U.registrable_domain("a.b.co.uk.") == "b.co.uk" and U.registrable_domain("co.uk") is None and U.registrable_domain("1.2.3.4") == "1.2.3.4"
     assert U.same_site("co.uk", "co.uk", "same-site") and not U.same_site("", "", "any")
+
+
+def test_few_rows_are_python_objects_at_once(spark):
+    """A kernel's finds become Arrow a slice at a time, not a whole batch of them at the end."""
+    import weakref
+
+    import pyarrow as pa
+
+    from sitegraph.functions import kernels as K
+
+    class Found(dict):
+        pass
+
+    alive = []
+
+    def kernel(i):
+        found = Found(i=i)
+        alive.append(weakref.ref(found))
+        found["n"] = sum(r() is not None for r in alive)
+        return found
+
+    made = K._fn(kernel, "struct<i:long,n:long>", pa.struct([("i", pa.int64()), ("n", pa.int64())]))
+    rows = [r["v"] for r in spark.range(0, 1500, numPartitions=1).select(made("id").alias("v")).collect()]
+    assert [r["i"] for r in rows] == list(range(1500)) and max(r["n"] for r in rows) <= 200
