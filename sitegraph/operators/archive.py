@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sitegraph.functions.columns import host as host_of
 from sitegraph.operators.ranking import first_k
+from sitegraph.session import CODEC
 
 ARCHIVE = (
     "url string, body binary, content_type string, charset string, etag string, last_modified string, content_hash string, "
@@ -143,7 +144,7 @@ class Store:
                 return self.spark.read.parquet(*paths[::-1])
         if schema is None:
             raise KeyError(name)
-        return self.spark.createDataFrame([], schema)
+        return self.spark.createDataFrame([], schema).limit(0)  # which plans know to be empty
 
     def has(self, name: str) -> bool:
         return self._exists(f"{self.folder}/manifest") and not self._manifests().where(F.col("name") == name).isEmpty()
@@ -152,7 +153,7 @@ class Store:
         version, rows = self.version() + 1, []
         for name, table in {**(grow or {}), **tables}.items():
             path = f"data/{name}/{version:08d}-{uuid.uuid4().hex[:8]}"
-            table.write.parquet(f"{self.folder}/{path}")
+            table.write.option("compression", CODEC).parquet(f"{self.folder}/{path}")
             rows.append((version, name, path, name not in tables))
         self.spark.createDataFrame(rows, self.MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.folder}/manifest")
         return version

@@ -8,21 +8,27 @@ from pyspark.sql import functions as F
 from sitegraph.session import settled
 
 SALTS = 64
-#: Bytes of input for each range that rows are dealt to: a task's share stays the same however large the table is.
+#: Bytes of input for each share that rows are dealt out in: a task's share stays the same however large the table is.
 SLICE = 16 << 20
 
 
-def _slices(rows: DataFrame) -> int | None:
-    """How many ranges the rows need, by the size of the tables they come from; none where the session's partitions will do."""
-    leaves = rows._jdf.queryExecution().optimizedPlan().collectLeaves()
-    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+def slices(*tables: DataFrame) -> int | None:
+    """How many shares the rows need, by the size of the tables they come from; none where the session's partitions will do."""
+    plans = [t._jdf.queryExecution().optimizedPlan().collectLeaves() for t in tables]
+    sizes = [int(str(p.apply(i).stats().sizeInBytes())) for p in plans for i in range(p.size())]
     n = sum(x for x in sizes if x < 1 << 60) // SLICE + 1  # rows of the driver's have no known size
-    return n if n > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
+    return n if n > int(tables[0].sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
+
+
+def shared(key: str, *tables: DataFrame) -> tuple[DataFrame, ...]:
+    """Tables of wide rows, dealt by a key they are joined on to as many tasks as they need: the rows of each are sorted in memory."""
+    n = slices(*tables)
+    return tables if n is None else tuple(t.repartition(n, key) for t in tables)
 
 
 def _dealt(rows: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame]:
     """The rows by ranges of the order, with their range's number (``__part``), as a table; and the same with each range in one task."""
-    n = _slices(rows)
+    n = slices(rows)
     ranges = rows.repartitionByRange(*order) if n is None else rows.repartitionByRange(n, *order)
     dealt = settled(ranges.withColumn("__part", F.spark_partition_id()))
     return dealt, dealt if n is None else dealt.repartition(n, "__part")

@@ -337,20 +337,21 @@ class SiteWalk:
         o = self.o
         claimed = self._claim(s).drop("status")
         conditional = None if self.archive is None else self._conditional()
+        claimed = net.follow_redirects(claimed, self.corpus, depth=self.depth)
+        claimed = claimed.withColumns({"final_key": F.coalesce(K.normalize_url(F.col("final_url"), o=o.normalize), "url"), "hops": F.transform("redirects", lambda u: u)})
+        claimed = settled(self._converge(claimed, s))  # who came first shows in the urls alone
         got = net.fetch(claimed, self.corpus, conditional, self.depth)
-        got = got.withColumns({"final_key": F.coalesce(K.normalize_url(F.col("final_url"), o=o.normalize), "url"), "hops": F.transform("redirects", lambda u: u)})
         if conditional is not None:
             stored = self.archive.select("url", decoded(F.col("body"), F.col("charset")).alias("stored"), F.col("content_hash").alias("stored_hash"))
             got = got.join(stored, "url", "left")
             got = got.withColumns({"text": F.when(F.col("not_modified"), F.col("stored")).otherwise(F.col("body")), "kept_hash": F.when(F.col("not_modified"), F.col("stored_hash"))})
         else:
             got = got.withColumns({"text": F.col("body"), "kept_hash": F.lit(None).cast("string")})
-        got = settled(self._converge(got, s))
-        html = F.col("ok") & F.col("content_type").contains("html")
+        html = ~F.col("dup") & F.col("ok") & F.col("content_type").contains("html")
         if o.scope.check_external and not o.scope.allow_external and o.scope.seed_hosts:
             # Pages of other sites are only asked for, not read.
             html = html & policy.any_of([U.same_site(F.lit(x), U.host("url"), o.scope.subdomains, o.scope.registrable) for x in o.scope.seed_hosts])
-        fresh = got.where("not dup").withColumns(
+        got = got.withColumns(
             {
                 "size": F.octet_length("body").cast("long"),
                 "content_hash": F.coalesce("kept_hash", F.when(F.col("body").isNotNull() & F.col("ok"), F.sha2("body", 256))),
@@ -358,20 +359,27 @@ class SiteWalk:
                 "header": K.x_robots_tag(F.col("x_robots_tag"), o.user_agent) if "x_robots_tag" in got.columns else F.lit(None),
             }
         )
+        if o.before_extract is None and o.on_page is None and not o.events:
+            got = got.drop("text", "stored", "stored_hash", "kept_hash")  # nobody is left to ask for them; most are bodies again
+        # Bodies are fetched, read and written in one go.
+        got = settled(got)
+        fresh = got.where("not dup")
         if o.before_extract is not None:
             # Links of the head come from the whole page, those of the body from what is left of it; the page's own base counts for both.
             head = replace(o.extract, anchors=False, iframes=False, assets=False, srcset=False)
             body = replace(o.extract, canonical=False, next_prev=False, meta_refresh=False, alternate=False)
             narrowed = F.coalesce(o.before_extract(F.col("text")), "text")
             both = F.concat(K.extract_links(F.col("text"), F.col("read.base"), head), K.extract_links(narrowed, F.col("read.base"), body))
-            fresh = settled(fresh).withColumn("read", F.col("read").withField("links", F.when(F.col("read").isNotNull(), both)))
+            fresh = fresh.withColumn("read", F.col("read").withField("links", F.when(F.col("read").isNotNull(), both)))
         if o.traps:
             fresh = policy.soft_duplicates(fresh, "ord", o.soft_dup_threshold, s.seen_hashes())
         else:
             fresh = fresh.withColumn("soft_dup", F.lit(False))
         nofollow = F.coalesce(F.col("read.nofollow"), F.lit(False)) | F.coalesce(F.col("header.nofollow"), F.lit(False))
         noindex = F.coalesce(F.col("read.noindex"), F.lit(False)) | F.coalesce(F.col("header.noindex"), F.lit(False))
-        fresh = settled(fresh.withColumns({"page_nofollow": nofollow, "noindex": noindex}))
+        fresh = fresh.withColumns({"page_nofollow": nofollow, "noindex": noindex})
+        if o.traps or o.before_extract is not None:
+            fresh = settled(fresh)
         if o.max_total_bytes is not None:
             # Budgets cut between pages: the running sum is over the round's (ord, size) pairs alone.
             inside = running(fresh.select("ord", "size"), ["ord"], F.coalesce("size", F.lit(0)), "before", self.stats.bytes)
@@ -422,6 +430,9 @@ class SiteWalk:
         o = self.o
         if "order" not in links.columns:
             links = links.withColumn("order", F.struct("ord", "pos"))
+        links = settled(links)
+        over = links.where("skip_reason is not null").withColumn("followed", F.lit(False))  # these are decided, and meet no table
+        links = links.where("skip_reason is null")
         if not o.recrawl:
             now = fresh.select("ord", F.explode(F.array_distinct(F.concat(F.array("url", "final_key"), "hops"))).alias("to_url"))
             now = now.groupBy("to_url").agg(F.min("ord").alias("__done"))
@@ -438,7 +449,7 @@ class SiteWalk:
         firsts = firsts.join(s.queued.read().select(F.col("url").alias("to_url")), "to_url", "left_anti")
         links = links.join(firsts, "to_url", "left")
         new = F.col("skip_reason").isNull() & F.coalesce(F.col("first") == F.col("order"), F.lit(False))
-        out = links.withColumn("followed", new).withColumn("skip_reason", F.coalesce("skip_reason", F.when(~new, "duplicate"))).drop("first")
+        out = links.withColumn("followed", new).withColumn("skip_reason", F.coalesce("skip_reason", F.when(~new, "duplicate"))).drop("first").unionByName(over)
         end: list[int] = []
         out = ranked(out, ["order"], "link_seq", s.link_seq, end)
         most = end[0] - s.link_seq
@@ -500,9 +511,11 @@ class SiteWalk:
         links = self._admit(self._trap(links, s) if o.traps else links, fresh, s)
         edges = s.links.add(links.select("link_seq", "from_url", "to_url", "raw_href", "kind", "rel", "nofollow", "region", "anchor_text", "followed", "skip_reason", "depth"))
         followed = self.stats.add_links(edges)
-        canonical = edges.where("rel = 'canonical' and coalesce(skip_reason, '') <> 'bad-scheme'").groupBy("from_url").agg(F.min_by("to_url", "link_seq").alias("canonical"))
+        # The first canonical link that isn't a bad scheme, read off the page itself: a join with the edges would move every body.
+        named = F.transform(F.filter("read.links", lambda x: x["rel"] == "canonical"), lambda x: F.coalesce(x["url"], x["href"]))
+        sound = F.filter(K.normalize_urls(named, o.normalize), lambda u: U.scheme(u).isin("http", "https") & (U.host(u) != ""))
         data = F.lit(None).cast("string") if o.on_page is None else o.on_page(fresh)
-        pages = fresh.withColumn("data", data).join(canonical.withColumnRenamed("from_url", "url"), "url", "left").select(
+        pages = fresh.withColumns({"data": data, "canonical": F.try_element_at(sound, F.lit(1))}).select(
             "url", "final_url", "redirects", "status", "ok", "not_modified", "content_type", "charset", "depth", "referrer", "discovered_via", "size", "content_hash", F.col("read.title").alias("title"),
             "canonical", "noindex", F.col("page_nofollow").alias("nofollow"), "etag", "last_modified", "error_kind", "error_message",
             page_error("error_kind", "error_message", "status").alias("error"), "data", F.lit(None).cast("string").alias("skip_reason"), (F.col("ord") + s.done).alias("page_seq"),

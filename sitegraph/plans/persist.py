@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from sitegraph.operators import archive as A
 from sitegraph.operators import reports
+from sitegraph.operators.ranking import shared
 
 CRAWL = (
     "crawl_id long, uid string, job_uid string, seeds string, options string, status string, stopped_by string, stats string, error string, attempt int, "
@@ -51,12 +52,23 @@ def responses(pages: DataFrame, at: Column, persist_body: Callable[[DataFrame],
 
 
 def merged(old: DataFrame, new: DataFrame) -> DataFrame:
-    """The archive after a run: responses merged in, then visits; an unchanged answer repeats no validators, so it keeps them."""
-    unchanged = new.where("last_status = 304").select("url", F.lit(True).alias("__same"))
-    kept = old.select("url", *[F.col(c).alias(f"__{c}") for c in ("etag", "last_modified", "content_hash")])
-    visits = new.join(unchanged, "url", "left").join(kept, "url", "left")
-    visits = visits.withColumns({c: F.when(F.col("__same"), F.coalesce(c, f"__{c}")).otherwise(F.col(c)) for c in ("etag", "last_modified", "content_hash")}).select(new.columns)
-    return A.visited(A.upsert_archive(old, new), visits)
+    """The archive after a run: responses merged in, then visits; an unchanged answer repeats no validators, so it keeps them.
+    That is ``upsert_archive`` and ``visited`` in one join, which moves each body once."""
+    old, new = shared("url", old, new)
+    both = old.alias("o").join(new.withColumn("hit", F.lit(True)).alias("n"), "url", "full_outer")
+    hit, same = F.col("n.hit"), F.col("n.last_status") == 304
+
+    def column(c: str) -> Column:
+        own, kept = F.col(f"n.{c}"), F.coalesce(f"n.{c}", f"o.{c}")
+        if c == "url":
+            return F.col("url")
+        if c in ("body", "content_type", "charset", "size"):
+            return kept.alias(c)
+        if c in ("etag", "last_modified", "content_hash"):
+            own = F.when(same, kept).otherwise(own)
+        return F.when(hit, own).otherwise(F.col(f"o.{c}")).alias(c)
+
+    return both.select(*[column(c) for c in old.columns])
 
 
 class Site:

@@ -11,12 +11,12 @@ from sitegraph.functions import columns as U
 from sitegraph.functions import kernels as K
 from sitegraph.html.kernel import ExtractOptions
 from sitegraph.operators import archive, policy, reports
-from sitegraph.operators.ranking import ranked_within, running
+from sitegraph.operators.ranking import ranked_within, running, shared
 from sitegraph.plans import views as V
 from sitegraph.plans.crawl import Options, SiteWalk, crawl
 from sitegraph.plans.persist import Site, json_data
 from sitegraph.plans.queries import _NORM, _inline, _next_pairs, _pages, _values, _NEXT, query
-from sitegraph.session import scratch
+from sitegraph.session import scratch, settled
 from sitegraph.sources import corpus as net
 from sitegraph.url.kernel import NormalizeOptions
 
@@ -77,14 +77,30 @@ def crawl_budget_reasons(spark, sf):
 # two runs over the pages, kept
 
 
+def _named(spark: SparkSession, sf: str) -> DataFrame:
+    """(url, page_id, html): the first page of each normal form. Bodies move only where they are asked for."""
+    (pages,) = shared("url", _pages(spark, sf).select("page_id", K.normalize_url(F.col("url")).alias("url"), "html"))
+    return pages.groupBy("url").agg(F.min("page_id").alias("page_id"), F.min_by("html", "page_id").alias("html"))
+
+
+def _states(pages: DataFrame, second: bool) -> DataFrame:
+    """The pages as the first or second crawl finds them; in one pass, since each look at them moves their bodies."""
+    if not second:
+        return pages
+    k = F.col("page_id")
+    stays = {"html": F.when(k % 7 == 0, F.concat("html", F.lit("!"))).otherwise(F.col("html"))}
+    fresh = {"url": F.concat(F.lit("https://new.example/"), k)}
+    old, new = (F.struct(*[how.get(c, F.col(c)).alias(c) for c in pages.columns]) for how in (stays, fresh))
+    return pages.select(F.inline(F.array_compact(F.array(F.when(k % 11 != 0, old), F.when(k % 13 == 0, new)))))
+
+
+def _site_urls(spark: SparkSession, sf: str, second: bool) -> DataFrame:
+    return _states(_named(spark, sf).select("url", "page_id"), second).select("url")
+
+
 def _site_corpus(spark: SparkSession, sf: str, second: bool) -> DataFrame:
     """The pages as a corpus by normal form; in the second state some are gone, some changed and some new."""
-    pages = _pages(spark, sf).select("page_id", K.normalize_url(F.col("url")).alias("url"), "html")
-    pages = pages.groupBy("url").agg(F.min_by(F.struct("page_id", "html"), "page_id").alias("p")).select("url", "p.*")
-    k = F.col("page_id")
-    if second:
-        fresh = pages.where(k % 13 == 0).select(F.concat(F.lit("https://new.example/"), k).alias("url"), "page_id", "html")
-        pages = pages.where(k % 11 != 0).withColumn("html", F.when(k % 7 == 0, F.concat("html", F.lit("!"))).otherwise(F.col("html"))).unionByName(fresh)
+    pages, k = _states(_named(spark, sf), second), F.col("page_id")
     tag = F.concat(F.when(F.lit(second) & (k % 7 == 0), "f").otherwise("e"), k)
     null = F.lit(None).cast("string")
     return pages.select("url", F.lit(200).alias("status"), F.lit("text/html").alias("content_type"), F.lit("utf-8").alias("charset"), F.col("html").alias("body"), null.alias("redirect_to"),
@@ -101,12 +117,12 @@ def _kept(spark: SparkSession, sf: str) -> Site:
         import uuid
 
         site = Site(spark, archive.Store(spark, f"{scratch(spark)}/site-{uuid.uuid4().hex}"))
-        seeds = _site_corpus(spark, sf, False).select("url")
+        seeds = settled(_site_urls(spark, sf, False))
         for n, uid in enumerate(("one", "two")):
             corpus = _site_corpus(spark, sf, bool(n))
             o = Options(respect_robots=False, traps=False, max_depth=0, recrawl=bool(n))
             walk = SiteWalk(spark, corpus, o, site.table("archive") if n else None)
-            report = walk.run(seeds.union(corpus.select("url")) if n else seeds)
+            report = walk.run(seeds.union(_site_urls(spark, sf, True)) if n else seeds)
             row = {**site.create(uid, at=_day(n)), "status": "completed", "stopped_by": report.stopped_by}
             site.save(row, report.pages, report.links, report.frontier, at=F.lit(f"2024-0{n + 1}-01").cast("timestamp"))
         _sites[key] = site
@@ -186,7 +202,7 @@ def a5_live_counts(spark, sf):
     stored = first.select("url", F.encode("body", "UTF-8").alias("body"), "content_type", "charset", "etag", "last_modified", F.sha2("body", 256).alias("content_hash"), F.lit(200).alias("last_status"), F.lit(None).cast("long").alias("size"), F.current_timestamp().alias("fetched_at"))
     told: list[dict] = []
     walk = SiteWalk(spark, second, Options(respect_robots=False, traps=False, max_depth=0, recrawl=True, events={"on_progress": told.append}), stored)
-    walk.run(first.select("url").union(second.select("url")))
+    walk.run(_site_urls(spark, sf, False).union(_site_urls(spark, sf, True)))
     return _inline(spark, sorted(told[-1]["by_status"].items()), "status int, n long")
 
 

@@ -10,6 +10,9 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Of tables this package writes: bodies take half the room they have with the default.
+CODEC = "zstd"
+
 
 def session(master: str = "local[*]", partitions: int = 8, **conf: str) -> SparkSession:
     builder = SparkSession.builder.master(master).config("spark.sql.shuffle.partitions", partitions).config("spark.sql.session.timeZone", "UTC")
@@ -56,7 +59,7 @@ def settled(df: DataFrame, stays: bool = False) -> DataFrame:
     driver's Python ends."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", CODEC).parquet(path)
     if _open and not stays:
         _open[-1].append(path)
     else:
@@ -80,7 +83,7 @@ class Parts:
         if self.count == 0:
             self.schema = df.schema
         path = f"{self.path}/part-{self.count:06d}"
-        df.select(self.schema.names).write.parquet(path)
+        df.select(self.schema.names).write.option("compression", CODEC).parquet(path)
         self.count += 1
         self.last = self.spark.read.schema(self.schema).parquet(path)
         return self.last

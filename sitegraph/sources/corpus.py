@@ -59,12 +59,17 @@ def follow_redirects(requests: DataFrame, corpus: DataFrame, hops: int = MAX_RED
 
 
 def fetch(requests: DataFrame, corpus: DataFrame, conditional: DataFrame | None = None, depth: int | None = None) -> DataFrame:
-    """Requests with their responses: a url that isn't in the corpus is a 404 with the body ``not found``.
+    """Requests (with their redirects followed or not) and their responses: a url that isn't in the corpus is a 404 with the body ``not found``.
 
     conditional: (url, if_none_match, if_modified_since); a page whose validator still holds answers 304 without a body.
     """
-    answers = corpus.select(F.col("url").alias("final_url"), *[c for c in corpus.columns if c not in ("url", "redirect_to")], F.lit(True).alias("__known"))
-    rows = follow_redirects(requests, corpus, depth=depth).join(answers, "final_url", "left")
+    depth = chain_depth(corpus) if depth is None else depth
+    at = "final_url" if depth else "url"  # without redirects they are the same, and later joins on url find the rows dealt out by it
+    answers = corpus.select(F.col("url").alias(at), *[c for c in corpus.columns if c not in ("url", "redirect_to")], F.lit(True).alias("__known"))
+    rows = requests if "too_many" in requests.columns else follow_redirects(requests, corpus, depth=depth)
+    if conditional is not None:
+        rows = rows.join(conditional, "url", "left")  # before there are bodies to move
+    rows = rows.join(answers, at, "left")
     known = F.col("__known").isNotNull()
     rows = rows.withColumns(
         {
@@ -75,7 +80,6 @@ def fetch(requests: DataFrame, corpus: DataFrame, conditional: DataFrame | None
         }
     )
     if conditional is not None:
-        rows = rows.join(conditional, "url", "left")
         same = F.coalesce(F.col("if_none_match") == F.col("etag"), F.lit(False)) | F.coalesce(F.col("etag").isNull() & (F.col("if_modified_since") == F.col("last_modified")), F.lit(False))
         same = same & (F.col("status") == 200)
         rows = rows.withColumns({"not_modified": same, "status": F.when(same, 304).otherwise(F.col("status")), "body": F.when(same, F.lit(None).cast("string")).otherwise(F.col("body"))}).drop("if_none_match", "if_modified_since")

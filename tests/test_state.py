@@ -158,9 +158,39 @@ def test_ranges_grow_with_the_table(spark, tmp_path, monkeypatch):
     table = spark.read.parquet(str(tmp_path / "rows"))
     monkeypatch.setattr(ranking, "SLICE", 1 << 10)
     made = ranking.ranked_within(table, "k", ["i"])
-    assert ranking._slices(table) > 5 and made.rdd.getNumPartitions() == ranking._slices(table)
+    assert ranking.slices(table) > 5 and made.rdd.getNumPartitions() == ranking.slices(table)
     places, wanted = {}, {}
     for i, k in sorted(rows):
         wanted[i], places[k] = places.get(k, 0), places.get(k, 0) + 1
     assert {r["i"]: r["rank"] for r in made.collect()} == wanted and len(wanted) == 5000
     assert sorted(tuple(r) for r in ranking.ranked(table, ["i"]).select("i", "rank").collect()) == [(i, i) for i in range(5000)]
+
+
+def _count(df, what):
+    return str(df._jdf.queryExecution().optimizedPlan().toString()).count(what)
+
+
+def test_a_run_is_merged_in_one_join(spark):
+    """As by ``upsert_archive`` and then ``visited``; each body moves once, and not at all into an empty archive."""
+    from sitegraph.plans.persist import merged
+
+    def rows(urls, status, tag, body):
+        return [(u, bytearray(body + u.encode()) if body else None, "t", None, tag, None, tag and tag + "h", status, 1 if body else None, None) for u in urls]
+
+    old = spark.createDataFrame(rows("abcd", 200, "old", b"o"), archive.ARCHIVE)
+    new = spark.createDataFrame(rows("b", 200, "new", b"n") + rows("c", 304, None, None) + rows("d", 404, None, None) + rows("e", 200, "e", b"e"), archive.ARCHIVE)
+    kept = old.select("url", F.col("etag").alias("e"), F.col("content_hash").alias("h"))
+    visits = new.join(kept, "url", "left").withColumns({c: F.when(F.col("last_status") == 304, F.coalesce(c, o)).otherwise(F.col(c)) for c, o in (("etag", "e"), ("content_hash", "h"))})
+    wanted = archive.visited(archive.upsert_archive(old, new), visits.select(new.columns))
+    got = merged(old, new)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, wanted.select(got.columns).collect())) and got.count() == 5
+    assert _count(got, "Join ") == 1
+    assert _count(merged(archive.Store(spark, "/tmp/none-such").read("archive", archive.ARCHIVE), new), "Join ") == 0
+
+
+def test_urls_of_a_corpus_leave_bodies_where_they_are(spark):
+    from sitegraph.plans import site_queries as Q
+
+    for second in (False, True):
+        urls = Q._site_urls(spark, "/root/testdata/sf0.001", second)
+        assert _count(urls, "html") == _count(urls, "Relation") and urls.count() == Q._site_corpus(spark, "/root/testdata/sf0.001", second).count()  # only the scan's own names
