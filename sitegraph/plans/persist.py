@@ -54,7 +54,8 @@ def responses(pages: DataFrame, at: Column, persist_body: Callable[[DataFrame],
 def merged(old: DataFrame, new: DataFrame) -> DataFrame:
     """The archive after a run: responses merged in, then visits; an unchanged answer repeats no validators, so it keeps them.
     That is ``upsert_archive`` and ``visited`` in one join, which moves each body once."""
-    old, new = shared("url", old, new)
+    if not old.isEmpty():  # else nothing is joined
+        old, new = shared("url", old, new)
     both = old.alias("o").join(new.withColumn("hit", F.lit(True)).alias("n"), "url", "full_outer")
     hit, same = F.col("n.hit"), F.col("n.last_status") == 304
 

@@ -101,6 +101,8 @@ def _site_urls(spark: SparkSession, sf: str, second: bool) -> DataFrame:
 def _site_corpus(spark: SparkSession, sf: str, second: bool) -> DataFrame:
     """The pages as a corpus by normal form; in the second state some are gone, some changed and some new."""
     pages, k = _states(_named(spark, sf), second), F.col("page_id")
+    if second:  # under other urls, so they are dealt out anew
+        (pages,) = shared("url", pages)
     tag = F.concat(F.when(F.lit(second) & (k % 7 == 0), "f").otherwise("e"), k)
     null = F.lit(None).cast("string")
     return pages.select("url", F.lit(200).alias("status"), F.lit("text/html").alias("content_type"), F.lit("utf-8").alias("charset"), F.col("html").alias("body"), null.alias("redirect_to"),
